@@ -15,24 +15,24 @@ def float_text(value: Column) -> Column:
     value = value.cast("double")
     plain = value.cast("string")
     size = F.abs(value)
-    fixed = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
-    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    mantissa = F.regexp_replace(F.regexp_extract(plain, r"^([^E]*)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(plain, r"E(-?[0-9]+)$", 1).try_cast("int")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
+    # decimal text without its trailing zeros, but with one digit after the point
+    fixed = F.regexp_replace(value.try_cast("decimal(38,21)").cast("string"), r"(\.\d*?[1-9]|\.0)0+$", "$1")
     return (
-        F.when(F.isnan(value), "nan")
-        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
+        F.when((size >= 1e-3) & (size < 1e7), plain)
         .when((size >= 1e-4) & (size < 1e16), fixed)
-        .otherwise(scientific)
+        .otherwise(_scientific(plain))
     )
 
 
+def _scientific(plain: Column) -> Column:
+    """``1.0E-5`` -> ``1e-05``, ``1.5E16`` -> ``1.5e+16``, ``Infinity`` -> ``inf``."""
+    text = F.regexp_replace(plain, r"(\.0)?E-(\d)$", "e-0$2")
+    text = F.regexp_replace(text, r"(\.0)?E-", "e-")
+    text = F.regexp_replace(text, r"(\.0)?E", "e+")
+    text = F.replace(text, F.lit("Infinity"), F.lit("inf"))
+    return F.replace(text, F.lit("NaN"), F.lit("nan"))
+
+
 def floor_number(level_name: Column, has_level_param: Column) -> Column:
     """Floor number read off a level name.
 

@@ -1,11 +1,14 @@
 """Check requests: JSON text -> validated, typed rows; checked rows -> JSON text.
 
-Validation is one narrow pass.  Each text is parsed once to a VARIANT, so the JSON type
-of every leaf is known and a bad leaf gets a reason instead of silently becoming null.
+Validation is one narrow pass.  Leaves are read as text and cast one by one, so that a bad
+leaf gets a reason instead of silently becoming null.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,23 @@ NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 SPECIAL_TEXT = r"^\s*[+-]?(?i:nan|inf|infinity)\s*$"
 WHOLE_TEXT = r"^\s*[+-]?[0-9]+(\.0+)?\s*$"
 
+# The record with its leaves as text; what a leaf was is looked up only where it matters.
+_LEAVES = (
+    "element_type STRING, "
+    "properties STRUCT<width_mm STRING, height_mm STRING, length_mm STRING, function STRING>, "
+    "context STRUCT<room_type STRING, building_type STRING, occupancy STRING, floor_level STRING>"
+)
+
+_TYPED_LEAVES = _LEAVES.replace("STRING", "VARIANT")
+_TYPED_PARTS = "properties VARIANT, context VARIANT"
+
+# Leaf texts whose meaning depends on the JSON type they had.
+_DOUBTFUL = {
+    "text": r"^(-?[0-9]|true$|false$|NaN$|-?Infinity$|[\[{])",
+    "number": r"^(true|false)$",
+    "whole": r"[^0-9+-]",
+}
+
 _PROPERTY_FIELDS = [
     ("width_mm", "number", True),
     ("height_mm", "number", False),
@@ -30,68 +50,82 @@ _CONTEXT_FIELDS = [
 ]
 
 
-def _kind(doc: Column, path: str) -> Column:
-    """JSON kind at ``path``: text, number, flag, object, array, or null when absent."""
-    name = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+def _kind(leaf: Column) -> Column:
+    """Kind of a JSON value: text, number, flag, object, array; null for null and absent."""
+    name = F.schema_of_variant(leaf)
     return (
-        F.when(name == "VOID", F.lit(None).cast("string"))
+        F.when(name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL"), "number")
         .when(name == "STRING", "text")
         .when(name == "BOOLEAN", "flag")
         .when(name.startswith("OBJECT"), "object")
         .when(name.startswith("ARRAY"), "array")
-        .when(name.isNotNull(), "number")
     )
 
 
-def _text(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "string")
+def _from_text(kind: Column, text: Column) -> Column:
+    return F.when(kind == "text", text)
 
 
-def _number(kind: Column, text: Column) -> Column:
-    return (
-        F.when(kind == "number", text.try_cast("double"))
-        .when(kind == "flag", F.when(text == "true", 1.0).otherwise(0.0))
-        .when((kind == "text") & (text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_TEXT)),
-              F.trim(text).try_cast("double"))
-    )
+def _from_number(kind: Column, text: Column) -> Column:
+    flag = F.when(text == "true", 1.0).otherwise(0.0)
+    written = text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_TEXT)
+    return F.when(kind == "flag", flag).when(written, F.trim(text).try_cast("double"))
 
 
-def _whole(kind: Column, text: Column) -> Column:
-    number = text.try_cast("double")
-    return (
-        F.when((kind == "number") & (number == F.floor(number)), number.try_cast("int"))
-        .when(kind == "flag", F.when(text == "true", 1).otherwise(0))
-        .when((kind == "text") & text.rlike(WHOLE_TEXT), F.trim(text).try_cast("double").try_cast("int"))
-    )
+def _from_whole(kind: Column, text: Column) -> Column:
+    flag = F.when(text == "true", 1).otherwise(0)
+    number = F.trim(text).try_cast("double")
+    good = F.when(kind == "text", text.rlike(WHOLE_TEXT)).otherwise(number == F.floor(number))
+    return F.when(kind == "flag", flag).when(good, number.try_cast("int"))
 
 
+# Parser, and the kind of a leaf whose text leaves no doubt.
 _PARSERS = {
-    "number": _number,
-    "whole": _whole,
-    "text": lambda kind, text: F.when(kind == "text", text),
+    "text": (_from_text, "text"), "number": (_from_number, "number"), "whole": (_from_whole, "number"),
 }
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns by a row-wise generator, which the optimizer neither copies into the places
+    that use them nor pushes filters through: each text is parsed once."""
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def read_check_requests(df: DataFrame, json: str = "json") -> DataFrame:
     """Adds ``element_type, properties, context`` and ``reasons`` (empty when valid)."""
     fields = [("element_type", "element_type", "text", True)]
     fields += [(f"properties.{n}", f"p_{n}", t, r) for n, t, r in _PROPERTY_FIELDS]
     fields += [(f"context.{n}", f"c_{n}", t, r) for n, t, r in _CONTEXT_FIELDS]
 
-    doc = F.col("_doc")
-    out = df.withColumn("_doc", F.try_parse_json(F.col(json)))
-    out = out.withColumns(
-        {f"_k_{name}": _kind(doc, f"$.{path}") for path, name, _, _ in fields}
-        | {f"_t_{name}": _text(doc, f"$.{path}") for path, name, _, _ in fields}
-        | {f"_k_{name}": _kind(doc, f"$.{name}") for name in ("properties", "context")}
-        | {"_root": _kind(doc, "$")}
-    )
-    out = out.withColumns(
-        {f"_v_{name}": _PARSERS[t](F.col(f"_k_{name}"), F.col(f"_t_{name}"))
-         for _, name, t, _ in fields}
-    )
-
-    is_object = F.col("_root") == "object"
+    out = _once(df, {"_r": F.from_json(F.col(json), _LEAVES)})
+    part = {name: F.col(f"_r.{name}") for name in ("element_type", "properties", "context")}
+    text = {name: F.col(f"_r.{path}") for path, name, _, _ in fields}
+    # Only records that lack a part or have a doubtful leaf are parsed a second time, to know
+    # a missing part from a wrong one and a number from quoted digits.
+    lacking = reduce(or_, [value.isNull() for value in part.values()])
+    doubt = lacking
+    for _, name, kind, _ in fields:
+        doubt = doubt | F.coalesce(text[name].rlike(_DOUBTFUL[kind]), F.lit(False))
+    nothing = reduce(and_, [value.isNull() for value in part.values()])
+    out = _once(out, {
+        "_w": F.when(doubt, F.from_json(F.col(json), _TYPED_LEAVES)),
+        "_p": F.when(lacking, F.from_json(F.col(json), _TYPED_PARTS)),
+        "_d": F.when(nothing, F.try_parse_json(F.col(json))),
+    })
+
+    def kind_of(typed: str, present: Column, otherwise: str) -> Column:
+        return F.when(present, otherwise).otherwise(_kind(F.col(typed)))
+
+    kinds = {f"_k_{name}": kind_of(f"_w.{path}", F.col("_w").isNull(), _PARSERS[t][1]) for path, name, t, _ in fields}
+    kinds |= {f"_k_{name}": kind_of(f"_p.{name}", part[name].isNotNull(), "object") for name in ("properties", "context")}
+    kinds["_k_root"] = kind_of("_d", ~nothing, "object")
+    out = _once(out, kinds).withColumns({
+        f"_v_{name}": F.when(text[name].isNotNull(), _PARSERS[t][0](F.col(f"_k_{name}"), text[name]))
+        for path, name, t, _ in fields
+    })
+
+    is_object = F.coalesce(F.col("_k_root") == "object", F.lit(False))
     has_properties = is_object & F.coalesce(F.col("_k_properties") == "object", F.lit(False))
     has_context = is_object & F.coalesce(F.col("_k_context") == "object", F.lit(False))
 
@@ -106,10 +140,9 @@ def read_check_requests(df: DataFrame, json: str = "json") -> DataFrame:
     ]
     for path, name, _, required in fields:
         inside = {"p": has_properties, "c": has_context}.get(name[:2].rstrip("_"), is_object)
-        kind, value = F.col(f"_k_{name}"), F.col(f"_v_{name}")
         if required:
-            reasons.append(reason(inside & kind.isNull(), f"{path}.missing"))
-        reasons.append(reason(inside & kind.isNotNull() & value.isNull(), f"{path}.type"))
+            reasons.append(reason(inside & text[name].isNull(), f"{path}.missing"))
+        reasons.append(reason(inside & text[name].isNotNull() & F.col(f"_v_{name}").isNull(), f"{path}.type"))
 
     def record(prefix: str, members: list, present: Column) -> Column:
         value = F.struct(*[F.col(f"_v_{prefix}_{n}").alias(n) for n, _, _ in members])
@@ -122,8 +155,8 @@ def read_check_requests(df: DataFrame, json: str = "json") -> DataFrame:
         .cast(schemas.struct(schemas.PROPERTIES)).alias("properties"),
         record("c", _CONTEXT_FIELDS, has_context)
         .cast(schemas.struct(schemas.CONTEXT)).alias("context"),
-        F.array_compact(F.array(*reasons)).alias("reasons"),
-    )
+        F.array_compact(F.array(*reasons)).alias("_reasons"),
+    ).select(*df.columns, "element_type", "properties", "context", F.explode(F.array("_reasons")).alias("reasons"))
 
 
 def validate(df: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.operators.corridor import check_corridor
 from plumbline.plans.views import TABLES, VIEWS
+from plumbline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,8 +130,7 @@ class Inputs:
     """The given tables and the views over them, for one session and folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self.spark, self.sf_dir = tune(spark), sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

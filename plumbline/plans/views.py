@@ -71,21 +71,21 @@ VIEWS = {
     # request texts: valid, coerced, refused and broken ones (chr(123), chr(125) are braces)
     "request_texts": f"""
         SELECT element_id, CASE l_linenumber WHEN 5 THEN left(body, length(body) - 1) ELSE body END AS json FROM (
-            SELECT element_id, l_linenumber, concat(chr(123),
+            SELECT element_id, l_linenumber, chr(123) ||
                 CASE WHEN l_linenumber = 4 THEN ''
                      WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN '"element_type": 5, '
-                     ELSE concat('"element_type": "', element_type, '", ') END,
+                     ELSE '"element_type": "' || element_type || '", ' END ||
                 CASE WHEN l_linenumber = 4 AND l_returnflag = 'R' THEN ''
-                     ELSE concat('"properties": ', chr(123), '"width_mm": ',
-                         CASE l_linenumber WHEN 1 THEN 'null' WHEN 2 THEN concat('"', width_mm, '"')
-                              ELSE concat('', width_mm) END,
-                         coalesce(concat(', "height_mm": ', height_mm), ''), chr(125), ', ') END,
-                '"context": ',
+                     ELSE '"properties": ' || chr(123) || '"width_mm": ' ||
+                         CASE l_linenumber WHEN 1 THEN 'null' WHEN 2 THEN '"' || width_mm || '"'
+                              ELSE CAST(width_mm AS VARCHAR(30)) END ||
+                         coalesce(', "height_mm": ' || height_mm, '') || chr(125) || ', ' END ||
+                '"context": ' ||
                 CASE WHEN l_linenumber = 6 THEN 'null'
-                     ELSE concat(chr(123), '"room_type": ', coalesce(concat('"', room_type, '"'), 'null'), ', "occupancy": ',
+                     ELSE chr(123) || '"room_type": ' || coalesce('"' || room_type || '"', 'null') || ', "occupancy": ' ||
                          CASE l_linenumber WHEN 3 THEN '250.5' WHEN 7 THEN '"250"'
-                              ELSE coalesce(concat('', occupancy), 'null') END, chr(125)) END,
-                chr(125)) AS body
+                              ELSE coalesce(CAST(occupancy AS VARCHAR(9)), 'null') END || chr(125) END ||
+                chr(125) AS body
             FROM (SELECT l_linenumber, l_returnflag, {_ELEMENT} FROM {{lineitem}}) e) t
     """,
     "levels": """
