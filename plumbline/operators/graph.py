@@ -61,7 +61,10 @@ def neighbors(nodes: DataFrame, edges: DataFrame, rel: str | None = None, direct
 def containment_closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
     """``ancestor, descendant, depth`` along CONTAINS.  A hierarchy deeper than ``max_depth``
     (or a cycle) is an error."""
-    child = edges.filter("rel = 'CONTAINS'").select(F.col("src").alias("descendant"), F.col("dst").alias("_next"))
+    # read once: every round joins it
+    child = cut_lineage(edges.filter("rel = 'CONTAINS'").select(
+        F.col("src").alias("descendant"), F.col("dst").alias("_next")
+    ))
     level = child.select(F.col("descendant").alias("ancestor"), F.col("_next").alias("descendant"))
     level = cut_lineage(level.withColumn("depth", F.lit(1)))
     found = [level]
@@ -94,7 +97,9 @@ def containment_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachability(nodes: DataFrame, edges: DataFrame, exits: DataFrame, max_hops: int = 10) -> DataFrame:
     """Fewest CONNECTS_TO hops, either way, from ``exits(id)`` to each room; null beyond ``max_hops``."""
     link = edges.filter("rel = 'CONNECTS_TO'")
-    ways = link.select("src", "dst").unionByName(link.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # read once: every round joins it
+    ways = cut_lineage(link.select(F.inline(ends)))
     level = cut_lineage(exits.select("id").distinct().withColumn("hops", F.lit(0)))
     found = [level]
     for hop in range(1, max_hops + 1):

@@ -42,9 +42,11 @@ def result_rows(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame
     return results, unmatched
 
 
-def persist(checked: DataFrame, rules: DataFrame, path: str) -> DataFrame:
+def persist(checked: DataFrame, rules: DataFrame, path: str, grain: str = "day") -> DataFrame:
     """Appends both tables below ``path`` and returns violations without a stored rule.
 
+    Checks are partitioned by ``check_date``, the day or the first day of the ``grain``.
+
     Rows without an ``id`` get one, unique but not dense, in a checkpoint that both tables are
     written from.  Rebalancing gives even files per date, however skewed the dates are.
     """
@@ -54,7 +56,7 @@ def persist(checked: DataFrame, rules: DataFrame, path: str) -> DataFrame:
         checked = cut_lineage(checked.withColumn("id", F.monotonically_increasing_id() + start))
     rows = check_rows(checked)
     results, unmatched = result_rows(rows, rules)
-    dated = rows.drop("violations").withColumn("check_date", F.to_date("checked_at"))
+    dated = rows.drop("violations").withColumn("check_date", F.to_date(F.date_trunc(grain, "checked_at")))
     dated.hint("rebalance", "check_date").write.mode("append").partitionBy("check_date").parquet(
         f"{path}/compliance_checks"
     )

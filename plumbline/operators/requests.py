@@ -160,7 +160,11 @@ def read_check_requests(df: DataFrame, json: str = "json") -> DataFrame:
 
 
 def validate(df: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Splits JSON rows into ``(valid, rejected)``; every input row is in exactly one."""
+    """Splits JSON rows into ``(valid, rejected)``; every input row is in exactly one.
+
+    Each part reads the source when written; a job that stores both in one pass writes
+    ``read_check_requests`` partitioned by whether ``reasons`` is empty.
+    """
     parsed = read_check_requests(df, json)
     return (
         parsed.filter(F.size("reasons") == 0).drop("reasons", json),

@@ -130,7 +130,7 @@ def rerank(found: DataFrame, query_text: str = "query_text", text: str = "text")
     asked = distinct_tokens(F.col(query_text))
     shared = F.size(F.array_intersect(asked, distinct_tokens(F.col(text))))
     overlap = F.coalesce(shared / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
-    mixed = F.round(0.5 * F.col("score") + 0.5 * overlap, SCORE_DIGITS)
+    mixed = F.round(0.5 * F.col("score") + 0.5 * overlap, SCORE_DIGITS + 3)
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
     return found.withColumn("rerank_score", mixed).withColumn("rerank", F.row_number().over(order))
 

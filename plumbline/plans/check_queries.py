@@ -69,7 +69,12 @@ def _split(valid: DataFrame, rejected: DataFrame) -> DataFrame:
 
 @query("validate_requests", _VALIDATED)
 def validate_requests(t: Inputs) -> DataFrame:
-    return _split(*requests.validate(t.request_texts))
+    """Both parts in one pass, as a job that stores them together reads them."""
+    valid = F.size("reasons") == 0
+    return requests.read_check_requests(t.request_texts).select(
+        "element_id", valid.alias("valid"), F.array_join("reasons", ",").alias("reasons"),
+        F.when(valid, F.col("properties.width_mm")).alias("width_mm"),
+    )
 
 
 @query("error_policy", _VALIDATED)

@@ -36,7 +36,7 @@ def embed_chunks(t: Inputs) -> DataFrame:
     chunks = retrieval.chunk(t.docs).select("doc_id", "chunk_index", "text")
     return retrieval.embed_chunks(chunks).select(
         "doc_id", "chunk_index", F.size("embedding").alias("dimension"),
-        F.round(F.sqrt(cosine(F.col("embedding"), F.col("embedding"))), 6).alias("length"),
+        F.round(F.array_max("embedding").cast("double"), 4).alias("largest"),
     )
 
 
@@ -134,7 +134,7 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L
     SELECT query_id, chunk_id, score, rank, rerank_score, CAST(row_number() OVER (
                PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS INT) AS rerank
     FROM (SELECT *, round(0.5::DOUBLE * score + 0.5::DOUBLE * coalesce(
-                     len(list_intersect(asked, present)) / nullif(len(asked), 0)::DOUBLE, 0), 6) AS rerank_score
+                     len(list_intersect(asked, present)) / nullif(len(asked), 0)::DOUBLE, 0), 9) AS rerank_score
           FROM (SELECT f.*, {_TOKENS.format('q.text')} AS asked, {_TOKENS.format('c.text')} AS present
                 FROM ({_TOP.format(where='', k=5)}) f JOIN documents q ON q.doc_id = f.query_id
                 JOIN documents c ON c.doc_id = f.chunk_id) g) h

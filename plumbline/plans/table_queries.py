@@ -81,7 +81,7 @@ def json_columns(t: Inputs) -> DataFrame:
 """)
 def persist_checks(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "persist")
-    persist.persist(t.checked().drop("id"), _rules_with_builtin(t), path)
+    persist.persist(t.checked().drop("id"), _rules_with_builtin(t), path, grain="year")
     checks = tables.load_table(t.spark, "compliance_checks", f"{path}/compliance_checks")
     results = tables.load_table(t.spark, "check_results", f"{path}/check_results")
     return results.join(checks.select(F.col("id").alias("check_id"), "element_id", "project_id", "checked_at"), "check_id").select(
