@@ -61,24 +61,33 @@ def _slice_summary(ttl: int):
 
 
 def _stitch(ttl: int):
-    """Walks the slices of each key in order; rows arrive sorted by (key, slice, entry)."""
+    """Walks the slices of each key in order; rows arrive sorted by (key, slice, entry).
+
+    Holds one anchor, whatever the number of rows; each slice is one binary search.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = slice_ = anchor = None
         settled = False
         for pdf in batches:
+            keys, slices = pdf["key"].to_numpy(), pdf["slice"].to_numpy()
+            entry, leave = pdf["entry"].to_numpy(), pdf["leave"].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])) + 1
             out = []
-            for k, s, entry, leave in pdf[["key", "slice", "entry", "leave"]].itertuples(index=False):
-                if k != key:
-                    key, slice_, anchor, settled = k, None, None, False
-                if s != slice_:
-                    slice_, settled = s, False
+            for begin, end in zip([0, *cuts], [*cuts, len(pdf)]):
+                if begin == end:
+                    continue
+                if keys[begin] != key:
+                    key, slice_, anchor = keys[begin], None, None
+                if slices[begin] != slice_:
+                    slice_, settled = slices[begin], False
                 if settled:
                     continue
-                least = s if anchor is None else anchor + ttl
-                if entry >= least:
-                    out.append((k, s, least))
-                    anchor, settled = leave, True
+                least = slice_ if anchor is None else anchor + ttl
+                at = begin + int(np.searchsorted(entry[begin:end], least))
+                if at < end:
+                    out.append((key, slice_, least))
+                    anchor, settled = leave[at], True
             yield pd.DataFrame(out, columns=["key", "slice", "least"])
 
     return run
@@ -99,9 +108,13 @@ def _walk(ttl: int):
 
 def cache_anchors(requests: DataFrame, key: str = "cache_key", ts: str = "ts",
                   ttl: int = DEFAULT_TTL, slice_seconds: int = DEFAULT_SLICE) -> DataFrame:
-    """``key, t`` of every request time that computes (``t`` in microseconds)."""
+    """``key, t`` of every request time that computes (``t`` in microseconds).
+
+    ``slice_seconds`` bounds what one task sorts: the distinct times of one key in one slice.
+    Step 2 reads about ttl / slice of the distinct times of a key.
+    """
     ttl_us = ttl * 1_000_000
-    width = max(slice_seconds, ttl) * 1_000_000
+    width = slice_seconds * 1_000_000
     keyed = requests.filter(F.col(key).isNotNull())
     times = keyed.select(F.col(key).alias("key"), _micros(F.col(ts)).alias("t")).distinct()
     times = times.withColumn("slice", F.col("t") - F.pmod(F.col("t"), F.lit(width)))

@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import distinct_tokens
-from plumbline.functions.vectors import cosine
 from plumbline.operators import rules as rule_ops
 
 # The documented retrieval settings.
@@ -118,13 +117,6 @@ def topk_per_query(scored: DataFrame, k: int = TOP_K, min_score: float = MIN_SCO
     return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def topk_single(index: DataFrame, query: list[float], k: int = TOP_K) -> DataFrame:
-    """Best ``k`` chunks for one vector, in total order."""
-    vector = F.lit([float(x) for x in query])
-    score = F.round(cosine(F.col("embedding"), vector), SCORE_DIGITS)
-    return index.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-
-
 def rerank(found: DataFrame, query_text: str = "query_text", text: str = "text") -> DataFrame:
     """Second order of found chunks: half vector score, half share of query tokens present."""
     asked = distinct_tokens(F.col(query_text))
@@ -279,6 +271,14 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_scor
 knn_join = vector_search
 
 
+def topk_single(index: DataFrame, query: list[float], k: int = TOP_K) -> DataFrame:
+    """Best ``k`` chunks for one vector, in total order: k rows per task, then one merge of those."""
+    asked = pa.table({"query_id": ["q"], "embedding": [[float(x) for x in query]], "match_key": [""]})
+    one = index.sparkSession.createDataFrame([], "query_id string")
+    found = _task_search(_prepared(index, "chunk_id", None), one, asked, k, -1.0, False)
+    return found.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
 def filtered_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
                     match_on: tuple[str, ...] = ("geometry_type", "language"),
                     building_types: str | None = "building_types", **options) -> DataFrame:
