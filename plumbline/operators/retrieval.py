@@ -169,9 +169,9 @@ def _best(queries: pa.Table, chunks: pa.Table, k: int, min_score: float, skip_se
     return pd.concat(found, ignore_index=True)
 
 
-def _result_schema(index: DataFrame, queries: DataFrame) -> T.StructType:
+def _result_schema(index: DataFrame, query_id: T.DataType) -> T.StructType:
     return T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("query_id", query_id),
         T.StructField("chunk_id", index.schema["chunk_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
@@ -183,10 +183,10 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _task_search(index: DataFrame, queries: DataFrame, table: pa.Table, k: int, min_score: float,
+def _task_search(index: DataFrame, query_id: T.DataType, table: pa.Table, k: int, min_score: float,
                  skip_self: bool) -> DataFrame:
     """Index rows stay in place; every task gets the (bounded) query table."""
-    schema = _result_schema(index, queries)
+    schema = _result_schema(index, query_id)
     arrow = _arrow_schema(schema)
     shared = index.sparkSession.sparkContext.broadcast(table)
 
@@ -210,7 +210,7 @@ def block_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score
     A bucket of any size is dealt into blocks of about ``block_rows`` on both sides, so the
     unit of work is bounded; each pair of blocks meets once and returns k rows per query.
     """
-    schema = _result_schema(index, queries)
+    schema = _result_schema(index, queries.schema["query_id"].dataType)
     arrow = _arrow_schema(schema)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -248,6 +248,13 @@ def _prepared(df: DataFrame, row_id: str, match_on: list[str] | None) -> DataFra
     return df.filter(F.col("embedding").isNotNull()).select(row_id, "embedding", key.alias("match_key"))
 
 
+def _bucketed(df: DataFrame, row_id: str, match_on: list[str] | None) -> DataFrame:
+    """Bucket per match key.  Without one there is a single bucket, still computed from the row:
+    a constant would turn the joins on it into nested loops."""
+    single = F.pmod(F.xxhash64(row_id), F.lit(1)).cast("string")
+    return df.withColumn("bucket", F.col("match_key") if match_on else single)
+
+
 def vector_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
                   match_on: list[str] | None = None, skip_self: bool = False,
                   task_queries: int = TASK_QUERIES) -> DataFrame:
@@ -260,10 +267,9 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_scor
     queries = _prepared(queries, "query_id", match_on)
     table = queries.limit(task_queries + 1).toArrow()
     if table.num_rows <= task_queries:
-        found = _task_search(index, queries, table, k, min_score, skip_self)
+        found = _task_search(index, queries.schema["query_id"].dataType, table, k, min_score, skip_self)
     else:
-        bucket = F.col("match_key")
-        found = block_search(index.withColumn("bucket", bucket), queries.withColumn("bucket", bucket),
+        found = block_search(_bucketed(index, "chunk_id", match_on), _bucketed(queries, "query_id", match_on),
                              k, min_score, skip_self)
     return topk_per_query(found, k, min_score)
 
@@ -274,8 +280,7 @@ knn_join = vector_search
 def topk_single(index: DataFrame, query: list[float], k: int = TOP_K) -> DataFrame:
     """Best ``k`` chunks for one vector, in total order: k rows per task, then one merge of those."""
     asked = pa.table({"query_id": ["q"], "embedding": [[float(x) for x in query]], "match_key": [""]})
-    one = index.sparkSession.createDataFrame([], "query_id string")
-    found = _task_search(_prepared(index, "chunk_id", None), one, asked, k, -1.0, False)
+    found = _task_search(_prepared(index, "chunk_id", None), T.StringType(), asked, k, -1.0, False)
     return found.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 

@@ -224,10 +224,27 @@ def test_search_matches_brute_force_with_many_copies(spark, task_queries):
     index, queries = vectors(1, 300, copies=100), vectors(1, 40, copies=10)
     found = retrieval.vector_search(
         frame(spark, index, "chunk_id"), frame(spark, queries, "query_id"), 7, 0.3, task_queries=task_queries)
+    assert not any(bad in plan(found) for bad in ("NestedLoop", "Cartesian"))
     got = {(r.query_id, r.chunk_id): r["rank"] for r in found.collect()}
     assert got == brute_top(index, queries, 7, 0.3)
 
 
+def test_filtered_search_matches_brute_force(spark):
+    t = Inputs(spark, SF)
+    rows = {r.chunk_id: r for r in t.vectors.collect()}
+    asked = t.vectors.withColumnRenamed("chunk_id", "query_id")
+    want = {}
+    for q, a in rows.items():
+        index = [c for c, b in rows.items() if c != q and a.geometry_type == b.geometry_type and a.language == b.language
+                 and (b.building_types is None or a.building_type in b.building_types)]
+        data = np.array([rows[c].embedding for c in index])
+        ranked = brute_top(data, np.array([a.embedding]), 3, 0.1) if index else {}
+        want |= {(q, index[c]): rank for (_, c), rank in ranked.items()}
+    for task_queries in (4096, 0):
+        found = retrieval.filtered_search(t.vectors, asked, 3, 0.1, skip_self=True, task_queries=task_queries)
+        assert {(r.query_id, r.chunk_id): r["rank"] for r in found.collect()} == want
+
+
 def test_small_blocks_change_nothing(spark):
     index, queries = vectors(3, 200), vectors(4, 60)
     key = [F.lit("").alias("match_key"), F.lit("b").alias("bucket")]
