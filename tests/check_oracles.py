@@ -20,6 +20,9 @@ from plumbline.plans.views import TABLES  # noqa: E402
 from plumbline.session import build_session  # noqa: E402
 
 
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -44,6 +47,10 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
     theirs = cursor.fetchall()
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
+    wanted = {d[0]: str(d[1]).upper() for d in cursor.description}
+    types = {n: (k, wanted[n]) for n, k in df.dtypes if TYPES.get(k) not in (wanted[n], None)}
+    if types:
+        return f"types {types}"
     a, b = canonical(ours, df.columns), canonical(theirs, columns)
     if a == b:
         return "" if a else "both empty"
