@@ -180,10 +180,9 @@ def apply_error_policy(df: DataFrame, policy: str = "isolate", json: str = "json
         raise ValueError(f"unknown error policy: {policy}")
     parsed = read_check_requests(df, json)
     message = F.concat(F.lit("rejected request: "), F.array_join("reasons", ","))
-    # the guard returns the element type itself, so pruning cannot drop it
-    guarded = F.when(F.size("reasons") > 0, F.raise_error(message).cast("string"))
-    strict = parsed.withColumn("element_type", guarded.otherwise(F.col("element_type")))
-    return strict.drop("reasons", json), None
+    # as a filter the guard stays, whichever columns are read
+    guard = F.when(F.size("reasons") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return parsed.filter(guard).drop("reasons", json), None
 
 
 def to_response_json(df: DataFrame) -> DataFrame:

@@ -87,8 +87,10 @@ def test_error_policy_fail_aborts(spark):
     df = spark.createDataFrame([(request(*GOLDEN[0][:4]),), ("{}",)], "json string")
     strict, rest = requests.apply_error_policy(df, "fail")
     assert rest is None
-    with pytest.raises(Exception, match="rejected request"):
-        strict.select("element_type").collect()
+    for read in (strict.collect, strict.count, strict.select("properties.width_mm").collect):
+        with pytest.raises(Exception, match="rejected request"):
+            read()
+    assert requests.apply_error_policy(df.limit(1), "fail")[0].count() == 1
     valid, rejected = requests.apply_error_policy(df, "isolate")
     assert (valid.count(), rejected.count()) == (1, 1)
     with pytest.raises(ValueError):
