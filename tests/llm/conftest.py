@@ -1,0 +1,11 @@
+"""Helpers of the operator tests; the session comes from the suite's own conftest."""
+
+import pytest
+
+
+@pytest.fixture
+def table(spark):
+    def make(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    return make
