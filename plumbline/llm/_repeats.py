@@ -3,7 +3,8 @@
 Shared by the substring operators.  A *unit* (bytes or words) says what a window is.  Steps:
 
 1. ``_ask``: every document is cut into runs of consecutive windows that share a minimiser; the
-   distinct minimisers of a task's documents go to hash buckets, 16 bytes each.
+   distinct minimisers of a task's documents go to hash buckets, five bytes each with their document
+   (40 bits of the hash beyond those that name the bucket; a chance agreement only adds a candidate.)
 2. ``_answer``: a bucket names the minimisers that occur in two documents or more.  A window can
    only repeat elsewhere if its minimiser does, so nothing is lost.
 3. ``_send``: runs with such a minimiser travel as one packed string to the bucket of the
@@ -26,6 +27,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -37,6 +39,7 @@ BUCKET_BYTES = 2 << 20  # corpus text per bucket; a bucket holds the small repea
 CHUNK_BYTES = 2 << 20  # text per numpy step
 HOT_SHARE = 20_000
 HOT_LEAST = 2_000
+KEY_BITS = 40
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -84,12 +87,39 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _long(values: Any) -> np.ndarray:
-    return np.asarray(values, np.int64)
+def shrink(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of each hash and ``KEY_BITS`` more of its bits."""
+    n = np.uint64(n_buckets)
+    return keys % n + n * ((keys // n) & np.uint64((1 << KEY_BITS) - 1))
+
+
+def five(keys: np.ndarray, n_buckets: int) -> bytes:
+    """Shrunken keys of one bucket, five bytes each."""
+    return np.ascontiguousarray((keys // np.uint64(n_buckets)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unfive(blob: bytes, bucket: int, n_buckets: int) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).reshape(-1) * np.uint64(n_buckets) + np.uint64(bucket)
+
+
+def squeeze(array: np.ndarray) -> bytes:
+    """A column of integers, differences first, compressed."""
+    return zstandard.compress(np.diff(array, prepend=array.dtype.type(0)).tobytes(), 1)
+
 
+def unsqueeze(blob: bytes, dtype: Any = np.int64) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(blob), dtype), dtype=dtype)
 
-def _join(column: pa.ChunkedArray, dtype: Any) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype)
+
+def _gather(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [unsqueeze(x) for x in column.to_pylist() if x is not None]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _long(values: Any) -> np.ndarray:
+    return np.asarray(values, np.int64)
 
 
 def _texts(column: Any) -> list[bytes]:
@@ -112,13 +142,13 @@ def find_spans(docs: DataFrame, unit: Any, n_blocks: int, n_buckets: int) -> Dat
     asked = docs.select("doc_id", "text").mapInArrow(
         _ask(unit, n_blocks, n_buckets), "bucket long, docs binary, keys binary, counts binary")
     answers = cut_lineage(asked.groupBy("bucket").applyInArrow(
-        _answer(n_blocks, n_buckets), "block long, docs binary, keys binary, hot binary, total long"))
+        _answer(n_blocks, n_buckets), "block long, bucket long, docs binary, keys binary, hot binary, total long"))
     total = answers.agg(F.sum("total")).first()[0] or 0
     limit = max(HOT_LEAST, total // HOT_SHARE)
     # Counts of a key are complete in its one bucket, so at most total / limit keys come back.
     found = answers.filter("hot IS NOT NULL").select(F.explode(_unpack_hot(limit)(F.col("hot"))).alias("key"))
     hot = np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
-    sent = docs.groupBy("block").cogroup(answers.filter("docs IS NOT NULL").select("block", "docs", "keys")
+    sent = docs.groupBy("block").cogroup(answers.filter("docs IS NOT NULL").select("block", "bucket", "docs", "keys")
                                          .groupBy("block")).applyInArrow(
         _send(unit, n_blocks, n_buckets, hot), "bucket long, meta binary, strings binary")
     return sent.groupBy("bucket").applyInArrow(_judge(unit, n_blocks, n_buckets), "block long, spans binary")
@@ -146,14 +176,14 @@ def _ask(unit: Any, n_blocks: int, n_buckets: int) -> Callable:
         many = np.minimum.reduceat(docs, at) < np.maximum.reduceat(docs, at)
         rows: list[tuple] = []
         bucket = (keys[at] % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = group_starts(bucket[order])
+        order = np.lexsort((docs[at], bucket))
         entry = counts * np.where(many, -1, 1)  # negative: of several documents
-        for part in np.split(order, cuts[1:]):
-            rows.append((int(bucket[part[0]]), docs[at[part]].tobytes(), keys[at[part]].tobytes(),
-                         entry[part].astype(np.int32).tobytes()))
+        for part in np.split(order, group_starts(bucket[order])[1:]):
+            own = entry[part]
+            rows.append((int(bucket[part[0]]), squeeze(docs[at[part]]), five(keys[at[part]], n_buckets),
+                         None if (own == 1).all() else squeeze(own)))
         known = np.repeat(many, counts)
-        yield from _pass_on(rows, docs[known], [keys[known]], n_blocks, n_buckets)
+        _pass_on(rows, docs[known], keys[known], n_blocks, n_buckets)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
             names=["bucket", "docs", "keys", "counts"])
@@ -167,7 +197,7 @@ def _ask(unit: Any, n_blocks: int, n_buckets: int) -> Callable:
             for a, b in chunks(texts):
                 doc, _, _, keys, _ = unit.runs(texts[a:b])
                 if len(keys):
-                    held_keys.append(keys)
+                    held_keys.append(shrink(keys, n_buckets))
                     held_docs.append(ids[a:b][doc])
                     held += len(keys)
                 if held > 2_000_000:
@@ -179,29 +209,31 @@ def _ask(unit: Any, n_blocks: int, n_buckets: int) -> Callable:
     return run
 
 
-def _pass_on(rows: list, docs: np.ndarray, values: list[np.ndarray], n_blocks: int, n_buckets: int) -> Iterator:
+def _pass_on(rows: list, docs: np.ndarray, keys: np.ndarray, n_blocks: int, n_buckets: int) -> None:
     """Adds rows for the blocks of ``docs``, sent through pseudo-buckets beyond the real ones."""
     if len(docs):
         block = docs % n_blocks
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((docs, block))
         for part in np.split(order, group_starts(block[order])[1:]):
-            rows.append((n_buckets + int(block[part[0]]), docs[part].tobytes(), values[0][part].tobytes(), None))
-    return iter(())
+            rows.append((n_buckets + int(block[part[0]]), squeeze(docs[part]), keys[part].tobytes(), None))
 
 
 def _answer(n_blocks: int, n_buckets: int) -> Callable:
-    names = ["block", "docs", "keys", "hot", "total"]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["block", "bucket", "docs", "keys", "hot", "total"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         if bucket >= n_buckets:
             n = table.num_rows
-            return pa.table([pa.array([bucket - n_buckets] * n, types[0]), table["docs"], table["keys"],
-                             pa.nulls(n, types[3]), pa.nulls(n, types[4])], names=names)
-        docs, keys = _join(table["docs"], np.int64), _join(table["keys"], np.uint64)
-        counts = _join(table["counts"], np.int32).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
+            return pa.table([pa.array([bucket - n_buckets] * n, types[0]), pa.nulls(n, types[1]), table["docs"], table["keys"],
+                             pa.nulls(n, types[4]), pa.nulls(n, types[5])], names=names)
+        parts = [unsqueeze(x) for x in table["docs"].to_pylist()]
+        docs = np.concatenate(parts)
+        keys = unfive(b"".join(table["keys"].to_pylist()), bucket, n_buckets)
+        counts = np.concatenate([np.ones(len(d), np.int64) if c is None else unsqueeze(c)
+                                 for c, d in zip(table["counts"].to_pylist(), parts, strict=True)])
+        order = np.argsort(keys)
         docs, keys, counts = docs[order], keys[order], counts[order]
         at = group_starts(keys)
         sizes = np.diff(np.append(at, len(keys)))
@@ -211,13 +243,13 @@ def _answer(n_blocks: int, n_buckets: int) -> Callable:
         told = np.repeat(repeats, sizes) & (counts > 0)
         docs, keys_told = docs[told], keys[told]
         block = docs % n_blocks
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((docs, block))
         parts = np.split(order, group_starts(block[order])[1:]) if len(order) else []
         large = seen >= HOT_LEAST
         pairs = np.column_stack([keys[at][large].view(np.int64), seen[large]]).astype(np.int64)
-        rows = [(int(block[p[0]]), docs[p].tobytes(), keys_told[p].tobytes(), None, None) for p in parts]
-        rows.append((None, None, None, pairs.tobytes() if len(pairs) else None, int(seen.sum())))
-        return pa.table([pa.array([r[i] for r in rows], types[i]) for i in range(5)], names=names)
+        rows = [(int(block[p[0]]), bucket, squeeze(docs[p]), five(keys_told[p], n_buckets), None, None) for p in parts]
+        rows.append((None, None, None, None, pairs.tobytes() if len(pairs) else None, int(seen.sum())))
+        return pa.table([pa.array([r[i] for r in rows], types[i]) for i in range(6)], names=names)
 
     return run
 
@@ -231,7 +263,9 @@ def _send(unit: Any, n_blocks: int, n_buckets: int, hot: np.ndarray) -> Callable
         if docs.num_rows and answers.num_rows:
             docs = docs.sort_by("doc_id")
             ids, tags, texts = _long(docs["doc_id"]), _long(docs["tag"]), _texts(docs["text"])
-            wanted = np.unique(pair(_join(answers["docs"], np.int64), _join(answers["keys"], np.uint64)))
+            told = [np.frombuffer(k, np.uint64) if b is None else unfive(k, b, n_buckets)
+                    for b, k in zip(answers["bucket"].to_pylist(), answers["keys"].to_pylist(), strict=True)]
+            wanted = np.unique(pair(_gather(answers["docs"]), np.concatenate(told)))
             first: dict[bytes, int] = {}
             meta: list[tuple] = []
             strings: list[bytes] = []
@@ -251,6 +285,7 @@ def _send(unit: Any, n_blocks: int, n_buckets: int, hot: np.ndarray) -> Callable
                 doc, start, count, keys, cut = unit.runs(texts[a:b])
                 if not len(keys):
                     continue
+                keys = shrink(keys, n_buckets)
                 asked = pair(ids[a:b][doc], keys)
                 at = np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)
                 picked = np.flatnonzero(wanted[at] == asked)
@@ -265,13 +300,14 @@ def _send(unit: Any, n_blocks: int, n_buckets: int, hot: np.ndarray) -> Callable
                     else:
                         settle(cut(i, 0, n), int(keys[i]), owner, tag, begin, n)
             if known:
-                rows.append((n_buckets + docs["block"][0].as_py(), np.array(known, np.int64).tobytes(), None))
+                rows.append((n_buckets + docs["block"][0].as_py(), zstandard.compress(np.array(known, np.int64).tobytes(), 1), None))
             if meta:
                 bucket = np.array(buckets)
                 table = np.array(meta, np.int64)
                 order = np.argsort(bucket, kind="stable")
                 for part in np.split(order, group_starts(bucket[order])[1:]):
-                    rows.append((int(bucket[part[0]]), table[part].tobytes(), b"".join(strings[i] for i in part.tolist())))
+                    rows.append((int(bucket[part[0]]), squeeze(table[part].T.reshape(-1)),
+                                 zstandard.compress(b"".join([strings[i] for i in part.tolist()]), 3)))
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
                          pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "meta", "strings"])
 
@@ -287,8 +323,8 @@ def _judge(unit: Any, n_blocks: int, n_buckets: int) -> Callable:
         bucket = group["bucket"][0].as_py()
         if bucket >= n_buckets:
             return table([(bucket - n_buckets, blob) for blob in group["meta"].to_pylist()])
-        meta = _join(group["meta"], np.int64).reshape(-1, 4)
-        text = b"".join(group["strings"].to_pylist())
+        meta = np.concatenate([unsqueeze(x).reshape(4, -1).T for x in group["meta"].to_pylist()])
+        text = b"".join(zstandard.decompress(x) for x in group["strings"].to_pylist())
         ends = np.cumsum(meta[:, 3])
         number: dict[bytes, int] = {}
         which = np.array([number.setdefault(text[e - n:e], len(number)) for e, n in zip(ends.tolist(), meta[:, 3].tolist(), strict=True)])
@@ -309,7 +345,7 @@ def _judge(unit: Any, n_blocks: int, n_buckets: int) -> Callable:
         found = np.column_stack([meta[spans[:, 0], 0], meta[spans[:, 0], 1], spans[:, 1], spans[:, 2]])
         block = found[:, 0] % n_blocks
         order = np.argsort(block, kind="stable")
-        return table([(int(block[p[0]]), np.ascontiguousarray(found[p]).tobytes())
+        return table([(int(block[p[0]]), zstandard.compress(np.ascontiguousarray(found[p]).tobytes(), 1))
                       for p in np.split(order, group_starts(block[order])[1:])])
 
     return run
@@ -332,7 +368,7 @@ def apply_spans(docs: DataFrame, spans: DataFrame, keep: Callable, schema: dict[
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, tags = _long(left["doc_id"]), _long(left["tag"])
-        found = _join(right["spans"], np.int64).reshape(-1, 4) if right.num_rows else np.zeros((0, 4), np.int64)
+        found = np.frombuffer(b"".join(zstandard.decompress(x) for x in right["spans"].to_pylist()), np.int64).reshape(-1, 4)
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
         own = np.flatnonzero(np.concatenate(([True], np.any(found[1:, :2] != found[:-1, :2], axis=1)))) if len(found) else np.zeros(0, np.int64)
         ends = np.append(own[1:], len(found))[:len(own)]
