@@ -129,7 +129,7 @@ def _texts(column: Any) -> list[bytes]:
 def plan_sizes(docs: DataFrame) -> tuple[int, int]:
     """Numbers of blocks and buckets, from the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(total // BLOCK_BYTES + 1, least), max(total // BUCKET_BYTES + 1, least)
 
 
