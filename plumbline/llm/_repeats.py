@@ -30,6 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from plumbline.session import cut_lineage
@@ -359,12 +360,13 @@ def close_up(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.column_stack([owner[cut], place[cut], np.diff(np.append(cut, len(owner)))])
 
 
-def apply_spans(docs: DataFrame, spans: DataFrame, keep: Callable, schema: dict[str, pa.DataType]) -> DataFrame:
+def apply_spans(docs: DataFrame, spans: DataFrame, keep: Callable, schema: dict[str, pa.DataType], carry: list[str]) -> DataFrame:
     """One result row per document: ``keep(text, starts, counts)`` gives the columns after ``doc_id``.
 
     ``starts`` and ``counts`` are the repeated windows of the document, unsorted and possibly overlapping.
     """
     names, types = ["doc_id", *schema], [pa.int64(), *schema.values()]
+    result = T.StructType([*from_arrow_schema(pa.schema(list(zip(names, types, strict=True)))).fields, *docs.select(*carry).schema.fields])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, tags = _long(left["doc_id"]), _long(left["tag"])
@@ -377,29 +379,32 @@ def apply_spans(docs: DataFrame, spans: DataFrame, keep: Callable, schema: dict[
         for doc, tag, text in zip(ids.tolist(), tags.tolist(), _texts(left["text"]), strict=True):
             a, b = where.get((doc, tag), (0, 0))
             rows.append((doc, *keep(text, found[a:b, 2], found[a:b, 3])))
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+        return pa.table([*made, *[left[c] for c in carry]], names=[*names, *carry])
 
-    return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        run, from_arrow_schema(pa.schema(list(zip(names, types, strict=True)))))
+    return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, result)
 
 
-def remove_repeats(docs: DataFrame, unit: Any) -> DataFrame:
-    """``doc_id`` and the columns of ``unit.keep`` for every row of ``docs`` (``doc_id``, ``text``)."""
+def remove_repeats(docs: DataFrame, unit: Any, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``unit.keep`` and those to carry along, for every row of ``docs`` (``doc_id``, ``text``)."""
+    carry = carry or []
+    if set(carry) & {"doc_id", "text", "tag", "block", *unit.schema}:
+        raise ValueError("carried columns clash with the result's")
     n_blocks, n_buckets = plan_sizes(docs)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"),
-        F.pmod(F.col("doc_id").cast("long"), F.lit(n_blocks)).alias("block"))
+        F.pmod(F.col("doc_id").cast("long"), F.lit(n_blocks)).alias("block"), *carry)
     named = rows.filter("doc_id IS NOT NULL")
-    result = apply_spans(named, find_spans(named, unit, n_blocks, n_buckets), unit.keep, unit.schema)
+    result = apply_spans(named, find_spans(named, unit, n_blocks, n_buckets), unit.keep, unit.schema, carry)
     # A row without an id has no place in the order of documents: it shares nothing and stays as it is.
     empty = np.zeros(0, np.int64)
-    names, types = result.columns, [pa.int64(), *unit.schema.values()]
+    names, types = ["doc_id", *unit.schema], [pa.int64(), *unit.schema.values()]
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(None, *unit.keep(text, empty, empty)) for text in _texts(batch["text"])]
             arrays = [pa.array([r[i] for r in kept], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays([*arrays, *[batch[c] for c in carry]], names=[*names, *carry])
 
-    nameless = rows.filter("doc_id IS NULL").select("text").mapInArrow(untouched, result.schema)
+    nameless = rows.filter("doc_id IS NULL").select("text", *carry).mapInArrow(untouched, result.schema)
     return result.unionByName(nameless)

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from plumbline.llm._repeats import mix, spread
@@ -385,9 +387,11 @@ SCHEMA = {
 DIGESTS = {"n_ids": pa.int32(), "ids_sha256": pa.string(), "n_sampled": pa.int32(), "sample_sizes": pa.list_(pa.int32()), "samples_sha256": pa.string()}
 
 
-def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES, digests: bool = False) -> DataFrame:
+def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES, digests: bool = False,
+                      carry: list[str] | None = None) -> DataFrame:
     """``doc_id, ids, decodes, samples, log_chances, inclusions`` of every row; with ``digests`` numbers and digests of the
     id lists in place of the lists."""
+    along = carry or []
     with open(model_path, "rb") as file:  # on the driver; tasks get the bytes
         model = file.read()
     names = dict(SCHEMA) if not digests else {n: t for n, t in SCHEMA.items() if n not in ("ids", "samples")} | DIGESTS
@@ -439,12 +443,14 @@ def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES
             for i, text in enumerate([*texts, None]):
                 if i > start and (text is None or held + len(text) > CHUNK_CHARS):
                     made = rows(ids[start:i], texts[start:i], own)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in made], t) for n, t in names.items()], names=list(names))
+                    columns = [pa.array([r[n] for r in made], t) for n, t in names.items()] + [batch[c].slice(start, i - start) for c in along]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *along])
                     start, held = i, 0
                 held += len(text or "")
 
-    plain = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
-    return plain.mapInArrow(run, from_arrow_schema(pa.schema(list(names.items()))))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *along)
+    result = [*from_arrow_schema(pa.schema(list(names.items()))).fields, *plain.select(*along).schema.fields]
+    return plain.mapInArrow(run, T.StructType(result))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
