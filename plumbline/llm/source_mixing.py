@@ -152,7 +152,8 @@ def mix_sources(docs: DataFrame, sources: Column, keep: list[str] | None = None)
     running = Window.partitionBy("pattern").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     ends = (sums.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0))).join(amounts, "pattern")
             .filter("before <= rest AND before + size > rest").select("pattern", F.col("prefix").alias("last"), "before"))
-    chosen = sized.join(amounts.join(ends, "pattern", "left"), "pattern").withColumn("_prefix", prefix)
+    # At most MAX_PATTERNS rows, so every task can hold them and a hot source is not dealt to one.
+    chosen = sized.join(F.broadcast(amounts.join(ends, "pattern", "left")), "pattern").withColumn("_prefix", prefix)
     inner = Window.partitionBy("pattern").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = chosen.filter("_prefix = last").withColumn("_middle", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2)
     extra = F.when(F.col("_middle") <= F.col("rest"), 1).otherwise(0)
