@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import floor_number
 from plumbline.operators.extract import DEFAULT_BUILDING_TYPE
 
-# Rooms of one grid cell that may travel together in one row of the lookup.
-CELL_ROOMS = 512
-
 
 def join_levels(elements: DataFrame, levels: DataFrame) -> DataFrame:
     """Adds ``level_name`` and ``floor_level`` (left outer on ``level_id``)."""
@@ -36,81 +33,65 @@ def join_projects(df: DataFrame, projects: DataFrame) -> DataFrame:
     ).drop("_own_type")
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size))).cast("long")
+def cell_size(rooms: DataFrame) -> Column:
+    """Side of a grid cell, a subquery over the rooms: their median side, but never so small that
+    the longest room touches more than about 64 cells along a side."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    solid = rooms.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
+    size = solid.agg(F.greatest(F.percentile_approx(side, 0.5), F.max(side) / 64).alias("size")).scalar()
+    return F.coalesce(size, F.lit(1.0))
 
 
-def _inside(x: Column, y: Column, box: Column) -> Column:
-    return (x >= box["x0"]) & (x < box["x1"]) & (y >= box["y0"]) & (y < box["y1"])
+def _cell(value: Column, size: Column) -> Column:
+    return F.floor(value / size).cast("long")
 
 
-def room_cells(rooms: DataFrame, cell: float) -> DataFrame:
-    """Rooms repeated once per grid cell their half-open box touches."""
+def room_cells(rooms: DataFrame, size: Column) -> DataFrame:
+    """Rooms repeated once per grid cell ``_cx, _cy`` their half-open box touches."""
     def span(low: str, high: str) -> Column:
-        last = (F.ceil(F.col(high) / F.lit(float(cell))) - 1).cast("long")
-        return F.sequence(_cell(F.col(low), cell), last)
+        return F.sequence(F.col(low), F.greatest(F.col(low), F.col(high) - 1))
 
     solid = rooms.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-    return solid.withColumn("cx", F.explode(span("x0", "x1"))).withColumn(
-        "cy", F.explode(span("y0", "y1"))
-    )
+    # the size is worked out once per room, before the explosion
+    edges = solid.withColumns({
+        "_a": _cell(F.col("x0"), size), "_b": F.ceil(F.col("x1") / size).cast("long"),
+        "_c": _cell(F.col("y0"), size), "_d": F.ceil(F.col("y1") / size).cast("long"),
+    })
+    return edges.withColumn("_cx", F.explode(span("_a", "_b"))).withColumn("_cy", F.explode(span("_c", "_d"))).drop("_a", "_b", "_c", "_d")
 
 
-def join_rooms(elements: DataFrame, rooms: DataFrame, cell: float = 10.0,
-               cell_rooms: int = CELL_ROOMS) -> DataFrame:
+def join_rooms(elements: DataFrame, rooms: DataFrame) -> DataFrame:
     """Adds ``room_id`` and ``room_type`` of the room at the element's point.
 
     Only point-located elements look for a room; among overlapping rooms the smallest id
-    wins.  The grid cell is an equi key.  Cells are checked first (a job over the rooms
-    only): while none holds more than ``cell_rooms`` rooms, each cell is one lookup row
-    and elements are never shuffled by id.  Otherwise rooms of a crowded cell are dealt
-    into bounded packs and the winner is taken over an element's packs.
+    wins.  Distinct points meet rooms by grid cell, the winner of each point is a minimum
+    that is combined before the shuffle, and elements look their point up: the same plan
+    however many rooms a cell holds, and no element is grouped.
     """
-    cells = room_cells(rooms, cell)
-    key = ["level_id", "cx", "cy"]
-    counts = cells.groupBy(*key).count()
-    largest = counts.agg(F.max("count").alias("n")).first()["n"] or 0
-
-    room = F.struct("room_id", F.col("name").alias("room_type"), "x0", "x1", "y0", "y1")
-    pack = F.lit(0)
-    if largest > cell_rooms:
-        cells = cells.join(counts, key)
-        packs = F.ceil(F.col("count") / F.lit(cell_rooms))
-        pack = F.pmod(F.xxhash64("room_id"), packs)
-    lookup = (
-        cells.withColumn("_pack", pack).groupBy(*key, "_pack")
-        .agg(F.collect_list(room).alias("_rooms")).drop("_pack")
-    )
-
-    x, y = F.col("x"), F.col("y")
+    size = cell_size(rooms)
     is_point = F.col("location_kind") == "point"
-    placed = elements.withColumns({
-        "cx": F.when(is_point, _cell(x, cell)),
-        "cy": F.when(is_point, _cell(y, cell)),
+    place = ["level_id", "x", "y"]
+    points = elements.filter(is_point).dropna(subset=place).select(*place).distinct().withColumns({
+        "_cx": _cell(F.col("x"), size), "_cy": _cell(F.col("y"), size),
     })
-    joined = placed.join(lookup, key, "left").drop("cx", "cy")
-    hit = F.array_min(F.filter("_rooms", lambda r: _inside(x, y, r)))
-    joined = joined.withColumn("_hit", hit).drop("_rooms")
-    if largest > cell_rooms:
-        rest = [c for c in elements.columns if c != "element_id"]
-        joined = joined.groupBy("element_id").agg(
-            F.min("_hit").alias("_hit"), *[F.any_value(c).alias(c) for c in rest]
-        )
-    return joined.select(
-        *elements.columns, F.col("_hit.room_id").alias("room_id"),
-        F.col("_hit.room_type").alias("room_type"),
-    )
+    boxes = room_cells(rooms, size).select(
+        "level_id", "_cx", "_cy", "x0", "x1", "y0", "y1", F.struct("room_id", F.col("name").alias("room_type")).alias("_room"))
+    x, y = F.col("x"), F.col("y")
+    inside = (x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1"))
+    hits = points.join(boxes, ["level_id", "_cx", "_cy"]).filter(inside).groupBy(*place).agg(F.min("_room").alias("_hit"))
+    found = hits.select(*[F.col(c).alias(f"_{c}") for c in place], "_hit")
+    same = is_point & (F.col("level_id") == F.col("_level_id")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    rest = [c for c in elements.columns if c not in ("room_id", "room_type")]
+    return elements.select(*rest).join(found, same, "left").select(
+        *rest, F.col("_hit.room_id").alias("room_id"), F.col("_hit.room_type").alias("room_type"))
 
 
-def resolve_rule_keys(violations: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(resolved, unmatched)``: text rule ids replaced by integer keys of the rule table."""
+def with_rule_keys(violations: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds the integer ``rule_key`` and ``rule_reference`` of text rule ids; both are null for a rule that is not stored."""
     keys = rules.select(
         F.col("id").alias("rule_key"), "rule_id", F.col("code_reference").alias("rule_reference")
     )
-    return (
-        violations.join(keys, "rule_id"),
-        violations.join(keys.select("rule_id"), "rule_id", "left_anti"),
-    )
+    return violations.join(keys, "rule_id", "left")
 
 
 def check_detail(users: DataFrame, projects: DataFrame, checks: DataFrame, results: DataFrame,

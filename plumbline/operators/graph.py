@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.enrich import cell_size
 from plumbline.session import cut_lineage
 
 # Kinds and relations of the graph.
@@ -58,9 +59,8 @@ def neighbors(nodes: DataFrame, edges: DataFrame, rel: str | None = None, direct
     )
 
 
-def containment_closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
-    """``ancestor, descendant, depth`` along CONTAINS.  A hierarchy deeper than ``max_depth``
-    (or a cycle) is an error."""
+def containment_closure(edges: DataFrame) -> DataFrame:
+    """``ancestor, descendant, depth`` along CONTAINS, to any depth.  A cycle (a node below itself) is an error."""
     # read once: every round joins it
     child = cut_lineage(edges.filter("rel = 'CONTAINS'").select(
         F.col("src").alias("descendant"), F.col("dst").alias("_next")
@@ -69,8 +69,8 @@ def containment_closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
     level = cut_lineage(level.withColumn("depth", F.lit(1)))
     found = [level]
     while not level.isEmpty():
-        if len(found) > max_depth:
-            raise ValueError(f"containment deeper than {max_depth}: cycle?")
+        if not level.filter("ancestor = descendant").isEmpty():
+            raise ValueError("a node contains itself")
         level = cut_lineage(level.join(child, "descendant").select(
             "ancestor", F.col("_next").alias("descendant"), (F.col("depth") + 1).alias("depth")
         ))
@@ -79,36 +79,43 @@ def containment_closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
 
 
 def containment_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, kind, room, floor, building`` of each element below a room."""
+    """``id, kind, room, floor, building`` of each element; null where it hangs on none, as on a floor."""
     up = edges.filter("rel = 'CONTAINS'")
 
     def parents(child: str, parent: str) -> DataFrame:
         return up.select(F.col("dst").alias(child), F.col("src").alias(parent))
 
-    rooms = nodes.filter("kind = 'Room'").select(F.col("id").alias("room"))
+    # floor and building of each room, floor and building first: that side is small, elements come last
+    def only(kind: str) -> DataFrame:
+        return nodes.filter(F.col("kind") == kind)
+
+    floors = only("Floor").select(F.col("id").alias("floor")).join(parents("floor", "building"), "floor", "left")
+    rooms = only("Room").select(F.col("id").alias("room")).join(parents("room", "floor"), "room", "left").join(floors, "floor", "left")
+    none = F.lit(None).cast("string")
+    holders = reduce(DataFrame.unionByName, [
+        rooms.select(F.col("room").alias("holder"), "room", "floor", "building"),
+        floors.select(F.col("floor").alias("holder"), none.alias("room"), "floor", "building"),
+        only("Building").select(F.col("id").alias("holder"), none.alias("room"), none.alias("floor"), F.col("id").alias("building")),
+    ])
     elements = nodes.filter(F.col("kind").isin("Wall", "Door", "Window")).select("id", "kind")
-    # building of each room first: that side is as small as the rooms, elements come last
-    housed = rooms.join(parents("room", "floor"), "room", "left").join(parents("floor", "building"), "floor", "left")
-    return elements.join(parents("id", "room"), "id").join(housed, "room").select(
+    return elements.join(parents("id", "holder"), "id", "left").join(holders, "holder", "left").select(
         "id", "kind", "room", "floor", "building"
     )
 
 
-def reachability(nodes: DataFrame, edges: DataFrame, exits: DataFrame, max_hops: int = 10) -> DataFrame:
-    """Fewest CONNECTS_TO hops, either way, from ``exits(id)`` to each room; null beyond ``max_hops``."""
+def reachability(nodes: DataFrame, edges: DataFrame, exits: DataFrame) -> DataFrame:
+    """Fewest CONNECTS_TO hops, either way, from ``exits(id)`` to each room; null where there is no way."""
     link = edges.filter("rel = 'CONNECTS_TO'")
     ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     # read once: every round joins it
     ways = cut_lineage(link.select(F.inline(ends)))
     level = cut_lineage(exits.select("id").distinct().withColumn("hops", F.lit(0)))
     found = [level]
-    for hop in range(1, max_hops + 1):
+    while not level.isEmpty():
         # a node next to the frontier is new or in one of the last two levels
         recent = reduce(DataFrame.unionByName, found[-2:]).select("id")
         following = ways.join(level.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        level = cut_lineage(following.join(recent, "id", "left_anti").withColumn("hops", F.lit(hop)))
-        if level.isEmpty():
-            break
+        level = cut_lineage(following.join(recent, "id", "left_anti").withColumn("hops", F.lit(len(found))))
         found.append(level)
     reached = reduce(DataFrame.unionByName, found)
     return nodes.filter("kind = 'Room'").select("id").join(reached, "id", "left")
@@ -130,22 +137,25 @@ def part_of(edges: DataFrame) -> DataFrame:
     )
 
 
-def adjacent_rooms(rooms: DataFrame, cell: float = 10.0) -> DataFrame:
+def adjacent_rooms(rooms: DataFrame) -> DataFrame:
     """Unordered pairs ``a < b`` of rooms on one level whose boxes share part of an edge.
 
-    The equi key is the line of the shared edge plus a cell along it: one room's far side
+    The equi key is the line of the shared edge plus a cell along it (as long as the median room): one room's far side
     meets another's near side.  A pair is emitted only in the cell where the shared part
     begins, so no distinct is needed.
     """
+    cell = F.col("_size")
+    solid = rooms.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).withColumn("_size", cell_size(rooms))
+
     def sides(low: str, high: str, across: tuple[str, str], axis: str, name: str) -> DataFrame:
         a, b = across
-        last = (F.ceil(F.col(b) / F.lit(float(cell))) - 1).cast("long")
-        cells = F.sequence(F.floor(F.col(a) / F.lit(float(cell))).cast("long"), last)
+        first = F.floor(F.col(a) / cell).cast("long")
+        cells = F.sequence(first, F.greatest(first, (F.ceil(F.col(b) / cell) - 1).cast("long")))
         edge = F.col(high) if name == "far" else F.col(low)
-        solid = rooms.filter((F.col(low) < F.col(high)) & (F.col(a) < F.col(b)))
         return solid.select(
             "level_id", F.lit(axis).alias("axis"), edge.alias("line"), F.explode(cells).alias("cell"),
             F.col("room_id").alias(f"{name}_id"), F.col(a).alias(f"{name}_lo"), F.col(b).alias(f"{name}_hi"),
+            F.col("_size").alias(f"{name}_size"),
         )
 
     def both(name: str) -> DataFrame:
@@ -154,7 +164,7 @@ def adjacent_rooms(rooms: DataFrame, cell: float = 10.0) -> DataFrame:
 
     begin = F.greatest("far_lo", "near_lo")
     touching = begin < F.least("far_hi", "near_hi")
-    first_cell = F.floor(begin / F.lit(float(cell))).cast("long") == F.col("cell")
+    first_cell = F.floor(begin / F.col("far_size")).cast("long") == F.col("cell")
     pairs = both("far").join(both("near"), ["level_id", "axis", "line", "cell"]).filter(
         touching & first_cell & (F.col("far_id") != F.col("near_id"))
     )

@@ -70,7 +70,7 @@ def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:
         ).agg(F.count(F.lit(1)).alias("rows"))
         parents = tables[parent].select(F.col("id").alias("key"))
         parts.append(keys.join(parents, "key", "left_anti").select(
-            F.lit(child).alias("table_name"), F.lit(column).alias("column_name"), "key", "rows"
+            F.lit(child).alias("table_name"), F.lit(column).alias("column_name"), F.col("key").cast("string").alias("key"), "rows"
         ))
     return reduce(DataFrame.unionByName, parts)
 

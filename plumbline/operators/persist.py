@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline import schemas
-from plumbline.operators.enrich import resolve_rule_keys
+from plumbline.operators.enrich import with_rule_keys
 from plumbline.session import cut_lineage
+from plumbline.streaming.atomic import publish, read_published
 
 
-def _next_id(spark: SparkSession, path: str, table: str) -> int:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return 1
-    stored = spark.read.schema(schemas.table_schema(table)).parquet(path)
-    return (stored.agg(F.max("id")).first()[0] or 0) + 1
+# A stored id holds batch, partition and row: 15, 20 and 28 bits.
+ROW_BITS, PARTITION_BITS = 28, 20
+
+
+def numbered(df: DataFrame, batch_id: int) -> DataFrame:
+    """Adds ``id``, unique over all batches without asking what is stored; not dense."""
+    if not 0 <= batch_id < 1 << (63 - ROW_BITS - PARTITION_BITS):
+        raise ValueError(f"batch {batch_id} is out of range")
+    raw = F.monotonically_increasing_id()  # the partition's number above 33 bits of row number
+    partition, row = F.shiftright(raw, 33), raw.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (partition < 1 << PARTITION_BITS) & (row < 1 << ROW_BITS)
+    packed = F.lit(batch_id << (PARTITION_BITS + ROW_BITS)) + F.shiftleft(partition, ROW_BITS) + row
+    return df.withColumn("id", F.when(fits, packed).otherwise(F.raise_error(F.lit("too many rows or partitions for the ids of a batch")).cast("long")))
 
 
 def check_rows(checked: DataFrame) -> DataFrame:
@@ -29,38 +35,38 @@ def check_rows(checked: DataFrame) -> DataFrame:
     )
 
 
-def result_rows(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(results, unmatched)`` of check rows: exploded violations with integer rule keys."""
+def result_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Exploded violations of check rows with integer rule keys in ``rule_id``, null without a stored rule."""
     exploded = rows.select(
         F.col("id").alias("check_id"), F.col("checked_at").alias("created_at"), F.explode("violations").alias("v")
     ).select("check_id", "created_at", "v.*")
-    resolved, unmatched = resolve_rule_keys(exploded, rules)
-    results = resolved.select(
+    return with_rule_keys(exploded, rules).select(
         "check_id", F.col("rule_key").alias("rule_id"), "severity", "message", "required_value",
-        "actual_value", "confidence_score", "created_at",
+        "actual_value", "confidence_score", "created_at", F.col("rule_id").alias("rule_text"),
     )
-    return results, unmatched
-
 
-def persist(checked: DataFrame, rules: DataFrame, path: str, grain: str = "day") -> DataFrame:
-    """Appends both tables below ``path`` and returns violations without a stored rule.
 
-    Checks are partitioned by ``check_date``, the day or the first day of the ``grain``.
+def persist(checked: DataFrame, rules: DataFrame, path: str, batch_id: int = 0, grain: str = "day") -> DataFrame:
+    """Stores both tables of a batch below ``path`` and returns its violations without a stored rule.
 
-    Rows without an ``id`` get one, unique but not dense, in a checkpoint that both tables are
-    written from.  Rebalancing gives even files per date, however skewed the dates are.
+    Both tables become visible together, once: a batch that failed midway is written anew, a batch that is stored
+    is left alone (``read_stored``).  Rows without an ``id`` get one in a checkpoint that both tables are
+    written from.  Checks are partitioned by ``check_date``, the day or the first day of the ``grain``;
+    rebalancing gives even files per date, however skewed the dates are.
     """
-    spark = checked.sparkSession
     if "id" not in checked.columns:
-        start = _next_id(spark, f"{path}/compliance_checks", "compliance_checks")
-        checked = cut_lineage(checked.withColumn("id", F.monotonically_increasing_id() + start))
+        checked = cut_lineage(numbered(checked, batch_id))
     rows = check_rows(checked)
-    results, unmatched = result_rows(rows, rules)
+    results = result_rows(rows, rules)
     dated = rows.drop("violations").withColumn("check_date", F.to_date(F.date_trunc(grain, "checked_at")))
-    dated.hint("rebalance", "check_date").write.mode("append").partitionBy("check_date").parquet(
-        f"{path}/compliance_checks"
-    )
-    start = _next_id(spark, f"{path}/check_results", "check_results")
-    numbered = results.select((F.monotonically_increasing_id() + start).alias("id"), "*")
-    numbered.write.mode("append").parquet(f"{path}/check_results")
-    return unmatched
+    stored = numbered(results.filter("rule_id IS NOT NULL").drop("rule_text"), batch_id)
+    publish({
+        "compliance_checks": dated.hint("rebalance", "check_date"),
+        "check_results": stored.select("id", *[c for c in stored.columns if c != "id"]),
+    }, batch_id, path, {"compliance_checks": "check_date"})
+    return results.filter("rule_id IS NULL")
+
+
+def read_stored(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of complete batches."""
+    return read_published(spark, path, table)

@@ -11,19 +11,17 @@ from pyspark.sql.window import Window
 
 from plumbline import schemas
 
+# Fixed value: the message for an empty selection.
 NOTHING_SELECTED = "Please select at least one element to check."
 
 
 def batch_summary(checked: DataFrame) -> DataFrame:
     """One row ``checked, violations, message``, also for an empty selection.
 
-    ``selected`` rows without a ``context`` record were not checked.
+    Every record counts as checked, also one without a spatial ``context``.
     """
-    done = F.col("context").isNotNull()
     totals = checked.agg(
-        F.count(F.lit(1)).alias("selected"),
-        F.count_if(done).alias("checked"),
-        F.coalesce(F.sum(F.when(done, F.size("violations"))), F.lit(0)).alias("violations"),
+        F.count(F.lit(1)).alias("checked"), F.coalesce(F.sum(F.size("violations")), F.lit(0)).alias("violations"),
     )
     found = F.concat(
         F.lit("Found "), F.col("violations").cast("string"), F.lit(" violation(s). See log for details.")
@@ -32,7 +30,7 @@ def batch_summary(checked: DataFrame) -> DataFrame:
     text = F.concat(F.lit("Checked "), F.col("checked").cast("string"), F.lit(" element(s).\n"), ending)
     return totals.select(
         "checked", "violations",
-        F.when(F.col("selected") == 0, NOTHING_SELECTED).otherwise(text).alias("message"),
+        F.when(F.col("checked") == 0, NOTHING_SELECTED).otherwise(text).alias("message"),
     )
 
 
@@ -44,6 +42,7 @@ def violations_per_check(results: DataFrame, key: str = "check_id") -> DataFrame
 def project_analysis(checks: DataFrame, results: DataFrame, projects: DataFrame) -> DataFrame:
     """Checks, failures, violations and compliance rate per building type and project, with
     subtotals per building type and a grand total (``level`` 0 = project, 1 = type, 3 = all).
+    Checks of a project without a type, or of none that is stored, count as ``unknown``.
 
     Both inputs are counted per project before they meet; the subtotals run on those counts.
     """
@@ -57,8 +56,8 @@ def project_analysis(checks: DataFrame, results: DataFrame, projects: DataFrame)
     found = results.groupBy("check_id").agg(*severities)
     found = found.join(checks.select(F.col("id").alias("check_id"), "project_id"), "check_id")
     found = found.groupBy("project_id").agg(*[F.sum(s).alias(s) for s in schemas.SEVERITIES])
-    own = projects.select(F.col("id").alias("project_id"), F.coalesce("building_type", F.lit("unknown")).alias("building_type"))
-    rows = done.join(found, "project_id", "left").join(own, "project_id", "left")
+    own = projects.select(F.col("id").alias("project_id"), "building_type")
+    rows = done.join(found, "project_id", "left").join(own, "project_id", "left").fillna("unknown", ["building_type"])
     counted = rows.rollup("building_type", "project_id").agg(
         F.grouping_id().cast("int").alias("level"),
         F.sum("checks").alias("checks"), F.sum("failed").alias("failed"),

@@ -282,10 +282,10 @@ def domain_check(t: Inputs) -> DataFrame:
 
 
 @query("batch_summary", """
-    SELECT count(*) FILTER (has_context) AS checked, CAST(count(*) FILTER (broken) AS BIGINT) AS violations,
-           concat('Checked ', count(*) FILTER (has_context), ' element(s).', chr(10), 'Found ', count(*) FILTER (broken),
+    SELECT count(*) AS checked, CAST(count(*) FILTER (broken) AS BIGINT) AS violations,
+           concat('Checked ', count(*), ' element(s).', chr(10), 'Found ', count(*) FILTER (broken),
                   ' violation(s). See log for details.') AS message
-    FROM {project_judged}
+    FROM {judged_elements}
 """)
 def batch_summary(t: Inputs) -> DataFrame:
     return reports.batch_summary(corridor.check_corridor(t.records(t.elements)))
@@ -300,10 +300,13 @@ def join_levels(t: Inputs) -> DataFrame:
 
 
 @query("join_rooms", """
-    SELECT e.element_id, min(r.room_id) AS room_id, min_by(r.name, r.room_id) AS room_type
-    FROM {raw_elements} e LEFT JOIN {rooms} r ON r.level_id = e.level_id AND e.location_kind = 'point'
-         AND e.x >= r.x0 AND e.x < r.x1 AND e.y >= r.y0 AND e.y < r.y1
-    GROUP BY e.element_id
+    SELECT e.element_id, h.room_id, h.room_type
+    FROM {raw_elements} e LEFT JOIN (
+        SELECT p.level_id, p.x, p.y, min(r.room_id) AS room_id, min_by(r.name, r.room_id) AS room_type
+        FROM (SELECT DISTINCT level_id, x, y FROM {raw_elements} WHERE location_kind = 'point') p
+        JOIN {rooms} r ON r.level_id = p.level_id AND p.x >= r.x0 AND p.x < r.x1 AND p.y >= r.y0 AND p.y < r.y1
+        GROUP BY p.level_id, p.x, p.y) h
+    ON e.location_kind = 'point' AND h.level_id = e.level_id AND h.x = e.x AND h.y = e.y
 """)
 def join_rooms(t: Inputs) -> DataFrame:
     return enrich.join_rooms(t.raw_elements, t.rooms).select("element_id", "room_id", "room_type")

@@ -10,8 +10,11 @@ from plumbline.plans.registry import Inputs, query
 
 
 def _graph(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    parts = [("Building", t.buildings), ("Floor", t.floors), ("Room", t.graph_rooms), ("Door", t.doors)]
-    return graph.build_graph(parts, {"CONNECTS_TO": t.connections})
+    parts = [("Building", t.buildings), ("Floor", t.floors), ("Room", t.graph_rooms)]
+    parts += [(kind, t.hung.filter(F.col("kind") == kind).drop("kind")) for kind in ("Wall", "Door", "Window")]
+    adjacent = graph.adjacent_rooms(t.rooms).select(
+        F.concat(F.lit("R"), "room_a").alias("src"), F.concat(F.lit("R"), "room_b").alias("dst"))
+    return graph.build_graph(parts, {"CONNECTS_TO": t.connections, "ADJACENT_TO": adjacent})
 
 
 @query("graph_tables", """
@@ -45,8 +48,9 @@ def containment_closure(t: Inputs) -> DataFrame:
 
 
 @query("containment_path", """
-    SELECT d.id, 'Door' AS kind, r.id AS room, f.id AS floor, f.parent AS building
-    FROM {doors} d JOIN {graph_rooms} r ON r.id = d.parent LEFT JOIN {floors} f ON f.id = r.parent
+    SELECT d.id, d.kind, r.id AS room, f.id AS floor, coalesce(f.parent, b.id) AS building
+    FROM {hung} d LEFT JOIN {graph_rooms} r ON r.id = d.parent LEFT JOIN {floors} f ON f.id = coalesce(r.parent, d.parent)
+    LEFT JOIN {buildings} b ON b.id = d.parent
 """)
 def containment_path(t: Inputs) -> DataFrame:
     return graph.containment_path(*_graph(t))
@@ -55,9 +59,10 @@ def containment_path(t: Inputs) -> DataFrame:
 @query("reachability", """
     WITH RECURSIVE ways AS (
         SELECT src, dst FROM {connections} UNION ALL SELECT dst, src FROM {connections}
-    ), b AS (
-        SELECT id, 0 AS hops FROM {exits}
-        UNION SELECT w.dst, b.hops + 1 FROM b JOIN ways w ON w.src = b.id WHERE b.hops < 10
+    ), b(id, hops) USING KEY (id) AS (
+        SELECT id, 0 FROM {exits}
+        UNION SELECT w.dst, min(b.hops) + 1 FROM b JOIN ways w ON w.src = b.id
+        LEFT JOIN recurring.b AS r ON r.id = w.dst WHERE r.id IS NULL GROUP BY w.dst
     )
     SELECT r.id, min(b.hops) AS hops FROM {graph_rooms} r LEFT JOIN b ON b.id = r.id GROUP BY r.id
 """)
@@ -71,8 +76,8 @@ def part_of(t: Inputs) -> DataFrame:
 
 
 @query("part_of_mismatches", """
-    SELECT src, dst, 'PART_OF' AS missing FROM {contains} WHERE src LIKE 'B%'
-    UNION ALL SELECT src, dst, 'CONTAINS' FROM {contains} WHERE dst LIKE 'D%'
+    SELECT src, dst, 'PART_OF' AS missing FROM {contains} WHERE src LIKE 'B%' AND dst NOT LIKE 'D%'
+    UNION ALL SELECT src, dst, 'CONTAINS' FROM {contains} WHERE src NOT LIKE 'B%' AND dst LIKE 'D%'
 """)
 def part_of_mismatches(t: Inputs) -> DataFrame:
     edges = _graph(t)[1]

@@ -24,6 +24,11 @@ CHECK_STEPS = {
                CASE WHEN has_context AND coalesce(occupancy, 0) > 200 THEN 1500 ELSE 1200 END AS min_width
         FROM {elements}
     """,
+    "judged_elements": """
+        SELECT lower(element_type) IN ('wall', 'corridor') AND has_context AND coalesce(room_type = 'Corridor', false)
+               AND width_mm < CASE WHEN coalesce(occupancy, 0) > 200 THEN 1500 ELSE 1200 END AS broken
+        FROM {elements}
+    """,
     "project_judged": """
         SELECT *, lower(element_type) IN ('wall', 'corridor') AND has_context
                   AND coalesce(room_type = 'Corridor', false)
@@ -63,15 +68,19 @@ CHECK_STEPS = {
     """,
     "nodes": """
         SELECT id, 'Building' AS kind, name FROM {buildings} UNION ALL SELECT id, 'Floor', name FROM {floors}
-        UNION ALL SELECT id, 'Room', name FROM {graph_rooms} UNION ALL SELECT id, 'Door', name FROM {doors}
+        UNION ALL SELECT id, 'Room', name FROM {graph_rooms} UNION ALL SELECT id, kind, name FROM {hung}
     """,
     "contains": """
         SELECT parent AS src, id AS dst FROM {floors} UNION ALL SELECT parent, id FROM {graph_rooms}
-        UNION ALL SELECT parent, id FROM {doors}
+        UNION ALL SELECT parent, id FROM {hung} WHERE parent IS NOT NULL
     """,
     "edges": """
         SELECT src, dst, 'CONTAINS' AS rel FROM {contains} UNION ALL SELECT dst, src, 'PART_OF' FROM {contains}
         UNION ALL SELECT src, dst, 'CONNECTS_TO' FROM {connections}
+        UNION ALL SELECT concat('R', a.room_id), concat('R', b.room_id), 'ADJACENT_TO' FROM {rooms} a JOIN {rooms} b
+        ON a.level_id = b.level_id AND a.room_id < b.room_id AND (
+            ((a.x1 = b.x0 OR b.x1 = a.x0) AND greatest(a.y0, b.y0) < least(a.y1, b.y1))
+            OR ((a.y1 = b.y0 OR b.y1 = a.y0) AND greatest(a.x0, b.x0) < least(a.x1, b.x1)))
     """,
     "pair_scores": """
         SELECT * FROM (

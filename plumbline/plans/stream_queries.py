@@ -89,7 +89,10 @@ def stream_result_cache(t: Inputs) -> DataFrame:
     return _run(t, state.stream_result_cache(_event_stream(t, "cache_requests")), "cache")
 
 
-@query("stream_history", f"SELECT element_id, id, transition FROM ({TRANSITIONS}) h WHERE transition <> 'same'")
+@query("stream_history", f"""
+    SELECT element_id, id, transition FROM ({TRANSITIONS}) h JOIN (SELECT id, checked_at FROM {{history}}) USING (id)
+    WHERE transition <> 'same' AND checked_at < (SELECT max(checked_at) FROM {{history}}) - INTERVAL 10 MINUTE
+""")
 def stream_history(t: Inputs) -> DataFrame:
     state.use_rocksdb(t.spark)
     return _run(t, state.stream_history(_event_stream(t, "history")).drop("t"), "history")

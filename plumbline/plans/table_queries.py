@@ -11,14 +11,14 @@ from plumbline import schemas
 from plumbline.operators import cache, enrich, history, integrity, persist, reports, rules
 from plumbline.operators.corridor import CORRIDOR_RULE
 from plumbline.plans.registry import Inputs, query
-from plumbline.session import scratch_path
+from plumbline.session import cut_lineage, scratch_path
 from plumbline.sources import tables
 
 
 def _rules_with_builtin(t: Inputs) -> DataFrame:
     """The rule table with a row for the built-in rule, so that its violations have a key."""
-    head = t.region.agg((F.min("r_regionkey") - 1).cast("long").alias("id")).select(
-        "id", F.lit(CORRIDOR_RULE["rule_id"]).alias("rule_id"), F.lit("corridor_width").alias("rule_type"),
+    head = t.spark.range(1).select(
+        F.lit(-1).cast("long").alias("id"), F.lit(CORRIDOR_RULE["rule_id"]).alias("rule_id"), F.lit("corridor_width").alias("rule_type"),
         F.lit("corridor").alias("geometry_type"), F.lit("Corridor width").alias("title"),
         F.lit("Corridor width").alias("description"),
         F.lit(CORRIDOR_RULE["code_reference"]).alias("code_reference"),
@@ -29,7 +29,7 @@ def _rules_with_builtin(t: Inputs) -> DataFrame:
 
 def _five(t: Inputs) -> dict[str, DataFrame]:
     checks = persist.check_rows(t.checked())
-    results, _ = persist.result_rows(checks, _rules_with_builtin(t))
+    results = persist.result_rows(checks, _rules_with_builtin(t)).filter("rule_id IS NOT NULL").drop("rule_text")
     return {
         "users": t.users, "projects": t.projects, "compliance_rules": _rules_with_builtin(t),
         "compliance_checks": checks.drop("violations"),
@@ -41,14 +41,22 @@ def _five(t: Inputs) -> dict[str, DataFrame]:
     SELECT 'users' AS table_name, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM {users}
     UNION ALL SELECT 'projects', count(*), CAST(sum(id) AS BIGINT) FROM {projects}
     UNION ALL SELECT 'compliance_rules', count(*), CAST(sum(id) AS BIGINT) FROM {rules}
+    UNION ALL SELECT 'compliance_checks', count(*), CAST(sum(project_id) AS BIGINT) FROM {project_elements}
+    UNION ALL SELECT 'check_results', count(*), CAST(sum(required_value) AS BIGINT) FROM {corridor_violations}
 """)
 def load_tables(t: Inputs) -> DataFrame:
     path, parts = scratch_path(t.spark, "tables"), []
-    for name, df in (("users", t.users), ("projects", t.projects), ("compliance_rules", t.rules)):
+    checks = persist.check_rows(cut_lineage(persist.numbered(t.checked(), 0)))
+    results = persist.numbered(persist.result_rows(checks, _rules_with_builtin(t)).drop("rule_text"), 0)
+    stored_tables = (
+        ("users", t.users, "id"), ("projects", t.projects, "id"), ("compliance_rules", t.rules, "id"),
+        ("compliance_checks", checks.drop("violations"), "project_id"), ("check_results", results, "required_value"),
+    )
+    for name, df, summed in stored_tables:
         tables.write_table(integrity.apply_defaults(_all_columns(df, name), name), name, f"{path}/{name}")
         stored = tables.load_table(t.spark, name, f"{path}/{name}")
         parts.append(stored.agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids")
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.sum(summed).cast("long").alias("ids")
         ))
     return reduce(DataFrame.unionByName, parts)
 
@@ -75,17 +83,18 @@ def json_columns(t: Inputs) -> DataFrame:
 
 
 @query("persist_checks", """
-    SELECT v.element_id, v.project_id, -1 AS rule_key, v.severity, v.message, v.required_value, v.actual_value,
-           v.confidence_score, strftime(v.stamp, '%Y-%m-%d') AS check_date
-    FROM {corridor_violations} v
+    SELECT e.element_id, e.project_id, NOT e.broken AS is_compliant, CASE WHEN v.id IS NOT NULL THEN -1 END AS rule_key, v.severity,
+           v.message, v.required_value, v.actual_value, v.confidence_score, strftime(e.stamp, '%Y-%m-%d') AS check_date
+    FROM {project_judged} e LEFT JOIN {corridor_violations} v ON v.id = e.id
 """)
 def persist_checks(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "persist")
     persist.persist(t.checked().drop("id"), _rules_with_builtin(t), path, grain="year")
-    checks = tables.load_table(t.spark, "compliance_checks", f"{path}/compliance_checks")
-    results = tables.load_table(t.spark, "check_results", f"{path}/check_results")
-    return results.join(checks.select(F.col("id").alias("check_id"), "element_id", "project_id", "checked_at"), "check_id").select(
-        "element_id", "project_id", F.col("rule_id").cast("int").alias("rule_key"), "severity", "message",
+    checks = persist.read_stored(t.spark, path, "compliance_checks")
+    results = persist.read_stored(t.spark, path, "check_results").drop("id", "batch_id")
+    own = checks.select(F.col("id").alias("check_id"), "element_id", "project_id", "is_compliant", "checked_at")
+    return own.join(results, "check_id", "left").select(
+        "element_id", "project_id", "is_compliant", F.col("rule_id").cast("int").alias("rule_key"), "severity", "message",
         "required_value", "actual_value", "confidence_score", F.date_format("checked_at", "yyyy-MM-dd").alias("check_date"),
     )
 
@@ -157,9 +166,9 @@ def unique_report(t: Inputs) -> DataFrame:
 
 
 _ORPHANS = """
-    SELECT 'projects' AS table_name, 'user_id' AS column_name, user_id AS key, count(*) AS rows FROM {projects}
+    SELECT 'projects' AS table_name, 'user_id' AS column_name, CAST(user_id AS VARCHAR) AS key, count(*) AS rows FROM {projects}
     WHERE user_id NOT IN (SELECT id FROM {users}) GROUP BY user_id
-    UNION ALL SELECT 'compliance_checks', 'project_id', project_id, count(*) FROM {project_elements}
+    UNION ALL SELECT 'compliance_checks', 'project_id', CAST(project_id AS VARCHAR), count(*) FROM {project_elements}
     WHERE project_id NOT IN (SELECT id FROM {projects}) GROUP BY project_id
 """
 
@@ -191,10 +200,7 @@ def health_rollup(t: Inputs) -> DataFrame:
 def resolve_rule_keys(t: Inputs) -> DataFrame:
     placed = t.placed()
     found = rules.all_violations(placed, t.records(placed), rules.active_rules(t.rules, language=None))
-    resolved, unmatched = enrich.resolve_rule_keys(found.select("element_id", "rule_id"), t.rules)
-    return resolved.withColumn("resolved", F.lit(True)).unionByName(
-        unmatched.withColumn("resolved", F.lit(False)), allowMissingColumns=True
-    )
+    return enrich.with_rule_keys(found.select("element_id", "rule_id"), t.rules).withColumn("resolved", F.col("rule_key").isNotNull())
 
 
 @query("check_detail", """

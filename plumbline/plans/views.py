@@ -47,7 +47,7 @@ VIEWS = {
     # check records; the second form adds what the order knows
     "elements": f"SELECT {_ELEMENT} FROM {{lineitem}}",
     "project_elements": f"""
-        SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS id,
+        SELECT {_ELEMENT_ID} AS id,
                o_custkey AS project_id, o_orderdate AS stamp, {_ELEMENT}
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
     """,
@@ -181,7 +181,14 @@ VIEWS = {
     "buildings": "SELECT concat('B', r_regionkey) AS id, r_name AS name, CAST(NULL AS VARCHAR(9)) AS parent FROM {region}",
     "floors": "SELECT concat('F', n_nationkey) AS id, n_name AS name, concat('B', n_regionkey) AS parent FROM {nation}",
     "graph_rooms": "SELECT concat('R', c_custkey) AS id, c_name AS name, concat('F', c_nationkey) AS parent FROM {customer}",
-    "doors": "SELECT concat('D', s_suppkey) AS id, s_name AS name, concat('R', s_suppkey) AS parent FROM {supplier}",
+    # walls, doors and windows hang on rooms, some on floors or buildings, one in 13 on nothing
+    "hung": """
+        SELECT concat(CASE s_suppkey % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'N' ELSE 'D' END, s_suppkey) AS id,
+               CASE s_suppkey % 4 WHEN 0 THEN 'Wall' WHEN 1 THEN 'Window' ELSE 'Door' END AS kind, s_name AS name,
+               CASE WHEN s_suppkey % 13 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN concat('B', s_suppkey % 5)
+                    WHEN s_suppkey % 7 = 0 THEN concat('F', s_nationkey) ELSE concat('R', s_suppkey) END AS parent
+        FROM {supplier}
+    """,
     "connections": """
         SELECT concat('R', a.c_custkey) AS src, concat('R', b.c_custkey) AS dst
         FROM {customer} a JOIN {customer} b ON b.c_custkey = CAST(floor(a.c_custkey / 2) AS BIGINT)

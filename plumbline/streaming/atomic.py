@@ -1,19 +1,54 @@
-"""All-or-nothing sink: a micro-batch is visible only once it is complete.
+"""All-or-nothing output: a batch is visible only once it is complete, and only once.
 
-Batch ``n`` overwrites ``data/batch_id=n``, so a retry replaces its own leftovers, and is
-then listed in ``commits``.  Readers take listed batches only.
+A batch writes its tables to folders of an attempt of its own and then commits one row that names the
+attempt.  A batch that is committed already is skipped, a retry never touches what is committed, and readers take
+committed attempts only; leftovers of broken attempts stay unseen.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
-    done = df.sparkSession.range(batch_id, batch_id + 1).withColumnRenamed("id", "batch_id")
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def is_committed(spark: SparkSession, batch_id: int, path: str) -> bool:
+    return _exists(spark, f"{path}/commits/batch-{batch_id}/_SUCCESS")
+
+
+def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by: dict[str, str] | None = None) -> bool:
+    """Writes all tables of a batch and commits them together; False for a batch committed before."""
+    spark = next(iter(tables.values())).sparkSession
+    if is_committed(spark, batch_id, path):
+        return False
+    attempt = uuid.uuid4().hex
+    for name, df in tables.items():
+        writer = df.write.mode("error")
+        if partition_by and name in partition_by:
+            writer = writer.partitionBy(partition_by[name])
+        writer.parquet(f"{path}/{name}/attempt={attempt}")
+    done = spark.range(batch_id, batch_id + 1).select(F.col("id").alias("batch_id"), F.lit(attempt).alias("attempt"))
+    # an unfinished commit (no _SUCCESS) of an earlier attempt is replaced
     done.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch-{batch_id}")
+    return True
+
+
+def read_published(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of committed attempts, with their ``batch_id``."""
+    commits = spark.read.schema("batch_id BIGINT, attempt STRING").parquet(f"{path}/commits/*")
+    data = spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}/*")
+    return data.withColumn("attempt", F.col("attempt").cast("string")).join(commits, "attempt").drop("attempt")
+
+
+def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    publish({"data": df}, batch_id, path)
 
 
 def start_atomic(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -25,8 +60,4 @@ def start_atomic(df: DataFrame, path: str, checkpoint: str, **trigger) -> Stream
 
 
 def read_committed(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of complete batches, with their ``batch_id``."""
-    commits = spark.read.schema("batch_id BIGINT").parquet(f"{path}/commits/*")
-    data = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data/*")
-    data = data.withColumn("batch_id", data["batch_id"].cast("bigint"))
-    return data.join(commits, "batch_id", "left_semi")
+    return read_published(spark, path, "data")

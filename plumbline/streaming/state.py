@@ -73,35 +73,60 @@ def stream_result_cache(requests: DataFrame, ttl: int = DEFAULT_TTL, delay: str
 
 
 class _HistoryProcessor(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then labels them in time order."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "compliant boolean")
+        self.waiting = handle.getListState("waiting", "t long, id long, compliant boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"])
-        state = pd.Series(batch["is_compliant"].to_numpy(), dtype="object")
-        before = state.shift(1)
-        if self.last.exists():
-            before.iloc[0] = bool(self.last.get()[0])
-        else:
-            before.iloc[0] = None
-        self.last.update((bool(state.iloc[-1]),))
-        label = ["first" if b is None else "fixed" if s else "regressed" for b, s in zip(before, state)]
-        changed = [b is None or bool(b) != bool(s) for b, s in zip(before, state)]
-        out = pd.DataFrame({
-            "element_id": key[0], "id": batch["id"].to_numpy(), "t": batch["t"].to_numpy(), "transition": label,
-        })
-        yield out[changed]
+        told = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            found = zip(frame["t"].astype(int).tolist(), frame["id"].astype(int).tolist(), frame["is_compliant"].astype(bool).tolist())
+            early = [r for r in found if r[0] // 1000 + 1 > told]
+            if early:
+                self.waiting.appendList(early)
+                self.handle.registerTimer(min(early)[0] // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in rows if r[0] // 1000 + 1 <= passed]
+        later = rows[len(ready):]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        elif rows:
+            self.waiting.clear()
+        if not ready:
+            return
+        before = bool(self.last.get()[0]) if self.last.exists() else None
+        out = []
+        for t, number, compliant in ready:
+            if before is None or before != compliant:
+                out.append((key[0], number, t, "first" if before is None else "fixed" if compliant else "regressed"))
+            before = compliant
+        self.last.update((before,))
+        if out:
+            yield pd.DataFrame(out, columns=["element_id", "id", "t", "transition"])
 
     def close(self) -> None:
         pass
 
 
-def stream_history(checks: DataFrame) -> DataFrame:
+def stream_history(checks: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """State changes per element (first, fixed, regressed); the batch twin is
-    ``compliance_history`` without its ``same`` rows."""
-    timed = checks.select("element_id", "id", F.unix_micros(F.col("checked_at").cast("timestamp")).alias("t"), "is_compliant")
+    ``compliance_history`` without its ``same`` rows.
+
+    A change is told once the watermark has passed it, so rows may come in any order within ``delay``; rows later
+    than that are dropped and change nothing that was told.
+    """
+    stamped = checks.withColumn("event", F.col("checked_at").cast("timestamp")).withWatermark("event", delay)
+    timed = stamped.select("element_id", "id", "event", F.unix_micros("event").alias("t"), "is_compliant")
     return timed.groupBy("element_id").transformWithStateInPandas(
         statefulProcessor=_HistoryProcessor(),
         outputStructType="element_id long, id long, t long, transition string",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
     )

@@ -29,23 +29,31 @@ def random_rooms(seed, n):
     return rooms
 
 
-@pytest.mark.parametrize("cell_rooms", [512, 3])
-def test_join_rooms_matches_brute_force(spark, cell_rooms):
-    rooms = random_rooms(1, 60)
+@pytest.mark.parametrize("n_rooms", [60, 600])
+def test_join_rooms_matches_brute_force(spark, n_rooms):
+    rooms = random_rooms(1, n_rooms)
     rnd = random.Random(2)
     points = [
-        (f"e{i}", rnd.randrange(3), "curve" if i % 9 == 0 else "point",
+        (None if i % 50 == 0 else f"e{i // 2}", rnd.randrange(3), "curve" if i % 9 == 0 else "point",
          None if i % 13 == 0 else rnd.uniform(-30, 90), rnd.uniform(-30, 90)) for i in range(400)
     ]
     elements = spark.createDataFrame(points, "element_id string, level_id int, location_kind string, x double, y double")
     lookup = spark.createDataFrame(
         rooms, "room_id long, level_id int, name string, x0 double, x1 double, y0 double, y1 double")
-    got = {r.element_id: r.room_id for r in enrich.join_rooms(elements, lookup, cell_rooms=cell_rooms).collect()}
-    assert len(got) == len(points)
+    got = enrich.join_rooms(elements, lookup).collect()
+    want = []
     for name, level, kind, x, y in points:
         hits = [r[0] for r in rooms if kind == "point" and x is not None and r[1] == level
                 and r[3] <= x < r[4] and r[5] <= y < r[6]]
-        assert got[name] == (min(hits) if hits else None)
+        want.append((name, level, kind, x, y, min(hits) if hits else None, f"r{min(hits)}" if hits else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_rooms_in_another_unit_do_not_explode(spark):
+    rows = [(i, 0, f"r{i}", i * 3000.0, i * 3000.0 + 3000, 0.0, 4000.0) for i in range(20)] + [(99, 0, "hall", 0.0, 1e9, 5000.0, 1e9)]
+    rooms = spark.createDataFrame(rows, "room_id long, level_id int, name string, x0 double, x1 double, y0 double, y1 double")
+    cells = enrich.room_cells(rooms, enrich.cell_size(rooms))
+    assert cells.groupBy("room_id").count().agg({"count": "max"}).first()[0] < 10_000
 
 
 def test_adjacent_rooms_matches_brute_force(spark):
@@ -56,7 +64,7 @@ def test_adjacent_rooms_matches_brute_force(spark):
         rooms.append((i, rnd.randrange(2), f"r{i}", float(x0), float(x0 + rnd.choice([7, 14, 21])),
                       float(y0), float(y0 + rnd.choice([9, 18]))))
     df = spark.createDataFrame(rooms, "room_id long, level_id int, name string, x0 double, x1 double, y0 double, y1 double")
-    got = sorted((r.room_a, r.room_b) for r in graph.adjacent_rooms(df, cell=4.0).collect())
+    got = sorted((r.room_a, r.room_b) for r in graph.adjacent_rooms(df).collect())
     want = []
     for a in rooms:
         for b in rooms:
@@ -169,17 +177,17 @@ def test_empty_catalogue_gives_message(spark):
     assert [(r.total_rules, r.rule_id, r.message) for r in rows] == [(0, None, rules.EMPTY_CATALOGUE)]
 
 
-def test_persist_appends_with_fresh_ids(spark):
+def test_persist_of_two_batches_has_fresh_ids(spark):
     from plumbline.plans.table_queries import _rules_with_builtin
 
     t, path = Inputs(spark, SF), scratch_path(spark, "persist")
     checked = t.checked().drop("id").filter("not compliant")
     n = checked.count()
-    for _ in range(2):
-        unmatched = persist.persist(checked, _rules_with_builtin(t), path, grain="year")
+    for batch in range(2):
+        unmatched = persist.persist(checked, _rules_with_builtin(t), path, batch, grain="year")
     assert unmatched.count() == 0
-    checks = tables.load_table(spark, "compliance_checks", f"{path}/compliance_checks")
-    results = tables.load_table(spark, "check_results", f"{path}/check_results")
+    checks = persist.read_stored(spark, path, "compliance_checks")
+    results = persist.read_stored(spark, path, "check_results")
     assert checks.count() == results.count() == 2 * n
     stored = {"compliance_checks": checks, "check_results": results, "compliance_rules": _rules_with_builtin(t)}
     assert integrity.unique_report({k: stored[k] for k in ("compliance_checks", "check_results")}).count() == 0
@@ -317,7 +325,7 @@ def test_pages_and_files(spark, tmp_path):
 def test_cycle_in_containment_is_an_error(spark):
     edges = spark.createDataFrame([("a", "b", "CONTAINS"), ("b", "a", "CONTAINS")], "src string, dst string, rel string")
     with pytest.raises(ValueError):
-        graph.containment_closure(edges, max_depth=4)
+        graph.containment_closure(edges)
 
 
 def test_reachability_matches_brute_force(spark):
@@ -329,8 +337,67 @@ def test_reachability_matches_brute_force(spark):
     while level:
         level = [n for n in {b for a, b in pairs + [(b, a) for a, b in pairs] if a in level} if n not in hops]
         hops |= {n: hops_of + 1 for n in level for hops_of in [max(hops.values())]}
-    got = {r.id: r.hops for r in graph.reachability(nodes, edges, nodes.filter("id = 'R5'").select("id"), 4).collect()}
-    assert got == {f"R{i}": hops[i] if hops.get(i, 99) <= 4 else None for i in range(60)}
+    got = {r.id: r.hops for r in graph.reachability(nodes, edges, nodes.filter("id = 'R5'").select("id")).collect()}
+    assert got == {f"R{i}": hops.get(i) for i in range(60)}
+
+
+def test_reachability_and_containment_have_no_depth_limit(spark):
+    n = 40
+    way = spark.createDataFrame([(f"R{i}", f"R{i + 1}", "CONNECTS_TO") for i in range(n)], "src string, dst string, rel string")
+    nodes = spark.createDataFrame([(f"R{i}", "Room", "") for i in range(n + 1)], "id string, kind string, name string")
+    got = {r.id: r.hops for r in graph.reachability(nodes, way, nodes.filter("id = 'R0'").select("id")).collect()}
+    assert got == {f"R{i}": i for i in range(n + 1)}
+    below = way.withColumn("rel", F.lit("CONTAINS"))
+    assert graph.containment_closure(below).agg({"depth": "max"}).first()[0] == n
+
+
+def test_containment_path_keeps_elements_on_floors_and_buildings(spark):
+    nodes = spark.createDataFrame([("B", "Building", ""), ("F", "Floor", ""), ("R", "Room", ""), ("W1", "Wall", ""), ("W2", "Wall", ""),
+                                   ("D", "Door", ""), ("N", "Window", "")], "id string, kind string, name string")
+    edges = spark.createDataFrame([("B", "F", "CONTAINS"), ("F", "R", "CONTAINS"), ("R", "D", "CONTAINS"), ("F", "W1", "CONTAINS"),
+                                   ("B", "W2", "CONTAINS")], "src string, dst string, rel string")
+    got = {r.id: (r.room, r.floor, r.building) for r in graph.containment_path(nodes, edges).collect()}
+    assert got == {"D": ("R", "F", "B"), "W1": (None, "F", "B"), "W2": (None, None, "B"), "N": (None, None, None)}
+
+
+def test_checks_of_large_orders_keep_their_keys(spark):
+    from plumbline.plans.views import VIEWS
+
+    t = Inputs(spark, SF)
+    lines = t.lineitem.limit(50).withColumn("l_orderkey", F.col("l_orderkey") + 10**12).withColumn("l_partkey", F.col("l_partkey") + 10**9)
+    orders = lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct().join(t.orders.drop("o_orderkey").limit(1))
+    rows = spark.sql(VIEWS["project_elements"], lineitem=lines, orders=orders)
+    assert rows.select("id").distinct().count() == 50
+
+
+def test_analysis_labels_checks_without_a_project(spark):
+    checks = spark.createDataFrame([("a", 1, False), ("b", 9, True)], "id string, project_id long, is_compliant boolean")
+    results = spark.createDataFrame([("a", "critical")], "check_id string, severity string")
+    projects = spark.createDataFrame([(1, "office")], "id long, building_type string")
+    rows = {(r.building_type, r.project_id) for r in reports.project_analysis(checks, results, projects).collect()}
+    assert rows == {("office", 1), ("unknown", 9), ("office", None), ("unknown", None), (None, None)}
+
+
+def test_persist_publishes_both_tables_once(spark, monkeypatch):
+    from plumbline.operators import persist
+    from plumbline.plans import table_queries
+    from plumbline.session import scratch_path
+
+    t = Inputs(spark, SF)
+    path, stored_rules = scratch_path(spark, "twice"), table_queries._rules_with_builtin(t)
+    checked = t.checked().drop("id")
+    broken = checked.withColumn("violations", F.when(F.rand() < 2, F.raise_error(F.lit("lost")).cast(checked.schema["violations"].dataType)))
+    with pytest.raises(Exception, match="lost"):
+        persist.persist(broken, stored_rules, path, 3)
+    for _ in range(2):
+        persist.persist(checked, stored_rules, path, 3)
+    persist.persist(checked.limit(10), stored_rules, path, 4)
+    checks = persist.read_stored(spark, path, "compliance_checks")
+    assert checks.count() == checked.count() + 10
+    assert checks.select("id").distinct().count() == checks.count()
+    results = persist.read_stored(spark, path, "check_results")
+    assert results.join(checks.select(F.col("id").alias("check_id")), "check_id", "left_anti").isEmpty()
+    assert results.filter("batch_id = 3").count() == checked.select(F.explode("violations")).count()
 
 
 def test_unknown_kind_or_relation(spark):

@@ -1,6 +1,7 @@
 """Streams fed by several files must equal their batch twins."""
 
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import cache, history
@@ -54,7 +55,30 @@ def test_stream_history_equals_batch_over_several_batches(spark):
     rows = Inputs(spark, SF).history
     batch = history.compliance_history(rows).filter("transition <> 'same'")
     stream = drained(spark, state.stream_history(feed(spark, rows, ["checked_at", "id"])))
-    assert {(r.id, r.transition) for r in stream.collect()} == {(r.id, r.transition) for r in batch.collect()}
+    told = rows.agg(F.max("checked_at") - F.expr("INTERVAL 10 MINUTES")).first()[0]
+    assert {(r.id, r.transition) for r in stream.collect()} == {(r.id, r.transition) for r in batch.collect() if r.checked_at < told}
+
+
+def test_stream_history_of_rows_out_of_order(spark):
+    state.use_rocksdb(spark)
+    start = 1_700_000_000
+    parts = [
+        [(1, start, True), (1, start + 300, False), (2, start + 10, False)],
+        [(1, start + 120, False), (2, start + 5, True), (1, start + 400, True)],  # older than what was read, within the delay
+        [(3, start + 5000, True)],
+        [(1, start + 60, False)],  # later than the watermark: changes nothing
+        [(3, start + 9000, True)],
+    ]
+    path = scratch_path(spark, "late-history")
+    kept = []
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame([(e, 10 * i + j, s, c) for j, (e, s, c) in enumerate(part)], "element_id long, id long, s long, is_compliant boolean")
+        df = df.select("element_id", "id", F.timestamp_seconds("s").alias("checked_at"), "is_compliant")
+        df.coalesce(1).write.mode("append").parquet(path)
+        kept += df.collect() if i != 3 else []
+    stream = drained(spark, state.stream_history(read_change_feed(spark, path, df.schema, files_per_trigger=1)))
+    batch = history.compliance_history(spark.createDataFrame(kept, df.schema)).filter("transition <> 'same'")
+    assert {(r.id, r.transition) for r in stream.collect()} == {(r.id, r.transition) for r in batch.collect() if r.id < 40}
 
 
 def test_late_requests_are_dropped(spark):
@@ -76,8 +100,21 @@ def test_atomic_sink_hides_unfinished_batches(spark):
     n = Inputs(spark, SF).events.count()
     assert atomic.read_committed(spark, path).count() == n
     extra = spark.createDataFrame([(1, None)], "id long, ts timestamp_ntz")
-    extra.write.parquet(f"{path}/data/batch_id=99")
+    extra.write.parquet(f"{path}/data/attempt=lost")
     assert atomic.read_committed(spark, path).count() == n
     for _ in range(2):
         atomic.write_batch(extra, 99, path)
     assert atomic.read_committed(spark, path).count() == n + 1
+
+
+def test_replay_of_a_committed_batch_leaves_it_whole(spark):
+    path = scratch_path(spark, "replay")
+    good = spark.createDataFrame([(1,), (2,)], "id long")
+    atomic.write_batch(good, 5, path)
+    atomic.write_batch(good.select(F.raise_error(F.lit("lost")).cast("long").alias("id")), 5, path)  # skipped, so it cannot fail
+    assert atomic.read_committed(spark, path).count() == 2
+    with pytest.raises(Exception, match="lost"):
+        atomic.write_batch(good.select(F.raise_error(F.lit("lost")).cast("long").alias("id")), 6, path)
+    assert atomic.read_committed(spark, path).count() == 2
+    atomic.write_batch(good, 6, path)
+    assert sorted(r.id for r in atomic.read_committed(spark, path).collect()) == [1, 1, 2, 2]
