@@ -91,7 +91,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
 
         return F.aggregate("steps", F.lit(FLOOR).cast("double"), mixed)
 
-    ratios = steps.select("stretch", (F.log(chance("allow")) - F.log(chance("block"))).alias("ratio"))
+    # Written, so that the join below has a plain shuffle on each side and a frequent stretch can be split.
+    ratios = cut_lineage(steps.select("stretch", (F.log(chance("allow")) - F.log(chance("block"))).alias("ratio")))
     scores = cut_lineage(placed.join(ratios, "stretch").groupBy("_text").agg(
         (F.sum(F.col("times") * F.col("ratio")) / F.sum("times")).alias("raw"), F.max("settled").alias("settled"), F.max("unseen").alias("unseen")))
     seen = scores.groupBy("settled", "unseen").agg(F.count("*").alias("n"), F.avg("raw").alias("mean"), F.coalesce(F.var_pop("raw"), F.lit(0.0)).alias("var")).collect()
