@@ -183,12 +183,13 @@ def agreement(left: str, right: str) -> F.Column:
 
 def _cross_pairs(group: pa.Table) -> pa.Table:
     """Candidates of different components in one sketch and pair of blocks; each in the first sketch they share."""
-    sketch, key = np.asarray(group["sketch"], np.int64), np.asarray(group["key"], np.int64)
+    key = np.asarray(group["key"], np.int64)
     low, high, own = (np.asarray(group[c], np.int64) for c in ("low", "high", "own"))
     rep, component = np.asarray(group["rep"], np.int64), np.asarray(group["component"], np.int64)
     keys = group["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
-    order = np.lexsort((rep, high, low, key, sketch))
-    bounds = np.column_stack([sketch, key, low, high])[order]
+    sketch = (keys == key[:, None]).argmax(axis=1)
+    order = np.lexsort((rep, high, low, key))
+    bounds = np.column_stack([key, low, high])[order]
     cut = np.flatnonzero(np.concatenate(([True], np.any(np.diff(bounds, axis=0) != 0, axis=1))))
     first, second = [], []
     for rows in np.split(order, cut[1:]):
@@ -222,26 +223,28 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     # One row stands for each representative's text; a representative with several texts keeps one sketch for each.
     reps = cut_lineage(distinct.select("rep", "keys", "copy"))
     single = reps.groupBy("rep").agg(F.min(F.struct("copy", "keys")).alias("one")).select("rep", F.col("one.keys").alias("keys"), F.col("one.copy").alias("copy"))
-    dealt = single.select("rep", "keys", F.posexplode("keys").alias("sketch", "key"))
-    heads = cut_lineage(dealt.groupBy("sketch", "key").agg(F.min_by(F.struct("rep", "keys"), "rep").alias("lead"), F.count("*").alias("texts"))
-                        .filter("texts > 1").select("sketch", "key", F.col("lead.rep").alias("b"), F.col("lead.keys").alias("lead_keys"), "texts"))
-    stars = cut_lineage(dealt.join(heads, ["sketch", "key"]).filter(F.col("rep") != F.col("b"))
-                        .filter(agreement("keys", "lead_keys") >= AGREE).select(F.col("rep").alias("a"), "b").distinct())
-    texts = texts_of(rows, single)
+    # Keys travel alone: a key is a hash of its sketch's number too.
+    dealt = single.select("rep", F.explode("keys").alias("key"))
+    heads = cut_lineage(dealt.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("texts")).filter("texts > 1"))
+    shared = cut_lineage(dealt.join(heads, "key"))
+    asked = shared.filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    own = single.select("rep", "keys")
+    stars = cut_lineage(asked.join(own.withColumnsRenamed({"rep": "a", "keys": "keys_a"}), "a")
+                        .join(own.withColumnsRenamed({"rep": "b", "keys": "keys_b"}), "b")
+                        .filter(agreement("keys_a", "keys_b") >= AGREE).select("a", "b"))
+    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(single.select("rep", "copy"), "rep")
     links = verified(stars, texts, min_similarity)
-    first = connected_components(links)
-    placed = single.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    spread_out = cut_lineage(placed.select("rep", "keys", "component", F.posexplode("keys").alias("sketch", "key"))
-                             .join(heads.select("sketch", "key", "texts"), ["sketch", "key"]))
-    mixed = (spread_out.groupBy("sketch", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("texts").alias("texts"))
-             .filter("low <> high").select("sketch", "key", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")))
-    rest = (spread_out.drop("texts").join(cut_lineage(mixed), ["sketch", "key"])
+    first = connected_components(links).withColumnRenamed("id", "rep")
+    placed = shared.select("rep", "key", "texts").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("texts").alias("texts"))
+             .filter("low <> high").select("key", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")))
+    rest = (placed.drop("texts").join(cut_lineage(mixed), "key")
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
     cells = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crossed = cut_lineage(rest.select("sketch", "key", "low", "high", "own", "rep", "component", "keys",
-                                      F.pmod(F.xxhash64("sketch", "key", "low", "high"), F.lit(cells)).alias("cell"))
+    crossed = cut_lineage(rest.join(own, "rep").select("key", "low", "high", "own", "rep", "component", "keys",
+                                                       F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)).alias("cell"))
                           .groupBy("cell").applyInArrow(_cross_pairs, "a long, b long").distinct())
     more = verified(crossed, texts, min_similarity)
     edges = links.unionByName(more).unionByName(copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -252,9 +255,5 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))
 
 
-def texts_of(rows: DataFrame, single: DataFrame) -> DataFrame:
-    return rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
-
-
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
