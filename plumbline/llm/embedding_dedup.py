@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm._components import connected_components
-from plumbline.llm._repeats import group_starts
 from plumbline.session import cut_lineage, scratch_path
 
 MIN_COSINE = 0.98
@@ -98,25 +97,32 @@ def _compare(min_cosine: float) -> Callable:
         block = np.asarray(group["own"], np.int64)
         order = np.lexsort(np.vstack([ids, *buckets.T[::-1]]))
         cut = np.flatnonzero(np.concatenate(([True], np.any(np.diff(buckets[order], axis=0) != 0, axis=1))))
-        keys, found = group["keys"], []
-        vectors = group["embedding"]
-        for rows in np.split(order, cut[1:]):
-            if len(rows) < 2:
-                continue
-            table, _, _, _, low, high = buckets[rows[0]]
-            x, own = unpack(vectors.take(pa.array(rows))), ids[rows]
-            norm = np.sqrt((x * x).sum(axis=1))
-            cosine = (x @ x.T) / np.outer(norm, norm)
-            near = np.triu(cosine >= min_cosine, 1)
-            if low != high:  # within a block the pair (low, low) compares
-                near &= block[rows][:, None] != block[rows][None, :]
+        sizes = np.diff(np.append(cut, len(order)))
+        every, found = unpack_keys(group["keys"]), []
+        # Vectors of one length as one matrix; most groups have one length only.
+        dims, matrix, place, norms = buckets[:, 2], {}, np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            matrix[dim] = unpack(group["embedding"] if len(at) == len(ids) else group["embedding"].take(pa.array(at)))
+            place[at] = np.arange(len(at))
+            norms[at] = np.sqrt((matrix[dim] * matrix[dim]).sum(axis=1))
+        for start, size in zip(cut[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            rows = order[start:start + size]
+            table, _, dim, _, low, high = buckets[rows[0]].tolist()
+            x, norm = matrix[dim][place[rows]], norms[rows]
+            near = (x @ x.T) / (norm[:, None] * norm) >= min_cosine
             a, b = np.nonzero(near)
+            upper = a < b
+            a, b = a[upper], b[upper]
+            if low != high and len(a):  # within a block the pair (low, low) compares
+                other = block[rows[a]] != block[rows[b]]
+                a, b = a[other], b[other]
             if not len(a):
                 continue
-            earlier = unpack_keys(keys.take(pa.array(rows)))[:, :table]
-            new = ~(earlier[a] == earlier[b]).any(axis=1)
-            links = np.bincount(a[new], minlength=len(rows)) + np.bincount(b[new], minlength=len(rows))
-            root = local_components(a, b, len(rows))
+            own = ids[rows]
+            new = ~(every[rows[a], :table] == every[rows[b], :table]).any(axis=1)
+            links = np.bincount(a[new], minlength=size) + np.bincount(b[new], minlength=size)
+            root = local_components(a, b, size)
             touched = np.unique(np.concatenate([a, b]))
             found.append((own[touched], links[touched], own[root[touched]]))
         parts = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [[], [], []])]
