@@ -34,8 +34,8 @@ from plumbline.session import cut_lineage
 SAMPLE = 20_000
 CELLS = 65_536
 PER_CELL = 64
-REGION = 8_192
-QUERIES = 4_096
+REGION = 2_048
+QUERIES = 2_048
 AIM = 0.97
 TRIALS = 128
 SEED = 7
