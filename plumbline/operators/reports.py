@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline import schemas
+from plumbline.operators.rules import EVALUATORS
 
 # Fixed value: the message for an empty selection.
 NOTHING_SELECTED = "Please select at least one element to check."
@@ -66,9 +67,18 @@ def project_analysis(checks: DataFrame, results: DataFrame, projects: DataFrame)
     return counted.withColumn("compliance_rate", F.round(1 - F.col("failed") / F.col("checks"), 6))
 
 
+def counted_elements(elements: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row with its count ``n`` for all elements that any rule judges alike (same types and measures, same ``keep``).
+
+    Reports evaluate these in place of the elements, so counts are shuffled and not pairs.
+    """
+    alike = ["element_type", "building_type", *dict.fromkeys(e.measure for e in EVALUATORS.values()), *keep]
+    return elements.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+
+
 def compliance_report(violations: DataFrame) -> DataFrame:
-    """Violations per rule and floor, one column per severity, and the total."""
-    table = violations.groupBy("rule_id", "floor_level").pivot("severity", schemas.SEVERITIES).count()
+    """Violations per rule and floor, one column per severity, and the total; ``n`` counts alike ones."""
+    table = violations.groupBy("rule_id", "floor_level").pivot("severity", schemas.SEVERITIES).agg(F.sum("n"))
     columns = [F.coalesce(F.col(s), F.lit(0)) for s in schemas.SEVERITIES]
     return table.select(
         "rule_id", "floor_level",
@@ -78,8 +88,8 @@ def compliance_report(violations: DataFrame) -> DataFrame:
 
 
 def top_rules(violations: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` rules with most violations, ties by rule id."""
-    counts = violations.groupBy("rule_id").agg(F.count(F.lit(1)).alias("violations"))
+    """The ``k`` rules with most violations, ties by rule id; ``n`` counts alike ones."""
+    counts = violations.groupBy("rule_id").agg(F.sum("n").alias("violations"))
     return counts.orderBy(F.desc("violations"), "rule_id").limit(k)
 
 

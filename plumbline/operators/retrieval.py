@@ -1,26 +1,26 @@
 """Rule-text chunks, embeddings and vector search.
 
-Search never forms the pairs of queries and chunks as rows.  Index rows stay where they
-are and each task multiplies its Arrow batches with the query matrix, keeping k results
-per query; queries beyond a checked number are spread over blocks instead (``block_search``).
+Exact search never forms the pairs of queries and chunks as rows: blocks of both meet in tasks that multiply
+matrices and keep k results per query (``block_search``).
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import distinct_tokens
+from plumbline.functions.vectors import cosine
 from plumbline.operators import rules as rule_ops
 
 # The documented retrieval settings.
@@ -32,8 +32,6 @@ DIMENSION = 1536
 
 # Scores are rounded so that ranks do not depend on the summation order of a task.
 SCORE_DIGITS = 6
-# At most so many query vectors are sent to every task (50 MB at the default dimension).
-TASK_QUERIES = 4096
 # Rows of one side of a block of ``block_search``.
 BLOCK_ROWS = 16384
 
@@ -74,25 +72,91 @@ def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
 
 # ---------------------------------------------------------------- embeddings
 
-def fit_embedder(df: DataFrame, text: str = "text", dim: int = DIMENSION) -> PipelineModel:
-    """Hashed term frequencies weighted by inverse document frequency, unit length."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]).fit(df)
+TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def token_places(dim: int) -> Callable[[str], list[int]]:
+    """Place of every token of a text: a hash that other engines have too, worked out once per different token."""
+    @functools.lru_cache(maxsize=200_000)
+    def place(token: str) -> int:
+        return int(hashlib.md5(token.encode()).hexdigest()[:12], 16) % dim
+
+    return lambda text: [place(t) for t in TOKEN.findall(text.lower())]
+
+
+class HashedTfIdf:
+    """Term counts in ``dim`` hashed places, weighted by inverse document frequency, unit length.
+
+    Fitting counts the documents of each place in one job; at most ``dim`` numbers come back.
+    """
+
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str = "text", dim: int = DIMENSION) -> HashedTfIdf:
+        @F.pandas_udf("array<int>")
+        def places(texts: pd.Series) -> pd.Series:
+            of = token_places(dim)
+            return texts.map(lambda t: None if t is None else sorted(set(of(t))))
+
+        rows = df.select(places(text).alias("places")).filter("places IS NOT NULL")
+        # the place -1 counts the texts
+        held = rows.select(F.explode(F.concat(F.array(F.lit(-1)), "places")).alias("place")).groupBy("place").count().collect()
+        counts = {r.place: r["count"] for r in held}
+        idf = np.zeros(dim)
+        for place, n in counts.items():
+            if place >= 0:
+                idf[place] = math.log((counts[-1] + 1) / (n + 1))
+        return cls(idf)
+
+    def sparse(self, texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ascending places and unit weights of each text."""
+        of, out = token_places(len(self.idf)), []
+        for text in texts:
+            places, n = np.unique(np.array(of(text or ""), np.int64), return_counts=True)
+            raw = n * self.idf[places]
+            places, raw = places[raw != 0], raw[raw != 0]
+            out.append((places, raw / math.sqrt(float((raw * raw).sum())) if len(raw) else raw))
+        return out
+
+    def weights(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """Adds ``weights``: the places that are not zero, ascending, as an array of ``place, weight``."""
+        @F.pandas_udf("struct<place:array<int>,weight:array<double>>")
+        def made(texts: pd.Series) -> pd.DataFrame:
+            found = self.sparse(texts)
+            return pd.DataFrame({"place": [p.tolist() for p, _ in found], "weight": [w.tolist() for _, w in found]})
+
+        found = df.withColumn("_w", made(text))
+        return found.withColumn("weights", F.arrays_zip("_w.place", "_w.weight")).drop("_w")
+
+    def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """Adds ``embedding``, the dense vector that search wants."""
+        dim = len(self.idf)
+
+        @F.pandas_udf("array<float>")
+        def dense(texts: pd.Series) -> pd.Series:
+            rows = []
+            for places, weights in self.sparse(texts):
+                row = np.zeros(dim, np.float32)
+                row[places] = weights
+                rows.append(row)
+            return pd.Series(rows)
+
+        return df.withColumn("embedding", dense(text))
+
+
+fit_embedder = HashedTfIdf.fit
 
 
 def embed_chunks(df: DataFrame, text: str = "text", dim: int = DIMENSION,
-                 embedder: PipelineModel | Callable[[Column], Column] | None = None) -> DataFrame:
+                 embedder: HashedTfIdf | Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds ``embedding``.  ``embedder`` is a fitted model, or a Column function such as an
     Arrow ``pandas_udf`` around another model; without one the default is fitted to ``df``."""
     if embedder is None:
         embedder = fit_embedder(df, text, dim)
-    if isinstance(embedder, PipelineModel):
-        vectors = embedder.transform(df).withColumn("embedding", vector_to_array("_unit", "float32"))
-        return vectors.select(*df.columns, "embedding")
+    if isinstance(embedder, HashedTfIdf):
+        return embedder.transform(df, text)
     return df.withColumn("embedding", embedder(F.col(text)))
 
 
@@ -117,10 +181,13 @@ def topk_per_query(scored: DataFrame, k: int = TOP_K, min_score: float = MIN_SCO
     return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def rerank(found: DataFrame, query_text: str = "query_text", text: str = "text") -> DataFrame:
-    """Second order of found chunks: half vector score, half share of query tokens present."""
-    asked = distinct_tokens(F.col(query_text))
-    shared = F.size(F.array_intersect(asked, distinct_tokens(F.col(text))))
+def rerank(found: DataFrame, query_tokens: str = "query_tokens", tokens: str = "tokens") -> DataFrame:
+    """Second order of found chunks: half vector score, half share of query tokens present.
+
+    Both sides bring their distinct tokens (``distinct_tokens``), made once a document and not once a pair.
+    """
+    asked = F.col(query_tokens)
+    shared = F.size(F.array_intersect(asked, F.col(tokens)))
     overlap = F.coalesce(shared / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
     mixed = F.round(0.5 * F.col("score") + 0.5 * overlap, SCORE_DIGITS + 3)
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
@@ -144,17 +211,14 @@ def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def _best(queries: pa.Table, chunks: pa.Table, k: int, min_score: float, skip_self: bool) -> pd.DataFrame:
-    """Top k chunks per query of two in-memory blocks, ties by chunk id."""
-    q_ids, c_ids = queries["query_id"].to_pandas(), chunks["chunk_id"].to_pandas()
-    q_key = queries["match_key"].to_pandas().to_numpy()
-    c_key = chunks["match_key"].to_pandas().to_numpy()
-    q, c = _matrix(queries["embedding"]), _matrix(chunks["embedding"])
+def _best(q_ids: pd.Series, q: np.ndarray, chunks: pa.Table, k: int, min_score: float, skip_self: bool) -> pd.DataFrame:
+    """Top k chunks of a block per query, ties by chunk id.  ``q`` has unit rows."""
+    c_ids, c = chunks["chunk_id"].to_pandas(), _matrix(chunks["embedding"])
     found = []
     for at in range(0, len(q), 256):
         with np.errstate(invalid="ignore"):
             scores = np.round(q[at:at + 256] @ c.T, SCORE_DIGITS)
-        scores[np.isnan(scores) | (q_key[at:at + 256, None] != c_key[None, :])] = -np.inf
+        scores[np.isnan(scores)] = -np.inf
         if skip_self:
             scores[q_ids.to_numpy()[at:at + 256, None] == c_ids.to_numpy()[None, :]] = -np.inf
         least = np.full(len(scores), float(min_score))
@@ -183,45 +247,32 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _task_search(index: DataFrame, query_id: T.DataType, table: pa.Table, k: int, min_score: float,
-                 skip_self: bool) -> DataFrame:
-    """Index rows stay in place; every task gets the (bounded) query table."""
-    schema = _result_schema(index, query_id)
-    arrow = _arrow_schema(schema)
-    shared = index.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            best = _best(shared.value, pa.Table.from_batches([batch]), k, min_score, skip_self)
-            kept = best if kept is None else _cut(pd.concat([kept, best], ignore_index=True), k)
-        if kept is not None and len(kept):
-            yield from pa.Table.from_pandas(kept, schema=arrow, preserve_index=False).to_batches()
-
-    return index.mapInArrow(run, schema)
-
-
 def block_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
-                 skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Partial results of queries against chunks with the same ``bucket``.
+                 skip_self: bool = False, block_rows: int = BLOCK_ROWS, bucket: bool = True) -> DataFrame:
+    """Partial results of queries against chunks, of the same ``bucket`` if rows have one.
 
-    A bucket of any size is dealt into blocks of about ``block_rows`` on both sides, so the
-    unit of work is bounded; each pair of blocks meets once and returns k rows per query.
+    Both sides are dealt into blocks of about ``block_rows``; each pair of blocks meets once, in a task of
+    its own, and returns k rows per query.  So a chunk travels once per block of queries and the other way round: comparing all with
+    all is |queries| x |chunks| work by nature, and this is its bounded form.  Where that is too much, use ``approx_search``.
     """
     schema = _result_schema(index, queries.schema["query_id"].dataType)
     arrow = _arrow_schema(schema)
+    key = ["bucket", "_i", "_q"] if bucket else ["_i", "_q"]
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
+    def count(df: DataFrame, name: str) -> DataFrame:
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.lit(1)).cast("int").alias(name)
+        return (df.groupBy("bucket") if bucket else df.groupBy()).agg(blocks)
 
-    sizes = blocks(index, "_ni").join(blocks(queries, "_nq"), "bucket")
+    if bucket:
+        sizes = count(index, "_ni").join(count(queries, "_nq"), "bucket")
+    else:
+        n_index, n_queries = count(index, "n").scalar(), count(queries, "n").scalar()
 
     def dealt(df: DataFrame, row_id: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return df.join(sizes, "bucket").withColumns({
-            own: F.pmod(F.xxhash64(row_id), F.col(own_n)),
-            other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1)),
+        df = df.join(sizes, "bucket") if bucket else df.withColumns({"_ni": n_index, "_nq": n_queries})
+        return df.withColumns({
+            own: F.pmod(F.xxhash64(row_id), F.col(own_n)).cast("int"),
+            other: F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)),
         }).drop("_ni", "_nq")
 
     left = dealt(index, "chunk_id", "_i", "_ni", "_q", "_nq")
@@ -230,47 +281,32 @@ def block_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score
     def run(chunks: pa.Table, asked: pa.Table) -> pa.Table:
         if not chunks.num_rows or not asked.num_rows:
             return arrow.empty_table()
-        best = _best(asked, chunks, k, min_score, skip_self)
+        best = _best(asked["query_id"].to_pandas(), _matrix(asked["embedding"]), chunks, k, min_score, skip_self)
         return pa.Table.from_pandas(best, schema=arrow, preserve_index=False)
 
-    key = ["bucket", "_i", "_q"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- search
 
 def _prepared(df: DataFrame, row_id: str, match_on: list[str] | None) -> DataFrame:
-    """``<row_id>, embedding, match_key``; a null in a matched column matches nothing."""
-    key = F.lit("")
+    """``<row_id>, embedding`` and, to match columns, ``bucket``; a null in a matched column matches nothing."""
+    columns = [row_id, "embedding"]
     if match_on:
-        key = F.to_json(F.array(*[F.col(c).cast("string") for c in match_on]))
         df = df.dropna(subset=match_on)
-    return df.filter(F.col("embedding").isNotNull()).select(row_id, "embedding", key.alias("match_key"))
-
-
-def _bucketed(df: DataFrame, row_id: str, match_on: list[str] | None) -> DataFrame:
-    """Bucket per match key.  Without one there is a single bucket, still computed from the row:
-    a constant would turn the joins on it into nested loops."""
-    single = F.pmod(F.xxhash64(row_id), F.lit(1)).cast("string")
-    return df.withColumn("bucket", F.col("match_key") if match_on else single)
+        columns.append(F.to_json(F.array(*[F.col(c).cast("string") for c in match_on])).alias("bucket"))
+    return df.filter(F.col("embedding").isNotNull()).select(*columns)
 
 
 def vector_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
-                  match_on: list[str] | None = None, skip_self: bool = False,
-                  task_queries: int = TASK_QUERIES) -> DataFrame:
-    """Exact search: ``query_id, chunk_id, score, rank`` of the ``k`` nearest chunks per query.
+                  match_on: list[str] | None = None, skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact search: ``query_id, chunk_id, score, rank`` of the ``k`` nearest chunks per query; one plan for every size.
 
-    ``match_on`` columns must be equal on both sides and cut before k does.  Filters on
+    ``match_on`` columns must be equal on both sides: only rows that agree meet.  Filters on
     constants belong on ``index`` itself, where they reach the scan.
     """
-    index = _prepared(index, "chunk_id", match_on)
-    queries = _prepared(queries, "query_id", match_on)
-    table = queries.limit(task_queries + 1).toArrow()
-    if table.num_rows <= task_queries:
-        found = _task_search(index, queries.schema["query_id"].dataType, table, k, min_score, skip_self)
-    else:
-        found = block_search(_bucketed(index, "chunk_id", match_on), _bucketed(queries, "query_id", match_on),
-                             k, min_score, skip_self)
+    found = block_search(_prepared(index, "chunk_id", match_on), _prepared(queries, "query_id", match_on), k, min_score, skip_self,
+                         block_rows, bucket=bool(match_on))
     return topk_per_query(found, k, min_score)
 
 
@@ -278,9 +314,21 @@ knn_join = vector_search
 
 
 def topk_single(index: DataFrame, query: list[float], k: int = TOP_K) -> DataFrame:
-    """Best ``k`` chunks for one vector, in total order: k rows per task, then one merge of those."""
-    asked = pa.table({"query_id": ["q"], "embedding": [[float(x) for x in query]], "match_key": [""]})
-    found = _task_search(_prepared(index, "chunk_id", None), T.StringType(), asked, k, -1.0, False)
+    """Best ``k`` chunks for one vector, in total order: the index stays in place, k rows per task, then one merge of those."""
+    schema = _result_schema(index, T.StringType())
+    arrow = _arrow_schema(schema)
+    asked = _matrix(pa.array([[float(x) for x in query]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pd.DataFrame | None = None
+        for batch in batches:
+            if batch.num_rows:
+                best = _best(pd.Series(["q"]), asked, pa.Table.from_batches([batch]), k, -1.0, False)
+                kept = best if kept is None else _cut(pd.concat([kept, best], ignore_index=True), k)
+        if kept is not None and len(kept):
+            yield from pa.Table.from_pandas(kept, schema=arrow, preserve_index=False).to_batches()
+
+    found = _prepared(index, "chunk_id", None).mapInArrow(run, schema)
     return found.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
@@ -304,37 +352,66 @@ def filtered_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_sc
     return vector_search(index, queries, k, min_score, match_on=match, **options)
 
 
-def lsh_buckets(df: DataFrame, tables: int, bits: int, seed: int = 42) -> DataFrame:
-    """One row per hash table with ``bucket``: the signs of random projections.
+def plane_signs(tables: int, bits: int, dim: int, seed: int = 42) -> list[list[list[int]]]:
+    """Planes of +1 and -1, from a hash that other engines have too."""
+    def sign(name: str) -> int:
+        return 1 if hashlib.md5(name.encode()).hexdigest()[0] < "8" else -1
+
+    return [[[sign(f"{seed}:{t}:{b}:{d}") for d in range(dim)] for b in range(bits)] for t in range(tables)]
+
+
+def lsh_codes(df: DataFrame, row_id: str, tables: int, bits: int, seed: int = 42) -> DataFrame:
+    """``<row_id>, table, code``: the signs of projections on planes, one row per hash table, without the vector.
 
     The angle between vectors sets how often signs agree; ``bits`` make a bucket narrow,
     ``tables`` give near vectors more chances to share one.
     """
-    @F.pandas_udf("array<string>")
-    def keys(vectors: pd.Series) -> pd.Series:
+    cache: dict[int, np.ndarray] = {}
+
+    @F.pandas_udf("array<long>")
+    def codes(vectors: pd.Series) -> pd.Series:
         rows = np.stack(vectors.to_numpy()).astype("float64")
-        planes = np.random.default_rng(seed).standard_normal((rows.shape[1], tables * bits))
-        signs = (rows @ planes >= 0).reshape(len(rows), tables, bits)
-        codes = signs @ (1 << np.arange(bits))
-        return pd.Series([[f"{t}:{code}" for t, code in enumerate(row)] for row in codes])
+        dim = rows.shape[1]
+        if dim not in cache:
+            cache[dim] = np.array(plane_signs(tables, bits, dim, seed), np.float64).reshape(tables * bits, dim).T
+        signs = (rows @ cache[dim] >= 0).reshape(len(rows), tables, bits)
+        return pd.Series(list(signs @ (1 << np.arange(bits, dtype=np.int64))))
 
-    return df.withColumn("bucket", F.explode(keys("embedding")))
+    return df.select(row_id, F.posexplode(codes("embedding")).alias("table", "code"))
 
 
 def approx_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
-                  tables: int = 16, bits: int = 8, match_on: list[str] | None = None,
-                  skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Search among chunks that share an LSH bucket with the query, scored exactly."""
-    index = lsh_buckets(_prepared(index, "chunk_id", match_on), tables, bits)
-    queries = lsh_buckets(_prepared(queries, "query_id", match_on), tables, bits)
-    found = block_search(index, queries, k, min_score, skip_self, block_rows)
-    return topk_per_query(found.dropDuplicates(["query_id", "chunk_id"]), k, min_score)
+                  tables: int = 24, bits: int = 24, per_bucket: int = 32, match_on: list[str] | None = None,
+                  skip_self: bool = False) -> DataFrame:
+    """Search among chunks that share an LSH bucket with the query, scored exactly.
+
+    As many of the ``bits`` count as leave about ``per_bucket`` chunks in a bucket, were they spread evenly: the index size, a
+    subquery, decides.  Ids and codes are shuffled, candidate pairs are made distinct, and then each vector is fetched.
+    """
+    index, queries = (_prepared(df, name, match_on) for df, name in ((index, "chunk_id"), (queries, "query_id")))
+    size = index.agg(F.count(F.lit(1))).scalar()
+    used = F.greatest(F.lit(1), F.least(F.lit(bits), F.ceil(F.log2(F.greatest(size, F.lit(1)) / F.lit(per_bucket))).cast("int")))
+    mask = F.expr("shiftleft(1L, _bits)") - 1
+
+    def coded(df: DataFrame, name: str) -> DataFrame:
+        codes = lsh_codes(df, name, tables, bits).withColumn("_bits", used)
+        codes = codes.select(name, "table", F.col("code").bitwiseAND(mask).alias("code"))
+        return codes.join(df.select(name, "bucket"), name) if match_on else codes
+
+    pairs = coded(queries, "query_id").join(coded(index, "chunk_id"), ["table", "code", *(["bucket"] if match_on else [])])
+    if skip_self:
+        pairs = pairs.filter(F.col("query_id") != F.col("chunk_id"))
+    pairs = pairs.select("query_id", "chunk_id").distinct()
+    asked = queries.select("query_id", F.col("embedding").alias("_asked"))
+    scored = pairs.join(asked, "query_id").join(index.select("chunk_id", "embedding"), "chunk_id").select(
+        "query_id", "chunk_id", F.round(cosine(F.col("_asked"), F.col("embedding")), SCORE_DIGITS).alias("score"))
+    return topk_per_query(scored, k, min_score)
 
 
 # ---------------------------------------------------------------- retrieval and check
 
 def retrieve_and_check(elements: DataFrame, chunks: DataFrame, rules: DataFrame,
-                       embedder: PipelineModel, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
+                       embedder: HashedTfIdf, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
     """Violations of elements against the rules retrieved for them; confidence is the score.
 
     Elements with the same query text share one search, so the number of queries is the

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import distinct_tokens
 from plumbline.functions.vectors import cosine
 from plumbline.operators import retrieval, rules
 from plumbline.plans.registry import Inputs, query
@@ -31,28 +32,56 @@ def chunk_text(t: Inputs) -> DataFrame:
     return retrieval.chunk(t.docs)
 
 
-@query("embed_chunks")
+def _weights_sql(rows: str, key: str, corpus: str | None = None) -> str:
+    """Hashed TF-IDF of ``rows`` (key columns, text), fitted to ``corpus``: the place is the first 12 hex digits of a token's md5."""
+    counts = """
+        SELECT KEY, CAST(('0x' || md5(token)[1:12])::BIGINT % DIM AS INT) AS place, count(*) AS n
+        FROM (SELECT KEY, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')) AS token
+              FROM (ROWS) w0) w1 GROUP BY ALL""".replace("KEY", key).replace("DIM", str(retrieval.DIMENSION))
+    base = corpus or rows
+    return """
+        SELECT KEY, place, raw / sqrt(sum(raw * raw) OVER (PARTITION BY KEY)) AS weight FROM (
+            SELECT KEY, c.place, c.n * i.idf AS raw FROM (OWN) c JOIN (
+                SELECT place, ln(((SELECT count(text) FROM (BASE) w2) + 1)::DOUBLE / (count(*) + 1)::DOUBLE) AS idf
+                FROM (COUNTED) d GROUP BY place) i ON i.place = c.place) r WHERE raw <> 0
+    """.replace("OWN", counts.replace("ROWS", rows)).replace("COUNTED", counts.replace("ROWS", base)).replace("BASE", base).replace("KEY", key)
+
+
+_CHUNK_WEIGHTS = _weights_sql("SELECT doc_id, chunk_index, text FROM {chunks}", "doc_id, chunk_index")
+
+
+@query("embed_chunks", f"""
+    SELECT c.doc_id, c.chunk_index, CAST({retrieval.DIMENSION} AS INT) AS dimension, coalesce(w.vector, '') AS vector
+    FROM {{chunks}} c LEFT JOIN (
+        SELECT doc_id, chunk_index, string_agg(concat(place, ':', CAST(round(weight * 10000) AS BIGINT)), ' ' ORDER BY place) AS vector
+        FROM ({_CHUNK_WEIGHTS}) v GROUP BY doc_id, chunk_index) w ON w.doc_id = c.doc_id AND w.chunk_index = c.chunk_index
+""")
 def embed_chunks(t: Inputs) -> DataFrame:
+    """Whole vectors, as the places that are not zero and their weights in ten-thousandths."""
     chunks = retrieval.chunk(t.docs).select("doc_id", "chunk_index", "text")
-    return retrieval.embed_chunks(chunks).select(
-        "doc_id", "chunk_index", F.size("embedding").alias("dimension"),
-        F.round(F.array_max("embedding").cast("double"), 4).alias("largest"),
-    )
+    made = retrieval.fit_embedder(chunks).weights(chunks)
+    spelt = F.transform("weights", lambda r: F.concat(r["place"].cast("string"), F.lit(":"), F.round(r["weight"] * 10000).cast("long").cast("string")))
+    return made.select("doc_id", "chunk_index", F.lit(retrieval.DIMENSION).alias("dimension"), F.array_join(spelt, " ").alias("vector"))
+
 
+_SPELT = "array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ' ')"
 
-@query("vector_table", """
-    SELECT chunk_id, CASE WHEN label <= 4 THEN 'new' ELSE 'old' END AS state, language
-    FROM {vectors} v JOIN embeddings ON vec_id = chunk_id
-    UNION ALL SELECT chunk_id + 1000000, 'new', language FROM {vectors} v JOIN embeddings ON vec_id = chunk_id WHERE label <= 4
+
+@query("vector_table", f"""
+    SELECT chunk_id, CASE WHEN label <= 4 THEN 'new' ELSE 'old' END AS state, language, {_SPELT.replace('embedding', 'v.embedding')} AS vector
+    FROM {{vectors}} v JOIN embeddings ON vec_id = chunk_id
+    UNION ALL SELECT chunk_id + 1000000, 'new', language, {_SPELT.replace('embedding', 'v.embedding')}
+    FROM {{vectors}} v JOIN embeddings ON vec_id = chunk_id WHERE label <= 4
 """)
 def vector_table(t: Inputs) -> DataFrame:
-    stored = t.vectors.select("chunk_id", F.lit("old").alias("state"), "language")
+    stored = t.vectors.select("chunk_id", F.lit("old").alias("state"), "language", "embedding")
     low = t.vectors.join(t.embeddings.filter("label <= 4").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
     new = low.select(
         F.explode(F.array(F.col("chunk_id"), F.col("chunk_id") + 1000000)).alias("chunk_id"),
-        F.lit("new").alias("state"), "language",
+        F.lit("new").alias("state"), "language", "embedding",
     )
-    return retrieval.upsert_vectors(stored, new)
+    spelt = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return retrieval.upsert_vectors(stored, new).select("chunk_id", "state", "language", F.array_join(spelt, " ").alias("vector"))
 
 
 @query("cosine_similarity", """
@@ -80,8 +109,7 @@ def knn_join(t: Inputs) -> DataFrame:
 
 @query("vector_search", _TOP.format(where="", k=10))
 def vector_search(t: Inputs) -> DataFrame:
-    """The block form, which serves any number of queries."""
-    return retrieval.vector_search(t.vectors, _asked(t), 10, MIN_SCORE, skip_self=True, task_queries=0)
+    return retrieval.vector_search(t.vectors, _asked(t), 10, MIN_SCORE, skip_self=True)
 
 
 @query("filtered_search", _TOP.format(k=5, where="""
@@ -91,9 +119,28 @@ def filtered_search(t: Inputs) -> DataFrame:
     return retrieval.filtered_search(t.vectors, _asked(t), 5, MIN_SCORE, skip_self=True)
 
 
-@query("approx_search")
+# Signs of projections on planes of +1 and -1; as many bits as leave 32 chunks in a bucket.
+_CODES = """
+    SELECT chunk_id, t, list(CAST(side AS INT) ORDER BY b) AS code FROM (
+        SELECT v.chunk_id, p.t, p.b, sum(CASE WHEN p.up THEN x ELSE -x END) >= 0 AS side
+        FROM (SELECT chunk_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS d FROM {vectors}) v
+        JOIN (SELECT t, b, d, md5(concat('42:', t, ':', b, ':', d))[1] < '8' AS up
+              FROM range(24) a(t), range(24) q(b), (SELECT DISTINCT unnest(range(len(embedding))) AS d FROM {vectors}) e
+              WHERE b < greatest(1, ceil(log2((SELECT count(*) FROM {vectors}) / 32.0)))) p ON p.d = v.d
+        GROUP BY v.chunk_id, p.t, p.b) s GROUP BY chunk_id, t
+"""
+
+
+@query("approx_search", f"""
+    SELECT query_id, chunk_id, score, CAST(i AS INT) AS rank FROM (
+        SELECT s.query_id, s.chunk_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) AS i
+        FROM {{pair_scores}} s JOIN (
+            SELECT DISTINCT a.chunk_id AS query_id, b.chunk_id FROM ({_CODES}) a JOIN ({_CODES}) b ON a.t = b.t AND a.code = b.code) c
+        ON c.query_id = s.query_id AND c.chunk_id = s.chunk_id) r
+    WHERE i <= 5
+""")
 def approx_search(t: Inputs) -> DataFrame:
-    return retrieval.approx_search(t.vectors, _asked(t), 5, MIN_SCORE, tables=12, bits=4, skip_self=True)
+    return retrieval.approx_search(t.vectors, _asked(t), 5, MIN_SCORE, skip_self=True)
 
 
 # neighbouring vectors and their scores, as found by an earlier search
@@ -141,9 +188,10 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L
 """)
 def rerank(t: Inputs) -> DataFrame:
     found = retrieval.knn_join(t.vectors, _asked(t), 5, MIN_SCORE, skip_self=True)
-    asked = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
-    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.rerank(found.join(asked, "query_id").join(texts, "chunk_id")).drop("query_text", "text")
+    words = t.documents.select("doc_id", distinct_tokens(F.col("text")).alias("tokens"))
+    asked = words.select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("query_tokens"))
+    there = words.withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.rerank(found.join(asked, "query_id").join(there, "chunk_id")).drop("query_tokens", "tokens")
 
 
 @query("retrieve_and_check")

@@ -241,7 +241,8 @@ def project_analysis(t: Inputs) -> DataFrame:
 
 def _placed_violations(t: Inputs) -> DataFrame:
     active = rules.active_rules(t.rules, language=None)
-    found = rules.evaluate_rules(t.placed(), active, keep=("element_id", "level_id"))
+    alike = reports.counted_elements(t.placed(), ("level_id",))
+    found = rules.evaluate_rules(alike, active, keep=("level_id", "n"))
     return found.withColumnRenamed("level_id", "floor_level")
 
 

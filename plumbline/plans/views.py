@@ -103,7 +103,8 @@ VIEWS = {
                CAST(floor(s_suppkey % 10 / 5) * 50 + 50 AS DOUBLE) AS y1
         FROM {{supplier}}
     """,
-    # the relational tables, with some faults for the integrity reports
+    # the relational tables, with some faults for the integrity reports; the rule catalogue has one rule for
+    # each kind, size and geometry of part, so that it stays a catalogue however many parts there are
     "users": """
         SELECT CAST(n_nationkey AS BIGINT) AS id,
                CASE n_regionkey WHEN 1 THEN NULL WHEN 2 THEN 'shared@example.com'
@@ -133,7 +134,8 @@ VIEWS = {
                CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'info' ELSE 'warning' END AS severity,
                CASE p_partkey % 3 WHEN 0 THEN 'en' ELSE 'cs' END AS language,
                p_brand AS version, p_brand = 'Brand#1' AS is_active
-        FROM {{part}}
+        FROM (SELECT min(p_partkey) AS p_partkey, p_type, p_size, min_by(p_name, p_partkey) AS p_name, min_by(p_brand, p_partkey) AS p_brand
+              FROM {{part}} GROUP BY p_type, p_size, p_partkey % 7) p
     """,
     # change feed, check history and request log
     "changes": f"""

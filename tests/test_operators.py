@@ -227,11 +227,11 @@ def brute_top(index, queries, k, least):
     }
 
 
-@pytest.mark.parametrize("task_queries", [4096, 0])
-def test_search_matches_brute_force_with_many_copies(spark, task_queries):
+@pytest.mark.parametrize("block_rows", [16384, 64])
+def test_search_matches_brute_force_with_many_copies(spark, block_rows):
     index, queries = vectors(1, 300, copies=100), vectors(1, 40, copies=10)
     found = retrieval.vector_search(
-        frame(spark, index, "chunk_id"), frame(spark, queries, "query_id"), 7, 0.3, task_queries=task_queries)
+        frame(spark, index, "chunk_id"), frame(spark, queries, "query_id"), 7, 0.3, block_rows=block_rows)
     assert not any(bad in plan(found) for bad in ("NestedLoop", "Cartesian"))
     got = {(r.query_id, r.chunk_id): r["rank"] for r in found.collect()}
     assert got == brute_top(index, queries, 7, 0.3)
@@ -248,14 +248,14 @@ def test_filtered_search_matches_brute_force(spark):
         data = np.array([rows[c].embedding for c in index])
         ranked = brute_top(data, np.array([a.embedding]), 3, 0.1) if index else {}
         want |= {(q, index[c]): rank for (_, c), rank in ranked.items()}
-    for task_queries in (4096, 0):
-        found = retrieval.filtered_search(t.vectors, asked, 3, 0.1, skip_self=True, task_queries=task_queries)
+    for block_rows in (16384, 50):
+        found = retrieval.filtered_search(t.vectors, asked, 3, 0.1, skip_self=True, block_rows=block_rows)
         assert {(r.query_id, r.chunk_id): r["rank"] for r in found.collect()} == want
 
 
 def test_small_blocks_change_nothing(spark):
     index, queries = vectors(3, 200), vectors(4, 60)
-    key = [F.lit("").alias("match_key"), F.lit("b").alias("bucket")]
+    key = [F.lit("b").alias("bucket")]
     parts = retrieval.block_search(
         frame(spark, index, "chunk_id").select("*", *key), frame(spark, queries, "query_id").select("*", *key),
         5, 0.0, block_rows=16)
@@ -272,14 +272,14 @@ def test_zero_vector_matches_nothing(spark):
 
 def test_approximate_results_are_exact_ones_with_good_recall(spark):
     rnd = np.random.default_rng(11)
-    centres = rnd.standard_normal((20, 16))
-    index = (centres[rnd.integers(0, 20, 400)] + 0.3 * rnd.standard_normal((400, 16))).astype("float32")
-    queries = (centres + 0.2 * rnd.standard_normal((20, 16))).astype("float32")
+    centres = rnd.standard_normal((60, 32))
+    index = (centres[rnd.integers(0, 60, 3000)] + 0.3 * rnd.standard_normal((3000, 32))).astype("float32")
+    queries = (centres + 0.2 * rnd.standard_normal((60, 32))).astype("float32")
     a, b = frame(spark, index, "chunk_id"), frame(spark, queries, "query_id")
-    exact = {(r.query_id, r.chunk_id): r.score for r in retrieval.vector_search(a, b, 400, 0.7).collect()}
-    near = {(r.query_id, r.chunk_id): r.score for r in retrieval.approx_search(a, b, 400, 0.7, tables=12, bits=5).collect()}
-    assert set(near) <= set(exact) and all(near[k] == exact[k] for k in near)
-    assert len(near) >= 0.9 * len(exact)
+    exact = {(r.query_id, r.chunk_id): r.score for r in retrieval.vector_search(a, b, 20, 0.7).collect()}
+    near = {(r.query_id, r.chunk_id): r.score for r in retrieval.approx_search(a, b, 20, 0.7).collect()}
+    assert all(near[k] == exact[k] for k in set(near) & set(exact))
+    assert len(set(near) & set(exact)) >= 0.9 * len(exact)
 
 
 @pytest.mark.parametrize("unit", ["character", "token"])
