@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 POWER, RANK_SHIFT = 1.0, 2.7
 SPACE = "▁"
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 19
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -96,9 +96,8 @@ class Vocabulary:
 class Lattices:
     """The lattices of different words, in flat arrays.
 
-    A state is a character position of a word.  State s has the edges ``first[s] : first[s + 1]``; ``cumulative`` is s plus
-    the running chance, so one sorted search draws an edge of any state; ``others`` is the chance of the state's
-    other edges.  A character without a piece has an edge that spells it in bytes (``spelt`` of the edge, else -1).
+    A state is a character position of a word.  State s has the edges ``first[s] : first[s + 1]``; ``running`` is the
+    running chance of a state's edges; ``others`` is the chance of the state's other edges.  A character without a piece has an edge that spells it in bytes (``spelt`` of the edge, else -1).
     """
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
@@ -111,55 +110,59 @@ class Lattices:
         place = np.minimum(np.searchsorted(vocabulary.characters, text), len(vocabulary.characters) - 1)
         number = np.where(vocabulary.characters[place] == text, place, -1)
         # All pieces that start at each position, by walking the prefix tree from all positions at once.
-        at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
-        source, target, piece = [], [], []
+        at, node, depth = np.arange(n, dtype=np.int32), np.zeros(n, np.int64), 0
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        counts = np.zeros(n, np.int32)
         while len(at):
             key = node * len(vocabulary.characters) + number[at + depth]
             step = np.minimum(np.searchsorted(vocabulary.steps, key), len(vocabulary.steps) - 1)
             on = (vocabulary.steps[step] == key) & (number[at + depth] >= 0)
             at, node = at[on], vocabulary.nodes[step[on]]
             depth += 1
-            whole = vocabulary.ends[node] >= 0
-            source.append(at[whole])
-            target.append(at[whole] + depth)
-            piece.append(vocabulary.ends[node[whole]])
+            piece = vocabulary.ends[node]
+            whole = piece >= 0
+            found.append((at[whole], piece[whole], depth))
+            counts[found[-1][0]] += 1
             going = at + depth < end[at]
             at, node = at[going], node[going]
         bare = np.ones(n, bool)
-        bare[source[0] if source else []] = False
-        bare = np.flatnonzero(bare)
+        if found:
+            bare[found[0][0]] = False
+        bare = np.flatnonzero(bare).astype(np.int32)
         self.spellings = [vocabulary.of_byte[np.frombuffer(chr(c).encode(errors="replace"), np.uint8)] for c in text[bare].tolist()]
-        source, target = np.concatenate([*source, bare]), np.concatenate([*target, bare + 1])
-        piece = np.concatenate([*piece, -1 - np.arange(len(bare))]).astype(np.int64)
-        weight = np.where(piece >= 0, vocabulary.weight[np.maximum(piece, 0)], 0.0)
-        weight[piece < 0] = [float(vocabulary.weight[s].sum()) for s in self.spellings]
-        order = np.argsort(source, kind="stable")
-        source, target, self.piece, weight = source[order], target[order], piece[order], weight[order]
-        self.first = np.searchsorted(source, np.arange(n + 1))
-        self.next_state = np.where(target < end[source], target, -1)
+        counts[bare] += 1
+        found.insert(0, (bare, -1 - np.arange(len(bare)), 1))
+        # A position has one piece of a length at most: each length fills the next free place of its positions.
+        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        free, total = self.first[:-1].copy(), int(self.first[-1])
+        self.piece, target = np.empty(total, np.int32), np.empty(total, np.int32)
+        for at, piece, depth in found:
+            slot = free[at]
+            self.piece[slot], target[slot] = piece, at + depth
+            free[at] += 1
+        source = np.repeat(np.arange(n, dtype=np.int32), counts)
+        weight = vocabulary.weight[np.maximum(self.piece, 0)]
+        odd = np.flatnonzero(self.piece < 0)
+        weight[odd] = [float(vocabulary.weight[self.spellings[-1 - p]].sum()) for p in self.piece[odd].tolist()]
+        self.next_state = np.where(target < end[source], target, -1).astype(np.int32)
         # Log mass from each position to its word's end: positions one character from the end first, then two, and so on.
         mass = np.zeros(n + 1)
-        left = end - np.arange(n)
+        left = (end - np.arange(n)).astype(np.int32)
         turn = np.argsort(left, kind="stable")
         for group in np.split(turn, np.flatnonzero(np.diff(left[turn])) + 1) if n else []:
-            counts = self.first[group + 1] - self.first[group]
-            edges = spread(self.first[group], counts)
-            values = weight[edges] + np.where(self.next_state[edges] >= 0, mass[np.maximum(self.next_state[edges], 0)], 0.0)
-            begin = np.cumsum(counts) - counts
+            many = counts[group]
+            edges = spread(self.first[group], many)
+            values = weight[edges] + mass[self.next_state[edges]]  # the end of a word is -1: the last mass, zero
+            begin = np.cumsum(many) - many
             top = np.maximum.reduceat(values, begin)
-            mass[group] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, counts)), begin))
-        ahead = np.where(self.next_state >= 0, mass[np.maximum(self.next_state, 0)], 0.0)
-        counts = np.diff(self.first)
-        chance = np.exp(weight + ahead - mass[source])
-        before = np.cumsum(chance) - chance
+            mass[group] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, many)), begin))
+        chance = np.exp(weight + mass[self.next_state] - mass[source])
         begin = self.first[:-1]
         total = np.add.reduceat(chance, begin) if n else chance
         self.chance = chance / np.repeat(total, counts)
         inside = np.cumsum(self.chance)
-        running = inside - np.repeat((inside - self.chance)[begin], counts) if n else inside
-        last = self.first[1:] - 1
-        running[last] = 1.0
-        self.cumulative = source + running
+        self.running = inside - np.repeat((inside - self.chance)[begin], counts) if n else inside
+        self.running[self.first[1:] - 1] = 1.0
         # What a state has beside an edge of more than half is summed without that edge, so that little is not lost.
         large = self.chance > 0.5
         beside = np.add.reduceat(np.where(large, 0.0, self.chance), begin) if n else chance
@@ -169,8 +172,11 @@ class Lattices:
         """Edges of a drawn path from each state to its word's end, in order, and how many each has."""
         place, steps, n, turn = np.arange(len(states)), [], len(states), 0
         while len(states):
-            edge = np.searchsorted(self.cumulative, states + uniform(keys, turn), side="right")
-            edge = np.minimum(edge, self.first[states + 1] - 1)
+            edge, drawn = self.first[states], uniform(keys, turn)
+            beyond = np.flatnonzero(drawn >= self.running[edge])
+            while len(beyond):  # the last edge of a state runs to 1, which no draw reaches
+                edge[beyond] += 1
+                beyond = beyond[drawn[beyond] >= self.running[edge[beyond]]]
             steps.append((place, edge))
             ahead = self.next_state[edge]
             going = ahead >= 0
@@ -183,7 +189,7 @@ class Lattices:
 
     def spell(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of paths, and how many each edge has."""
-        piece, counts = self.piece[edges], np.ones(len(edges), np.int64)
+        piece, counts = self.piece[edges].astype(np.int64), np.ones(len(edges), np.int64)
         odd = np.flatnonzero(piece < 0)
         if not len(odd):
             return piece, counts
@@ -398,8 +404,9 @@ def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES
 
     def rows(ids: list, texts: list[str], own: Vocabulary) -> list[dict]:
         split = [words_of(text) for text in texts]
-        number: dict[str, int] = {}
-        words = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
+        every = [w for s in split for w in s]
+        number = {w: i for i, w in enumerate(dict.fromkeys(every))}
+        words = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
         made = [{"doc_id": doc, "decodes": True, "found": []} for doc in ids]
         some = np.array([i for i, s in enumerate(split) if s], np.int64)
         best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
