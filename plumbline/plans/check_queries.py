@@ -291,6 +291,28 @@ def batch_summary(t: Inputs) -> DataFrame:
     return reports.batch_summary(corridor.check_corridor(t.records(t.elements)))
 
 
+@query("check_model", """
+    SELECT count(*) AS checked, CAST(count(*) FILTER (broken) AS BIGINT) AS violations,
+           concat('Checked ', count(*), ' element(s).', chr(10), 'Found ', count(*) FILTER (broken), ' violation(s). See log for details.') AS message
+    FROM (
+        SELECT lower(e.category) IN ('wall', 'corridor') AND coalesce(h.room_type = 'Corridor', false) AND width_mm < 1200 AS broken
+        FROM (SELECT *, CASE kind WHEN 'wall' THEN wall_width WHEN 'family' THEN coalesce(width_en, width_cs) END
+                        * CAST(304.8 AS DOUBLE) AS width_mm FROM {raw_elements}) e LEFT JOIN (
+            SELECT p.level_id, p.x, p.y, min_by(r.name, r.room_id) AS room_type
+            FROM (SELECT DISTINCT level_id, x, y FROM {raw_elements} WHERE location_kind = 'point') p
+            JOIN {rooms} r ON r.level_id = p.level_id AND p.x >= r.x0 AND p.x < r.x1 AND p.y >= r.y0 AND p.y < r.y1
+            GROUP BY p.level_id, p.x, p.y) h
+        ON e.location_kind = 'point' AND h.level_id = e.level_id AND h.x = e.x AND h.y = e.y
+        WHERE width_mm IS NOT NULL) c
+""")
+def check_model(t: Inputs) -> DataFrame:
+    """From raw model rows to the summary: properties, level, room, check; rows without a width are refused."""
+    found = extract.extract_properties(t.with_params(t.raw_elements)).filter(F.col("properties.width_mm").isNotNull())
+    placed = enrich.join_rooms(enrich.join_levels(found, t.levels), t.rooms)
+    records = extract.with_context(placed, F.col("room_type"), F.col("floor_level"))
+    return reports.batch_summary(corridor.check_corridor(records))
+
+
 @query("join_levels", f"""
     SELECT element_id, name AS level_name, {_FLOOR} AS floor_level
     FROM {{raw_elements}} e LEFT JOIN {{levels}} l ON l.level_id = e.level_id

@@ -36,15 +36,14 @@ def change_feed(t: Inputs) -> DataFrame:
     return _run(t, feed, "feed")
 
 
-_STREAMED = """
-    SELECT id, element_id, category, width_mm, broken, min_width FROM (
+_CHANGED = """
         SELECT *, lower(category) = 'wall' AND coalesce(room_type = 'Corridor', false) AND width_mm < min_width AS broken
         FROM (SELECT *, CASE WHEN occupancy > 200 THEN 1500 ELSE 1200 END AS min_width,
                      CASE kind WHEN 'wall' THEN wall_width WHEN 'family' THEN coalesce(width_en, width_cs) END
                          * CAST(304.8 AS DOUBLE) AS width_mm
               FROM {changes} WHERE change_type = 'modified' AND category IN ('Wall', 'Door')) c
-    ) d WHERE width_mm IS NOT NULL
 """
+_STREAMED = f"SELECT id, element_id, category, width_mm, broken, min_width FROM ({_CHANGED}) d WHERE width_mm IS NOT NULL"
 
 
 @query("stream_check", f"""
@@ -61,6 +60,13 @@ def stream_check(t: Inputs) -> DataFrame:
     ), "checks")
 
 
+@query("refused_changes", f"""
+    SELECT id, element_id, category, 'properties.width_mm.missing' AS reason FROM ({_CHANGED}) d WHERE width_mm IS NULL
+""")
+def refused_changes(t: Inputs) -> DataFrame:
+    return checks.refused_changes(t.with_params(t.changes)).select("id", "element_id", "category", "reason")
+
+
 @query("request_rate", """
     WITH RECURSIVE w AS (
         SELECT date_trunc('minute', ts) AS s, count(*) AS requests FROM {cache_requests} GROUP BY 1

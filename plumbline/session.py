@@ -14,10 +14,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # The JVM never compiles a method beyond 8000 bytes; such a stage runs faster as
-    # separately generated operators.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# Only for sessions of our own.  The JVM never compiles a method beyond 8000 bytes; such a stage
+# runs faster as separately generated operators.
+OWN = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 _local_folder: dict[str, str] = {}
 
@@ -27,7 +27,7 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULTS.items():
+    for key, value in (DEFAULTS | OWN).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -35,7 +35,7 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Sets the defaults on a session made elsewhere."""
+    """Sets the defaults, which results depend on, on a session made elsewhere."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
     return spark
