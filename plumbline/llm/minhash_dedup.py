@@ -11,7 +11,7 @@ the band; the alignment is exact within it (bit-parallel, one row of the band at
 
 Equal word sequences are one text from the start, however many copies there are.  Texts of one sketch are first
 compared with the smallest of them (linear in their number).  Whatever that leaves in different components of a sketch
-is then compared in blocks, so no link between different texts is lost; pairs already connected are skipped.
+is then compared in blocks, within tasks, so no link between different texts is lost; pairs already connected are skipped.
 Components come from ``_components``.
 
 Defined cases: null and blank texts link with nothing; a text of fewer than ``WORDS`` words is one shingle; a row with a
@@ -181,34 +181,57 @@ def agreement(left: str, right: str) -> F.Column:
     return F.size(F.filter(F.zip_with(left, right, lambda x, y: x == y), lambda x: x))
 
 
-def _cross_pairs(group: pa.Table) -> pa.Table:
-    """Candidates of different components in one sketch and pair of blocks; each in the first sketch they share."""
-    key = np.asarray(group["key"], np.int64)
-    low, high, own = (np.asarray(group[c], np.int64) for c in ("low", "high", "own"))
-    rep, component = np.asarray(group["rep"], np.int64), np.asarray(group["component"], np.int64)
-    keys = group["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
-    sketch = (keys == key[:, None]).argmax(axis=1)
-    order = np.lexsort((rep, high, low, key))
-    bounds = np.column_stack([key, low, high])[order]
-    cut = np.flatnonzero(np.concatenate(([True], np.any(np.diff(bounds, axis=0) != 0, axis=1))))
-    first, second = [], []
-    for rows in np.split(order, cut[1:]):
-        if component[rows[0]] == component[rows].min() == component[rows].max():
-            continue
-        for i, row in enumerate(rows.tolist()):
-            rest = rows[i + 1:]
-            rest = rest[component[rest] != component[row]]
-            if low[row] != high[row]:
-                rest = rest[own[rest] != own[row]]
-            if not len(rest):
+def _cross_links(min_similarity: float) -> Callable:
+    """Compares the texts of one sketch and pair of blocks that lie in different components.
+
+    A pair is compared in the first sketch it shares, unless links found in this group connect it already.  Each text
+    that found a link is returned with the least one it reaches here, so rows grow with the texts and not with the pairs.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        key = np.asarray(group["key"], np.int64)
+        low, high, own = (np.asarray(group[c], np.int64) for c in ("low", "high", "own"))
+        rep, component = np.asarray(group["rep"], np.int64), np.asarray(group["component"], np.int64)
+        keys = group["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
+        texts = _texts(group["text"])
+        sketch = (keys == key[:, None]).argmax(axis=1)
+        order = np.lexsort((rep, high, low, key))
+        bounds = np.column_stack([key, low, high])[order]
+        cut = np.flatnonzero(np.concatenate(([True], np.any(np.diff(bounds, axis=0) != 0, axis=1))))
+        found: list[tuple[int, int]] = []
+        for rows in np.split(order, cut[1:]):
+            if component[rows].min() == component[rows].max():
                 continue
-            same = keys[rest] == keys[row]
-            rest = rest[(same.sum(axis=1) >= AGREE) & (same.argmax(axis=1) == sketch[row])]
-            first.append(rep[rest])
-            second.append(np.full(len(rest), rep[row]))
-    a = np.concatenate(first) if first else np.zeros(0, np.int64)
-    b = np.concatenate(second) if second else np.zeros(0, np.int64)
-    return pa.table([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            known: dict[int, np.ndarray] = {}
+            root = {row: row for row in rows.tolist()}
+
+            def top(row: int) -> int:
+                while root[row] != row:
+                    root[row] = root[root[row]]
+                    row = root[row]
+                return row
+
+            def of(row: int) -> np.ndarray:
+                if row not in known:
+                    known[row] = shingles([texts[row]])[0]
+                return known[row]
+
+            for i, row in enumerate(rows.tolist()):
+                rest = rows[i + 1:]
+                rest = rest[component[rest] != component[row]]
+                if low[row] != high[row]:
+                    rest = rest[own[rest] != own[row]]
+                same = keys[rest] == keys[row]
+                rest = rest[(same.sum(axis=1) >= AGREE) & (same.argmax(axis=1) == sketch[row])] if len(rest) else rest
+                for other in rest.tolist():
+                    x, y = top(row), top(other)
+                    if x != y and aligned(of(row), of(other), min_similarity):
+                        x, y = (x, y) if rep[x] < rep[y] else (y, x)
+                        root[y] = x
+            found += [(int(rep[row]), int(rep[top(row)])) for row in rows.tolist() if top(row) != row]
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -243,10 +266,9 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
     cells = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crossed = cut_lineage(rest.join(own, "rep").select("key", "low", "high", "own", "rep", "component", "keys",
-                                                       F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)).alias("cell"))
-                          .groupBy("cell").applyInArrow(_cross_pairs, "a long, b long").distinct())
-    more = verified(crossed, texts, min_similarity)
+    more = cut_lineage(rest.join(own, "rep").join(texts, "rep").select(
+        "key", "low", "high", "own", "rep", "component", "keys", "text", F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)).alias("cell"))
+        .groupBy("cell").applyInArrow(_cross_links(min_similarity), "a long, b long"))
     edges = links.unionByName(more).unionByName(copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
                                                 .groupBy("a", "b").count().drop("count"))
     classes = connected_components(edges).withColumnRenamed("id", "doc_id")
