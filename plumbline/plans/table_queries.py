@@ -17,8 +17,8 @@ from plumbline.sources import tables
 
 def _rules_with_builtin(t: Inputs) -> DataFrame:
     """The rule table with a row for the built-in rule, so that its violations have a key."""
-    head = t.spark.range(1).select(
-        F.lit(-1).cast("long").alias("id"), F.lit(CORRIDOR_RULE["rule_id"]).alias("rule_id"), F.lit("corridor_width").alias("rule_type"),
+    head = t.spark.range(-1, 0).select(
+        "id", F.lit(CORRIDOR_RULE["rule_id"]).alias("rule_id"), F.lit("corridor_width").alias("rule_type"),
         F.lit("corridor").alias("geometry_type"), F.lit("Corridor width").alias("title"),
         F.lit("Corridor width").alias("description"),
         F.lit(CORRIDOR_RULE["code_reference"]).alias("code_reference"),
