@@ -5,7 +5,7 @@
 3. repeated passages: bytes of windows that also start in a smaller document go (a character that loses a byte
    goes whole), documents of which nothing is left but white space go;
 4. mixing: documents are repeated or left out until each source has its share of all words;
-5. pieces: one row a document taken, with its SentencePiece ids' number and digest, and distinct sampled segmentations.
+5. pieces: one row a document taken, with its SentencePiece ids, distinct sampled segmentations, and numbers and digests of both.
 
 All stages but the last return the columns of ``documents``, with ``n_chars`` kept true to ``text``.
 """

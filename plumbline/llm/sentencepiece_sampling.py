@@ -396,11 +396,11 @@ DIGESTS = {"n_ids": pa.int32(), "ids_sha256": pa.string(), "n_sampled": pa.int32
 def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES, digests: bool = False,
                       carry: list[str] | None = None) -> DataFrame:
     """``doc_id, ids, decodes, samples, log_chances, inclusions`` of every row; with ``digests`` numbers and digests of the
-    id lists in place of the lists."""
+    id lists follow."""
     along = carry or []
     with open(model_path, "rb") as file:  # on the driver; tasks get the bytes
         model = file.read()
-    names = dict(SCHEMA) if not digests else {n: t for n, t in SCHEMA.items() if n not in ("ids", "samples")} | DIGESTS
+    names = SCHEMA | (DIGESTS if digests else {})
 
     def rows(ids: list, texts: list[str], own: Vocabulary) -> list[dict]:
         split = [words_of(text) for text in texts]
@@ -434,12 +434,11 @@ def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES
             row["log_chances"] = [f[1] for f in found]
             row["inclusions"] = [float(-np.expm1(-np.exp(min(f[1] - threshold[i], 700.0)))) for f in found]
             encoded, samples = best[i].astype(np.int32), [f[0].astype(np.int32) for f in found]
+            row |= {"ids": encoded, "samples": samples}
             if digests:
                 joined = b"".join(p.tobytes() + b"|" for p in samples)
                 row |= {"n_ids": len(encoded), "ids_sha256": hashlib.sha256(encoded.tobytes()).hexdigest(), "n_sampled": len(samples),
                         "sample_sizes": [len(p) for p in samples], "samples_sha256": hashlib.sha256(joined).hexdigest()}
-            else:
-                row |= {"ids": encoded, "samples": samples}
         return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

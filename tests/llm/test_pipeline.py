@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -89,3 +90,15 @@ def test_pieces_of_every_document_taken(stages):
     text = {r.doc_id: r.text for r in stages[4]}
     assert Counter(r.doc_id for r in stages[5]) == Counter(r.doc_id for r in stages[4])
     assert all(r.n_ids == len(tool.encode(text[r.doc_id])) and r.decodes for r in stages[5])
+
+
+def test_pieces_come_as_lists(stages):
+    """The result itself holds the ids and the sampled segmentations, not only their digests."""
+    with open(MODEL, "rb") as file:
+        own = vocabulary_of(file.read())
+    text = {r.doc_id: r.text for r in stages[4]}
+    for r in stages[5]:
+        assert r.ids == own.tool.encode(text[r.doc_id]) and len(r.ids) == r.n_ids
+        assert [len(s) for s in r.samples] == r.sample_sizes and len({tuple(s) for s in r.samples}) == r.n_sampled
+        assert len(r.log_chances) == len(r.inclusions) == len(r.samples)
+        assert all(own.decode(np.array(s)) == text[r.doc_id] for s in r.samples)

@@ -1,5 +1,6 @@
 """Operators that judge one row at a time: quality, extraction, URLs, segmentations; and mixing and search."""
 
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -191,6 +192,17 @@ def test_encoding_is_the_tokenizers_and_round_trips(spark):
     assert sentencepiece_sampling.encode_and_sample(docs.limit(0)).count() == 0
 
 
+def test_registered_segmentations_are_whole(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    own = sentencepiece_sampling.vocabulary_of(open(sentencepiece_sampling.MODEL, "rb").read())
+    rows = sentencepiece_sampling.op8_sentencepiece(spark, SF).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        assert r.ids == own.tool.encode(text[r.doc_id]) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, np.int32).tobytes()).hexdigest()
+        assert len({tuple(s) for s in r.samples}) == len(r.samples) == len(r.log_chances) == len(r.inclusions) == r.n_sampled
+        assert all(own.decode(np.array(s)) == text[r.doc_id] for s in r.samples)
+
+
 def test_mixing_targets_and_flow():
     assert source_mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     assert source_mixing.targets([10, 100, 100], [5, 2, 1]) == [30.0, 120.0, 60.0]
