@@ -34,6 +34,13 @@ DIMENSION = 1536
 SCORE_DIGITS = 6
 # Rows of one side of a block of ``block_search``.
 BLOCK_ROWS = 16384
+# ``approx_search``: the recall it is sized for and must show on a sample of queries, the most hash tables, and the share of the
+# index as candidates beyond which multiplying matrices is cheaper than moving pairs.
+RECALL = 0.9
+SAMPLE_RECALL = 0.92
+SAMPLE_QUERIES = 200
+MAX_TABLES = 256
+EXACT_SHARE = 0.02
 
 
 # ---------------------------------------------------------------- documents and chunks
@@ -360,42 +367,84 @@ def plane_signs(tables: int, bits: int, dim: int, seed: int = 42) -> list[list[l
     return [[[sign(f"{seed}:{t}:{b}:{d}") for d in range(dim)] for b in range(bits)] for t in range(tables)]
 
 
+@functools.lru_cache(maxsize=4)
+def _plane_matrix(tables: int, bits: int, dim: int, seed: int) -> np.ndarray:
+    """Planes as the columns of a matrix, made once a worker process."""
+    return np.array(plane_signs(tables, bits, dim, seed), np.float64).reshape(tables * bits, dim).T
+
+
 def lsh_codes(df: DataFrame, row_id: str, tables: int, bits: int, seed: int = 42) -> DataFrame:
     """``<row_id>, table, code``: the signs of projections on planes, one row per hash table, without the vector.
 
     The angle between vectors sets how often signs agree; ``bits`` make a bucket narrow,
     ``tables`` give near vectors more chances to share one.
     """
-    cache: dict[int, np.ndarray] = {}
-
     @F.pandas_udf("array<long>")
     def codes(vectors: pd.Series) -> pd.Series:
         rows = np.stack(vectors.to_numpy()).astype("float64")
-        dim = rows.shape[1]
-        if dim not in cache:
-            cache[dim] = np.array(plane_signs(tables, bits, dim, seed), np.float64).reshape(tables * bits, dim).T
-        signs = (rows @ cache[dim] >= 0).reshape(len(rows), tables, bits)
+        signs = (rows @ _plane_matrix(tables, bits, rows.shape[1], seed) >= 0).reshape(len(rows), tables, bits)
         return pd.Series(list(signs @ (1 << np.arange(bits, dtype=np.int64))))
 
     return df.select(row_id, F.posexplode(codes("embedding")).alias("table", "code"))
 
 
+def tables_for(bits: int, min_score: float, recall: float = RECALL) -> int:
+    """Tables that give a pair at ``min_score`` a chance of ``recall`` to share a bucket."""
+    agree = (1 - math.acos(max(min(min_score, 1.0), -1.0)) / math.pi) ** bits
+    if agree >= recall:
+        return 1
+    return math.ceil(math.log(1 - recall) / math.log1p(-agree)) if agree > 1e-12 else 2**62
+
+
+def _sample_recall(index: DataFrame, queries: DataFrame, k: int, min_score: float, skip_self: bool, bucket: bool,
+                   ways: list[tuple[int, int]]) -> list[float] | None:
+    """Share of the exact results of a sample of queries that each way of ``bits, tables`` finds; None without results."""
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES)
+    exact = topk_per_query(block_search(index, sample, k, min_score, skip_self, bucket=bucket), k, min_score)
+    pairs = exact.join(sample.select("query_id", F.col("embedding").alias("_asked")), "query_id").join(
+        index.select("chunk_id", "embedding"), "chunk_id")
+    bits, tables = max(b for b, _ in ways), max(t for _, t in ways)
+
+    @F.pandas_udf("array<int>")
+    def found(left: pd.Series, right: pd.Series) -> pd.Series:
+        a, b = (np.stack(v.to_numpy()).astype("float64") for v in (left, right))
+        planes = _plane_matrix(tables, bits, a.shape[1], 42)
+        same = ((a @ planes >= 0) == (b @ planes >= 0)).reshape(len(a), tables, bits)
+        common = np.logical_and.accumulate(same, axis=2).sum(axis=2)  # leading bits that agree
+        return pd.Series(list(np.column_stack([(common[:, :t] >= n).any(axis=1) for n, t in ways]).astype("int32")))
+
+    hit = pairs.select(found("_asked", "embedding").alias("_f"))
+    row = hit.agg(*[F.avg(F.col("_f")[i]) for i in range(len(ways))]).first()
+    return None if row[0] is None else list(row)
+
+
 def approx_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
                   tables: int = 24, bits: int = 24, per_bucket: int = 32, match_on: list[str] | None = None,
                   skip_self: bool = False) -> DataFrame:
     """Search among chunks that share an LSH bucket with the query, scored exactly.
 
-    As many of the ``bits`` count as leave about ``per_bucket`` chunks in a bucket, were they spread evenly: the index size, a
-    subquery, decides.  Ids and codes are shuffled, candidate pairs are made distinct, and then each vector is fetched.
+    As many of the ``bits`` count as leave about ``per_bucket`` chunks in a bucket, were they spread evenly.  More bits lose more
+    neighbours, so ``tables`` are the least: where they do not find ``SAMPLE_RECALL`` of the exact results of a sample of queries,
+    tables follow bits and ``min_score``, up to ``MAX_TABLES``, with fewer bits beyond.  Where even that makes more than
+    ``EXACT_SHARE`` of the index candidates, as low thresholds do, the search is ``vector_search``.  Sizing counts the index and
+    compares the sample with it, when the plan is made.  Ids and codes are shuffled, candidate pairs are made distinct, and then
+    each vector is fetched.
     """
     index, queries = (_prepared(df, name, match_on) for df, name in ((index, "chunk_id"), (queries, "query_id")))
-    size = index.agg(F.count(F.lit(1))).scalar()
-    used = F.greatest(F.lit(1), F.least(F.lit(bits), F.ceil(F.log2(F.greatest(size, F.lit(1)) / F.lit(per_bucket))).cast("int")))
-    mask = F.expr("shiftleft(1L, _bits)") - 1
+    used = max(1, min(bits, math.ceil(math.log2(max(index.count(), 1) / per_bucket))))
+    sized = [(b, max(tables, tables_for(b, min_score))) for b in range(used, 0, -1)]
+    ways = [(used, tables), *[(b, t) for b, t in sized if t <= max(MAX_TABLES, tables) and t / 2**b <= EXACT_SHARE]]
+    shown = _sample_recall(index, queries, k, min_score, skip_self, bool(match_on), ways)
+    if shown is None:  # no pair to learn from: the chance of one at the threshold decides
+        shown = [1.0 if t >= tables_for(b, min_score) else 0.0 for b, t in ways]
+    way = next((w for w, share in zip(ways, shown, strict=True) if share >= SAMPLE_RECALL), None)
+    if way is None:
+        found = block_search(index, queries, k, min_score, skip_self, bucket=bool(match_on))
+        return topk_per_query(found, k, min_score)
+    used, tables = way
 
     def coded(df: DataFrame, name: str) -> DataFrame:
-        codes = lsh_codes(df, name, tables, bits).withColumn("_bits", used)
-        codes = codes.select(name, "table", F.col("code").bitwiseAND(mask).alias("code"))
+        codes = lsh_codes(df, name, tables, used)
         return codes.join(df.select(name, "bucket"), name) if match_on else codes
 
     pairs = coded(queries, "query_id").join(coded(index, "chunk_id"), ["table", "code", *(["bucket"] if match_on else [])])

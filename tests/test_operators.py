@@ -282,6 +282,43 @@ def test_approximate_results_are_exact_ones_with_good_recall(spark):
     assert len(set(near) & set(exact)) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_approximate_search_has_recall_at_every_size(spark, sf):
+    from plumbline.plans import retrieval_queries
+
+    t = Inputs(spark, SF.replace("sf0.001", sf))
+    data = {r.chunk_id: r.embedding for r in t.vectors.collect()}
+    ids = sorted(data)
+    rows = np.array([data[i] for i in ids], "float64")
+    best = brute_top(rows, rows, 6, 0.2)  # the first of each is the vector itself
+    near = {(ids[q], ids[c]) for q, c in best if q != c}
+    found = {(r.query_id, r.chunk_id) for r in retrieval_queries.approx_search(t).collect()}
+    assert len(found & near) >= 0.9 * len(near)
+
+
+def test_more_tables_find_pairs_near_the_threshold(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    index = rnd.standard_normal((4000, 32))
+    index /= np.linalg.norm(index, axis=1)[:, None]
+    side = rnd.standard_normal((300, 32))
+    side -= (side * index[:300]).sum(1)[:, None] * index[:300]
+    queries = 0.72 * index[:300] + math.sqrt(1 - 0.72**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    index, queries = index.astype("float32"), queries.astype("float32")
+    made, codes = [], retrieval.lsh_codes
+    monkeypatch.setattr(retrieval, "lsh_codes", lambda df, name, tables, bits: (made.append((tables, bits)), codes(df, name, tables, bits))[1])
+    near = retrieval.approx_search(frame(spark, index, "chunk_id"), frame(spark, queries, "query_id"), 5, 0.7, per_bucket=1)
+    found, best = {(r.query_id, r.chunk_id) for r in near.collect()}, brute_top(index, queries, 5, 0.7)
+    assert len(best) >= 300 and len(found & set(best)) >= 0.9 * len(best)
+    assert made and all(24 < tables <= retrieval.MAX_TABLES and bits == 12 for tables, bits in made)  # hashed, with tables of their own number
+
+
+def test_tables_follow_bits_and_threshold():
+    for score, bits in ((0.7, 8), (0.7, 15), (0.95, 20)):
+        agree = (1 - np.arccos(score) / np.pi) ** bits
+        n = retrieval.tables_for(bits, score)
+        assert 1 - (1 - agree) ** n >= retrieval.RECALL > 1 - (1 - agree) ** (n - 1)
+
+
 @pytest.mark.parametrize("unit", ["character", "token"])
 def test_chunks_rebuild_the_text(spark, unit):
     words = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 7, 100, 333)]
