@@ -3,7 +3,8 @@
 A shingle is ``WORDS`` consecutive words, labelled with how often it occurred before in the text.  Each of ``SKETCHES``
 hash functions picks the ``TUPLE`` labelled shingles with the least hashes and keeps them in text order, so a
 sketch agrees for texts that hold the same shingles in the same order.  Texts that agree in ``AGREE``
-sketches are candidates; at the threshold a pair fails that with a chance below 1e-4.
+sketches are candidates.  At the threshold a pair fails that with a chance that follows the number of shingles of both (aligned
+ones counted once): 3.3 % for 5, 0.08 % for 6 or 10, 0.02 % for 20, below 1e-4 from 50 on.
 
 The similarity of two texts is that of the best alignment of their shingle sequences: aligned shingles by all
 shingles of both, aligned ones counted once.  Reaching 0.8 bounds how far two aligned shingles can be displaced, hence
