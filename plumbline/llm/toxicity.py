@@ -4,7 +4,7 @@ A window is one word in lower case with a space on either side (longer ones in o
 becomes with the toxic dictionary than with the ordinary one.  The ordinary dictionary is trained by zstandard on ordinary text.  The toxic
 dictionary is the same one followed by passages of toxic text, so the two differ in nothing but toxic matter, and words that have none gain
 nothing.  The passages are those pieces of toxic text whose strings of ``GRAM`` bytes occur in far more toxic than ordinary texts; zstandard's own
-trainer looks at one side only, and with what it picks the classes overlap widely.
+trainer looks at one side only, and with what it picks the classes overlap widely.  How much more often is tried out.
 
 Three numbers of a text, the largest gain, the bytes gained in windows above a threshold and the number of windows, go through a logistic curve.  The
 threshold and the curve are fitted on labelled texts that the dictionaries did not see: the threshold that tells them best is taken.
@@ -20,6 +20,7 @@ null labels or texts are not learnt from; an empty table gives an empty result;
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,8 @@ SAMPLE = 2_000
 HELD_OUT_FOLD = 1
 TOXIC_SCORE = 0.7
 GRAM = 5
-MORE_OFTEN = 10  # times as often in toxic texts
+MORE_OFTEN = (2, 4, 8, 16)  # times as often in toxic texts: one of these, as the labelled texts tell
+SURE = 3.0  # and so many standard deviations more often
 LEAST_SHARE = 0.004  # of the toxic texts, and two of them
 COMMON_BYTES, TOXIC_BYTES = 16 << 10, 8 << 10
 PIECE, OVERLAP = 64, 16
@@ -68,14 +70,21 @@ def grams(words: set[bytes]) -> set[bytes]:
     return out
 
 
-def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Pieces of words of toxic texts that ordinary ones lack, the commonest last, where a dictionary is best searched."""
-    seen, usual = Counter(), Counter()
-    for held, texts in ((seen, toxic), (usual, ordinary)):
-        for text in texts:
-            held.update(grams(set(windows(text))))
+def text_counts(texts: list[bytes]) -> Counter[bytes]:
+    """In how many texts each string of ``GRAM`` bytes occurs."""
+    held: Counter[bytes] = Counter()
+    for text in texts:
+        held.update(grams(set(windows(text))))
+    return held
+
+
+def toxic_passages(toxic: list[bytes], seen: Counter[bytes], usual: dict[bytes, float], more_often: float) -> list[bytes]:
+    """Pieces of words of toxic texts that are rarer in ordinary ones, the commonest last, where a dictionary is best searched.
+
+    ``seen``: toxic texts of a string; ``usual``: as many as there would be, were toxic texts like ordinary ones.
+    """
     least = max(2, LEAST_SHARE * len(toxic))
-    telling = {g for g, k in seen.items() if k >= least and k / len(toxic) > MORE_OFTEN * (usual[g] + 0.3) / len(ordinary)}
+    telling = {g for g, k in seen.items() if k >= least and k > more_often * usual[g] and k - usual[g] > SURE * math.sqrt(usual[g])}
     counts: Counter[bytes] = Counter()
     for text in toxic:
         for word, times in Counter(windows(text)).items():
@@ -160,15 +169,22 @@ def fit(toxic: list[bytes], ordinary: list[bytes], base: float) -> ToxicityModel
     """Even rows make the dictionaries, odd rows threshold and curve."""
     if not (toxic and ordinary):
         return ToxicityModel(base=base)
-    model = ToxicityModel(common_dictionary(ordinary[::2]), b"".join(toxic_passages(toxic[::2], ordinary[::2]))[-TOXIC_BYTES:], base)
+    common, shown = common_dictionary(ordinary[::2]), toxic[::2]
+    seen, ordinary_counts = text_counts(shown), text_counts(ordinary[::2])
+    scale = len(shown) / len(ordinary[::2])
+    usual = {g: scale * (ordinary_counts[g] + 0.3) for g in seen}
     seen_toxic, seen_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    gains = model.gains(seen_toxic + seen_ordinary)
     y = np.repeat([1.0, 0.0], [len(seen_toxic), len(seen_ordinary)])
     # The classes were sampled apart; weights bring them back to their shares.
     w = np.where(y == 1, base / len(seen_toxic), (1 - base) / len(seen_ordinary)) * len(y)
-    fits = [(*curve(model.numbers(gains, t), y, w), t) for t in THRESHOLDS]
-    _, model.theta, model.threshold = min(fits, key=lambda f: (f[0], f[2]))
-    return model
+    tried = []
+    for more_often in MORE_OFTEN:
+        model = ToxicityModel(common, b"".join(toxic_passages(shown, seen, usual, more_often))[-TOXIC_BYTES:], base)
+        gains = model.gains(seen_toxic + seen_ordinary)
+        for threshold in THRESHOLDS:
+            loss, theta = curve(model.numbers(gains, threshold), y, w)
+            tried.append((loss, len(tried), ToxicityModel(model.common, model.toxic, base, threshold, theta)))
+    return min(tried, key=lambda t: t[:2])[2]
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
