@@ -8,20 +8,21 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.functions.vectors import cosine
 from plumbline.operators import rules as rule_ops
+from plumbline.session import cut_lineage
 
 # The documented retrieval settings.
 CHUNK_SIZE = 500
@@ -34,13 +35,9 @@ DIMENSION = 1536
 SCORE_DIGITS = 6
 # Rows of one side of a block of ``block_search``.
 BLOCK_ROWS = 16384
-# ``approx_search``: the recall it is sized for and must show on a sample of queries, the most hash tables, and the share of the
-# index as candidates beyond which multiplying matrices is cheaper than moving pairs.
-RECALL = 0.9
-SAMPLE_RECALL = 0.92
+# ``fit_probing``: the share of exact results that a sample of queries must find.
+RECALL = 0.92
 SAMPLE_QUERIES = 200
-MAX_TABLES = 256
-EXACT_SHARE = 0.02
 
 
 # ---------------------------------------------------------------- documents and chunks
@@ -79,37 +76,37 @@ def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
 
 # ---------------------------------------------------------------- embeddings
 
-TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+# Fixed value: what parts tokens, in the regular expressions of this engine and of others.
+BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
 
 
-def token_places(dim: int) -> Callable[[str], list[int]]:
-    """Place of every token of a text: a hash that other engines have too, worked out once per different token."""
-    @functools.lru_cache(maxsize=200_000)
-    def place(token: str) -> int:
-        return int(hashlib.md5(token.encode()).hexdigest()[:12], 16) % dim
+def token_places(text: str | Column, dim: int) -> Column:
+    """Ascending places of a text's tokens, one for each token: the first 12 hex digits of its md5, modulo ``dim``."""
+    tokens = F.filter(F.split(F.lower(text), BETWEEN_TOKENS), lambda t: t != "")
+    return F.sort_array(F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 12), 16, 10).cast("long"), F.lit(dim)).cast("int")))
 
-    return lambda text: [place(t) for t in TOKEN.findall(text.lower())]
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class HashedTfIdf:
-    """Term counts in ``dim`` hashed places, weighted by inverse document frequency, unit length.
+    """Term counts in ``dim`` hashed places, weighted by inverse document frequency, unit length; built-in functions only.
 
     Fitting counts the documents of each place in one job; at most ``dim`` numbers come back.
     """
 
     def __init__(self, idf: np.ndarray):
-        self.idf = idf
+        self.idf = np.asarray(idf, np.float64)
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str = "text", dim: int = DIMENSION) -> HashedTfIdf:
-        @F.pandas_udf("array<int>")
-        def places(texts: pd.Series) -> pd.Series:
-            of = token_places(dim)
-            return texts.map(lambda t: None if t is None else sorted(set(of(t))))
-
-        rows = df.select(places(text).alias("places")).filter("places IS NOT NULL")
+    def fit(cls, df: DataFrame, text: str = "text", dim: int = DIMENSION, places: Column | None = None) -> HashedTfIdf:
+        """``places``: the texts' places, null for a null text, if they are known."""
+        found = token_places(text, dim) if places is None else places
+        places = df.select(F.array_distinct(found).alias("places")).filter("places IS NOT NULL")
         # the place -1 counts the texts
-        held = rows.select(F.explode(F.concat(F.array(F.lit(-1)), "places")).alias("place")).groupBy("place").count().collect()
+        held = places.select(F.explode(F.concat(F.array(F.lit(-1)), "places")).alias("place")).groupBy("place").count().collect()
         counts = {r.place: r["count"] for r in held}
         idf = np.zeros(dim)
         for place, n in counts.items():
@@ -117,40 +114,37 @@ class HashedTfIdf:
                 idf[place] = math.log((counts[-1] + 1) / (n + 1))
         return cls(idf)
 
-    def sparse(self, texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ascending places and unit weights of each text."""
-        of, out = token_places(len(self.idf)), []
-        for text in texts:
-            places, n = np.unique(np.array(of(text or ""), np.int64), return_counts=True)
-            raw = n * self.idf[places]
-            places, raw = places[raw != 0], raw[raw != 0]
-            out.append((places, raw / math.sqrt(float((raw * raw).sum())) if len(raw) else raw))
-        return out
-
-    def weights(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Adds ``weights``: the places that are not zero, ascending, as an array of ``place, weight``."""
-        @F.pandas_udf("struct<place:array<int>,weight:array<double>>")
-        def made(texts: pd.Series) -> pd.DataFrame:
-            found = self.sparse(texts)
-            return pd.DataFrame({"place": [p.tolist() for p, _ in found], "weight": [w.tolist() for _, w in found]})
-
-        found = df.withColumn("_w", made(text))
-        return found.withColumn("weights", F.arrays_zip("_w.place", "_w.weight")).drop("_w")
-
-    def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Adds ``embedding``, the dense vector that search wants."""
-        dim = len(self.idf)
-
-        @F.pandas_udf("array<float>")
-        def dense(texts: pd.Series) -> pd.Series:
-            rows = []
-            for places, weights in self.sparse(texts):
-                row = np.zeros(dim, np.float32)
-                row[places] = weights
-                rows.append(row)
-            return pd.Series(rows)
-
-        return df.withColumn("embedding", dense(text))
+    def _weights(self, places: Column) -> Column:
+        """Equal places stand side by side, so a look at the one before finds where each begins, and the next beginning how often it occurs."""
+        idf = F.split(F.lit(",".join(map(repr, self.idf.tolist()))), ",").cast("array<double>")
+
+        def weighed(p: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(p)), lambda i: (i < F.size(p)) & ((i == 0) | (F.get(p, i) != F.get(p, i - 1))))
+            raw = _let(begins, lambda first: F.transform(first, lambda i, at: F.struct(
+                F.get(p, i).alias("place"), ((F.coalesce(F.get(first, at + 1), F.size(p)) - i) * F.get(idf, F.get(p, i))).alias("weight"))))
+            return F.filter(raw, lambda r: r.weight != 0)
+
+        def unit(raw: Column) -> Column:
+            norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, r: total + r.weight * r.weight))
+            return _let(norm, lambda n: F.transform(raw, lambda r: F.struct(r.place.alias("place"), (r.weight / n).alias("weight"))))
+
+        return _let(F.coalesce(places, F.array().cast("array<int>")), lambda p: _let(weighed(p), unit))
+
+    def weights(self, df: DataFrame, text: str = "text", places: Column | None = None) -> DataFrame:
+        """Adds ``weights``: the places that are not zero, ascending, as an array of ``place, weight``; ``places``: the text's, if they are known."""
+        return df.withColumn("weights", self._weights(token_places(text, len(self.idf)) if places is None else places))
+
+    def transform(self, df: DataFrame, text: str = "text", places: Column | None = None) -> DataFrame:
+        """Adds ``embedding``, the dense vector that search wants: weights with the zeros between them."""
+        def zeros(n: Column) -> Column:
+            return F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+
+        def dense(w: Column) -> Column:
+            gap = lambda r, at: r.place - F.coalesce(F.get(w, at - 1).place + 1, F.lit(0))
+            filled = F.flatten(F.transform(w, lambda r, at: F.concat(zeros(gap(r, at)), F.array(r.weight.cast("float")))))
+            return F.concat(filled, zeros(F.lit(len(self.idf) - 1) - F.coalesce(F.get(w, F.size(w) - 1).place, F.lit(-1))))
+
+        return df.withColumn("embedding", _let(self._weights(token_places(text, len(self.idf)) if places is None else places), dense))
 
 
 fit_embedder = HashedTfIdf.fit
@@ -161,7 +155,9 @@ def embed_chunks(df: DataFrame, text: str = "text", dim: int = DIMENSION,
     """Adds ``embedding``.  ``embedder`` is a fitted model, or a Column function such as an
     Arrow ``pandas_udf`` around another model; without one the default is fitted to ``df``."""
     if embedder is None:
-        embedder = fit_embedder(df, text, dim)
+        stored = cut_lineage(df.withColumn("_places", token_places(text, dim)))  # texts are read once for both
+        found = fit_embedder(stored, text, dim, F.col("_places")).transform(stored, text, F.col("_places"))
+        return found.drop("_places")
     if isinstance(embedder, HashedTfIdf):
         return embedder.transform(df, text)
     return df.withColumn("embedding", embedder(F.col(text)))
@@ -255,7 +251,8 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def block_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
-                 skip_self: bool = False, block_rows: int = BLOCK_ROWS, bucket: bool = True) -> DataFrame:
+                 skip_self: bool = False, block_rows: int = BLOCK_ROWS, bucket: bool = True,
+                 kernel: Callable[..., pd.DataFrame] = _best) -> DataFrame:
     """Partial results of queries against chunks, of the same ``bucket`` if rows have one.
 
     Both sides are dealt into blocks of about ``block_rows``; each pair of blocks meets once, in a task of
@@ -288,7 +285,7 @@ def block_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score
     def run(chunks: pa.Table, asked: pa.Table) -> pa.Table:
         if not chunks.num_rows or not asked.num_rows:
             return arrow.empty_table()
-        best = _best(asked["query_id"].to_pandas(), _matrix(asked["embedding"]), chunks, k, min_score, skip_self)
+        best = kernel(asked["query_id"].to_pandas(), _matrix(asked["embedding"]), chunks, k, min_score, skip_self)
         return pa.Table.from_pandas(best, schema=arrow, preserve_index=False)
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
@@ -359,119 +356,148 @@ def filtered_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_sc
     return vector_search(index, queries, k, min_score, match_on=match, **options)
 
 
-def plane_signs(tables: int, bits: int, dim: int, seed: int = 42) -> list[list[list[int]]]:
-    """Planes of +1 and -1, from a hash that other engines have too."""
-    def sign(name: str) -> int:
-        return 1 if hashlib.md5(name.encode()).hexdigest()[0] < "8" else -1
+@functools.lru_cache(maxsize=4)
+def _planes(count: int, dim: int, seed: int = 42) -> np.ndarray:
+    """Planes of +1 and -1 as columns, from a hash that other engines have too; made once a worker process."""
+    names = (f"{seed}:{b}:{d}" for d in range(dim) for b in range(count))
+    return np.array([1.0 if hashlib.md5(name.encode()).hexdigest()[0] < "8" else -1.0 for name in names]).reshape(dim, count)
 
-    return [[[sign(f"{seed}:{t}:{b}:{d}") for d in range(dim)] for b in range(bits)] for t in range(tables)]
 
+def probe_sequence(margins: np.ndarray, probes: int) -> list[int]:
+    """The ``probes`` codes nearest to a query, nearest first.
 
-@functools.lru_cache(maxsize=4)
-def _plane_matrix(tables: int, bits: int, dim: int, seed: int) -> np.ndarray:
-    """Planes as the columns of a matrix, made once a worker process."""
-    return np.array(plane_signs(tables, bits, dim, seed), np.float64).reshape(tables * bits, dim).T
+    ``margins`` are the query's projections on the planes of a code.  To leave the query's own side of a plane costs the distance to it, so codes come
+    in the order of the sum of what they cross: a heap holds sets of planes, in the order of their distances, and each set taken is followed
+    by the one with its farthest plane moved on and the one with the next plane added.
+    """
+    order = np.argsort(np.abs(margins), kind="stable")
+    cost = np.abs(margins)[order].tolist()
+    flip = [1 << int(b) for b in order]
+    code = int(sum(1 << i for i, m in enumerate(margins) if m >= 0))
+    found = [code]
+    heap = [(cost[0], 0, flip[0])] if cost else []
+    while heap and len(found) < probes:
+        total, at, flips = heapq.heappop(heap)
+        found.append(code ^ flips)
+        if at + 1 < len(cost):
+            heapq.heappush(heap, (total + cost[at + 1], at + 1, flips | flip[at + 1]))
+            heapq.heappush(heap, (total - cost[at] + cost[at + 1], at + 1, flips ^ flip[at] | flip[at + 1]))
+    return found
 
 
-def lsh_codes(df: DataFrame, row_id: str, tables: int, bits: int, seed: int = 42) -> DataFrame:
-    """``<row_id>, table, code``: the signs of projections on planes, one row per hash table, without the vector.
+@dataclass(frozen=True)
+class Probing:
+    """How far ``approx_search`` looks: the share of cells a query visits, and the share of a visited block's chunks that it scores."""
 
-    The angle between vectors sets how often signs agree; ``bits`` make a bucket narrow,
-    ``tables`` give near vectors more chances to share one.
-    """
-    @F.pandas_udf("array<long>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        rows = np.stack(vectors.to_numpy()).astype("float64")
-        signs = (rows @ _plane_matrix(tables, bits, rows.shape[1], seed) >= 0).reshape(len(rows), tables, bits)
-        return pd.Series(list(signs @ (1 << np.arange(bits, dtype=np.int64))))
+    cells: float = 1.0
+    scored: float = 0.1
+    planes: int = 256
 
-    return df.select(row_id, F.posexplode(codes("embedding")).alias("table", "code"))
 
+# From the narrowest to the exact search.
+PROBINGS = [Probing(cells, scored) for cells, scored in ((0.02, 0.1), (0.1, 0.1), (0.3, 0.1), (1.0, 0.1), (1.0, 0.2), (1.0, 0.5), (1.0, 1.0))]
 
-def tables_for(bits: int, min_score: float, recall: float = RECALL) -> int:
-    """Tables that give a pair at ``min_score`` a chance of ``recall`` to share a bucket."""
-    agree = (1 - math.acos(max(min(min_score, 1.0), -1.0)) / math.pi) ** bits
-    if agree >= recall:
-        return 1
-    return math.ceil(math.log(1 - recall) / math.log1p(-agree)) if agree > 1e-12 else 2**62
 
+def _cells(df: DataFrame, bits: Column, share: float | None) -> DataFrame:
+    """Adds ``_cell``: a chunk's own code, or with ``share`` each of the codes that a query visits."""
+    @F.pandas_udf("array<long>")
+    def codes(vectors: pd.Series, widths: pd.Series) -> pd.Series:
+        width = int(widths.iloc[0]) if len(widths) else 0
+        if not width:
+            return pd.Series([[0]] * len(vectors))
+        rows = np.stack(vectors.to_numpy()).astype("float64")
+        margins = rows @ _planes(width, rows.shape[1])
+        if share is None:
+            return pd.Series([[int(c)] for c in (margins >= 0) @ (1 << np.arange(width, dtype=np.int64))])
+        return pd.Series([probe_sequence(m, math.ceil(share * 2**width)) for m in margins])
 
-def _sample_recall(index: DataFrame, queries: DataFrame, k: int, min_score: float, skip_self: bool, bucket: bool,
-                   ways: list[tuple[int, int]]) -> list[float] | None:
-    """Share of the exact results of a sample of queries that each way of ``bits, tables`` finds; None without results."""
-    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES)
-    exact = topk_per_query(block_search(index, sample, k, min_score, skip_self, bucket=bucket), k, min_score)
-    pairs = exact.join(sample.select("query_id", F.col("embedding").alias("_asked")), "query_id").join(
-        index.select("chunk_id", "embedding"), "chunk_id")
-    bits, tables = max(b for b, _ in ways), max(t for _, t in ways)
+    return df.withColumn("_bits", bits).select(*df.columns, F.explode(codes("embedding", "_bits")).alias("_cell"))
 
-    @F.pandas_udf("array<int>")
-    def found(left: pd.Series, right: pd.Series) -> pd.Series:
-        a, b = (np.stack(v.to_numpy()).astype("float64") for v in (left, right))
-        planes = _plane_matrix(tables, bits, a.shape[1], 42)
-        same = ((a @ planes >= 0) == (b @ planes >= 0)).reshape(len(a), tables, bits)
-        common = np.logical_and.accumulate(same, axis=2).sum(axis=2)  # leading bits that agree
-        return pd.Series(list(np.column_stack([(common[:, :t] >= n).any(axis=1) for n, t in ways]).astype("int32")))
 
-    hit = pairs.select(found("_asked", "embedding").alias("_f"))
-    row = hit.agg(*[F.avg(F.col("_f")[i]) for i in range(len(ways))]).first()
-    return None if row[0] is None else list(row)
+def _probed(q_ids: pd.Series, q: np.ndarray, chunks: pa.Table, k: int, min_score: float, skip_self: bool, probing: Probing) -> pd.DataFrame:
+    """``_best`` among the chunks of a block whose codes lie nearest to the query; ties at the cut stay."""
+    c_ids, c = chunks["chunk_id"].to_pandas(), _matrix(chunks["embedding"])
+    dim, n = c.shape[1], len(c)
+    planes = _planes(probing.planes, dim)
+    sides = np.where(c @ planes >= 0, 1.0, -1.0)
+    take = min(n, math.ceil(probing.scored * n))
+    found = []
+    for at in range(0, len(q), 256):
+        part = q[at:at + 256]
+        # The higher, the less lies between the query and the code.
+        near = np.round((part @ planes) @ sides.T, SCORE_DIGITS)
+        near[np.isnan(near)] = -np.inf
+        near[:, np.isnan(c).any(axis=1)] = -np.inf
+        if skip_self:
+            near[q_ids.to_numpy()[at:at + 256, None] == c_ids.to_numpy()[None, :]] = -np.inf
+        least = np.partition(near, n - take, axis=1)[:, n - take] if take < n else np.full(len(part), -np.inf)
+        row, col = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+        scores = np.empty(len(row))
+        for i in range(0, len(row), 1 << 16):  # bounded copies of vectors
+            scores[i:i + (1 << 16)] = np.einsum("ij,ij->i", part[row[i:i + (1 << 16)]], c[col[i:i + (1 << 16)]])
+        scores = np.round(scores, SCORE_DIGITS)
+        good = scores >= min_score
+        found.append(_cut(pd.DataFrame({
+            "query_id": q_ids.iloc[at + row[good]].to_numpy(), "chunk_id": c_ids.iloc[col[good]].to_numpy(), "score": scores[good],
+        }), k))
+    return pd.concat(found, ignore_index=True)
 
 
 def approx_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
-                  tables: int = 24, bits: int = 24, per_bucket: int = 32, match_on: list[str] | None = None,
-                  skip_self: bool = False) -> DataFrame:
-    """Search among chunks that share an LSH bucket with the query, scored exactly.
-
-    As many of the ``bits`` count as leave about ``per_bucket`` chunks in a bucket, were they spread evenly.  More bits lose more
-    neighbours, so ``tables`` are the least: where they do not find ``SAMPLE_RECALL`` of the exact results of a sample of queries,
-    tables follow bits and ``min_score``, up to ``MAX_TABLES``, with fewer bits beyond.  Where even that makes more than
-    ``EXACT_SHARE`` of the index candidates, as low thresholds do, the search is ``vector_search``.  Sizing counts the index and
-    compares the sample with it, when the plan is made.  Ids and codes are shuffled, candidate pairs are made distinct, and then
-    each vector is fetched.
+                  probing: Probing | None = None, match_on: list[str] | None = None, skip_self: bool = False,
+                  cell_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Search by query-directed probing, scored exactly; one plan at every size.
+
+    Chunks lie in cells, by the sides of as many planes as leave about ``cell_rows`` in a cell.  A query visits cells in the order of their distance
+    (``probe_sequence``), and inside a cell scores the chunks whose longer codes lie nearest to it, also in the order of what is crossed.
+    ``probing`` says how far either goes; ``fit_probing`` measures what a wanted recall asks for.  A cell with many chunks, such as
+    copies, is dealt into blocks; each block returns k rows a query, so no pair becomes a row.
     """
+    probing = probing or Probing()
     index, queries = (_prepared(df, name, match_on) for df, name in ((index, "chunk_id"), (queries, "query_id")))
-    used = max(1, min(bits, math.ceil(math.log2(max(index.count(), 1) / per_bucket))))
-    sized = [(b, max(tables, tables_for(b, min_score))) for b in range(used, 0, -1)]
-    ways = [(used, tables), *[(b, t) for b, t in sized if t <= max(MAX_TABLES, tables) and t / 2**b <= EXACT_SHARE]]
-    shown = _sample_recall(index, queries, k, min_score, skip_self, bool(match_on), ways)
-    if shown is None:  # no pair to learn from: the chance of one at the threshold decides
-        shown = [1.0 if t >= tables_for(b, min_score) else 0.0 for b, t in ways]
-    way = next((w for w, share in zip(ways, shown, strict=True) if share >= SAMPLE_RECALL), None)
-    if way is None:
-        found = block_search(index, queries, k, min_score, skip_self, bucket=bool(match_on))
-        return topk_per_query(found, k, min_score)
-    used, tables = way
-
-    def coded(df: DataFrame, name: str) -> DataFrame:
-        codes = lsh_codes(df, name, tables, used)
-        return codes.join(df.select(name, "bucket"), name) if match_on else codes
-
-    pairs = coded(queries, "query_id").join(coded(index, "chunk_id"), ["table", "code", *(["bucket"] if match_on else [])])
-    if skip_self:
-        pairs = pairs.filter(F.col("query_id") != F.col("chunk_id"))
-    pairs = pairs.select("query_id", "chunk_id").distinct()
-    asked = queries.select("query_id", F.col("embedding").alias("_asked"))
-    scored = pairs.join(asked, "query_id").join(index.select("chunk_id", "embedding"), "chunk_id").select(
-        "query_id", "chunk_id", F.round(cosine(F.col("_asked"), F.col("embedding")), SCORE_DIGITS).alias("score"))
-    return topk_per_query(scored, k, min_score)
+    rows = index.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bits = F.greatest(F.ceil(F.log2(F.greatest(rows, F.lit(1)) / F.lit(cell_rows))), F.lit(0)).cast("int")
+    own = [F.col("bucket")] if match_on else []
+
+    def celled(df: DataFrame, name: str, share: float | None) -> DataFrame:
+        cells = _cells(df, bits, share)
+        return cells.select(name, "embedding", F.concat_ws(":", F.col("_cell").cast("string"), *own).alias("bucket"))
+
+    kernel = functools.partial(_probed, probing=probing)
+    found = block_search(celled(index, "chunk_id", None), celled(queries, "query_id", probing.cells), k, min_score, skip_self, kernel=kernel)
+    return topk_per_query(found, k, min_score)
+
+
+def fit_probing(index: DataFrame, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, recall: float = RECALL,
+                match_on: list[str] | None = None, skip_self: bool = False, cell_rows: int = BLOCK_ROWS) -> Probing:
+    """The narrowest of ``PROBINGS`` that finds ``recall`` of the exact results of ``SAMPLE_QUERIES`` queries (in the order of a hash)."""
+    sample = cut_lineage(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES))
+    pair = ["query_id", "chunk_id"]
+    exact = cut_lineage(vector_search(index, sample, k, min_score, match_on, skip_self).select(*pair))
+    wanted = recall * exact.count()
+    for probing in PROBINGS[:-1]:
+        found = approx_search(index, sample, k, min_score, probing, match_on, skip_self, cell_rows)
+        if found.join(exact, pair, "left_semi").count() >= wanted:
+            return probing
+    return PROBINGS[-1]
 
 
 # ---------------------------------------------------------------- retrieval and check
 
 def retrieve_and_check(elements: DataFrame, chunks: DataFrame, rules: DataFrame,
-                       embedder: HashedTfIdf, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
+                       embedder: HashedTfIdf | Callable[[Column], Column], k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
     """Violations of elements against the rules retrieved for them; confidence is the score.
 
     Elements with the same query text share one search, so the number of queries is the
-    number of distinct (type, building type) texts, not of elements.
+    number of distinct (type, building type) texts, not of elements.  These are stored once embedded: no filter can carry the embedding
+    below the aggregate, to where it would be made for every element, and a model is called once a text.
     """
     asked = elements.withColumn("query_id", F.concat_ws(" ", F.lower("element_type"), F.lower("building_type")))
     queries = asked.groupBy("query_id").agg(
         F.any_value(F.lower("element_type")).alias("geometry_type"),
         F.any_value(F.lower("building_type")).alias("building_type"),
     ).withColumn("text", F.col("query_id"))
-    queries = embed_chunks(queries, embedder=embedder)
+    queries = cut_lineage(embed_chunks(cut_lineage(queries), embedder=embedder))
     found = filtered_search(chunks, queries, k, min_score, match_on=("geometry_type",))
     hits = found.join(chunks.select("chunk_id", "rule_id"), "chunk_id").groupBy("query_id", "rule_id").agg(
         F.max("score").alias("score")

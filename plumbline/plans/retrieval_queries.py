@@ -9,9 +9,12 @@ from plumbline.functions.text import distinct_tokens
 from plumbline.functions.vectors import cosine
 from plumbline.operators import retrieval, rules
 from plumbline.plans.registry import Inputs, query
+from plumbline.session import cut_lineage
 
 # No two of the given vectors reach the default threshold.
 MIN_SCORE = 0.2
+# What ``fit_probing`` asks for on the given vectors, which have no clusters.
+PROBING = retrieval.Probing(cells=1.0, scored=0.1)
 
 
 def _asked(t: Inputs) -> DataFrame:
@@ -32,19 +35,19 @@ def chunk_text(t: Inputs) -> DataFrame:
     return retrieval.chunk(t.docs)
 
 
-def _weights_sql(rows: str, key: str, corpus: str | None = None) -> str:
+def _weights_sql(rows: str, key: str, corpus: str | None = None, corpus_key: str | None = None) -> str:
     """Hashed TF-IDF of ``rows`` (key columns, text), fitted to ``corpus``: the place is the first 12 hex digits of a token's md5."""
     counts = """
         SELECT KEY, CAST(('0x' || md5(token)[1:12])::BIGINT % DIM AS INT) AS place, count(*) AS n
         FROM (SELECT KEY, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')) AS token
-              FROM (ROWS) w0) w1 GROUP BY ALL""".replace("KEY", key).replace("DIM", str(retrieval.DIMENSION))
+              FROM (ROWS) w0) w1 GROUP BY ALL""".replace("DIM", str(retrieval.DIMENSION))
     base = corpus or rows
     return """
         SELECT KEY, place, raw / sqrt(sum(raw * raw) OVER (PARTITION BY KEY)) AS weight FROM (
             SELECT KEY, c.place, c.n * i.idf AS raw FROM (OWN) c JOIN (
                 SELECT place, ln(((SELECT count(text) FROM (BASE) w2) + 1)::DOUBLE / (count(*) + 1)::DOUBLE) AS idf
                 FROM (COUNTED) d GROUP BY place) i ON i.place = c.place) r WHERE raw <> 0
-    """.replace("OWN", counts.replace("ROWS", rows)).replace("COUNTED", counts.replace("ROWS", base)).replace("BASE", base).replace("KEY", key)
+    """.replace("OWN", counts.replace("ROWS", rows)).replace("COUNTED", counts.replace("ROWS", base).replace("KEY", corpus_key or key)).replace("BASE", base).replace("KEY", key)
 
 
 _CHUNK_WEIGHTS = _weights_sql("SELECT doc_id, chunk_index, text FROM {chunks}", "doc_id, chunk_index")
@@ -58,8 +61,9 @@ _CHUNK_WEIGHTS = _weights_sql("SELECT doc_id, chunk_index, text FROM {chunks}",
 """)
 def embed_chunks(t: Inputs) -> DataFrame:
     """Whole vectors, as the places that are not zero and their weights in ten-thousandths."""
-    chunks = retrieval.chunk(t.docs).select("doc_id", "chunk_index", "text")
-    made = retrieval.fit_embedder(chunks).weights(chunks)
+    found = retrieval.token_places("text", retrieval.DIMENSION).alias("places")
+    chunks = cut_lineage(retrieval.chunk(t.docs).select("doc_id", "chunk_index", found))
+    made = retrieval.fit_embedder(chunks, places=F.col("places")).weights(chunks, places=F.col("places"))
     spelt = F.transform("weights", lambda r: F.concat(r["place"].cast("string"), F.lit(":"), F.round(r["weight"] * 10000).cast("long").cast("string")))
     return made.select("doc_id", "chunk_index", F.lit(retrieval.DIMENSION).alias("dimension"), F.array_join(spelt, " ").alias("vector"))
 
@@ -119,15 +123,16 @@ def filtered_search(t: Inputs) -> DataFrame:
     return retrieval.filtered_search(t.vectors, _asked(t), 5, MIN_SCORE, skip_self=True)
 
 
-# Signs of projections on planes of +1 and -1; as many bits as leave 32 chunks in a bucket.
-_CODES = """
-    SELECT chunk_id, t, list(CAST(side AS INT) ORDER BY b) AS code FROM (
-        SELECT v.chunk_id, p.t, p.b, sum(CASE WHEN p.up THEN x ELSE -x END) >= 0 AS side
-        FROM (SELECT chunk_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS d FROM {vectors}) v
-        JOIN (SELECT t, b, d, md5(concat('42:', t, ':', b, ':', d))[1] < '8' AS up
-              FROM range(24) a(t), range(24) q(b), (SELECT DISTINCT unnest(range(len(embedding))) AS d FROM {vectors}) e
-              WHERE b < greatest(1, ceil(log2((SELECT count(*) FROM {vectors}) / 32.0)))) p ON p.d = v.d
-        GROUP BY v.chunk_id, p.t, p.b) s GROUP BY chunk_id, t
+# Projections on planes of +1 and -1 and the sides of chunks; each query scores the tenth of the index nearest by code.
+# Written for tables of one cell, which those of at most ``BLOCK_ROWS`` vectors are.
+_CODES = f"""
+    SELECT chunk_id, list(m ORDER BY b) AS margins, list(CASE WHEN m >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY b) AS sides FROM (
+        SELECT v.chunk_id, p.b, sum(CASE WHEN p.up THEN x ELSE -x END) AS m
+        FROM (SELECT chunk_id, unnest(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))) AS x, unnest(range(len(e))) AS d
+              FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM {{vectors}})) v
+        JOIN (SELECT b, d, md5(concat('42:', b, ':', d))[1] < '8' AS up
+              FROM range({PROBING.planes}) q(b), (SELECT DISTINCT unnest(range(len(embedding))) AS d FROM {{vectors}}) e) p ON p.d = v.d
+        GROUP BY v.chunk_id, p.b) s GROUP BY chunk_id
 """
 
 
@@ -135,12 +140,16 @@ _CODES = """
     SELECT query_id, chunk_id, score, CAST(i AS INT) AS rank FROM (
         SELECT s.query_id, s.chunk_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) AS i
         FROM {{pair_scores}} s JOIN (
-            SELECT DISTINCT a.chunk_id AS query_id, b.chunk_id FROM ({_CODES}) a JOIN ({_CODES}) b ON a.t = b.t AND a.code = b.code) c
+            SELECT query_id, chunk_id FROM (
+                SELECT a.chunk_id AS query_id, b.chunk_id, rank() OVER (
+                           PARTITION BY a.chunk_id ORDER BY round(list_inner_product(a.margins, b.sides), 6) DESC) AS place
+                FROM ({_CODES}) a JOIN ({_CODES}) b ON a.chunk_id <> b.chunk_id) n
+            WHERE place <= ceil({PROBING.scored} * (SELECT count(*) FROM {{vectors}}))) c
         ON c.query_id = s.query_id AND c.chunk_id = s.chunk_id) r
     WHERE i <= 5
 """)
 def approx_search(t: Inputs) -> DataFrame:
-    return retrieval.approx_search(t.vectors, _asked(t), 5, MIN_SCORE, skip_self=True)
+    return retrieval.approx_search(t.vectors, _asked(t), 5, MIN_SCORE, PROBING, skip_self=True)
 
 
 # neighbouring vectors and their scores, as found by an earlier search
@@ -194,7 +203,41 @@ def rerank(t: Inputs) -> DataFrame:
     return retrieval.rerank(found.join(asked, "query_id").join(there, "chunk_id")).drop("query_tokens", "tokens")
 
 
-@query("retrieve_and_check")
+_RULE_TEXTS = """
+    SELECT id, rule_id, geometry_type, building_types, concat_ws(' ', geometry_type, array_to_string(building_types, ' '), title) AS text
+    FROM {rules} WHERE is_active
+"""
+_ASKED_TEXTS = "SELECT DISTINCT concat_ws(' ', lower(element_type), lower(building_type)) AS text FROM {placed}"
+_UNIT = "SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY KEY)) AS u FROM (SELECT KEY, place, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS w FROM (ROWS) f) g"
+
+
+def _unit_sql(rows: str, key: str, corpus: str | None = None, corpus_key: str | None = None) -> str:
+    return _UNIT.replace("ROWS", _weights_sql(rows, key, corpus, corpus_key)).replace("KEY", key)
+
+
+@query("retrieve_and_check", f"""
+    WITH RECURSIVE sims AS (
+        SELECT q.text AS query_id, c.id, round(sum(q.u * c.u), 6) AS score
+        FROM ({_unit_sql(_ASKED_TEXTS, 'text', _RULE_TEXTS, 'id')}) q JOIN ({_unit_sql(_RULE_TEXTS, 'id')}) c ON c.place = q.place GROUP BY q.text, c.id
+    ), asked AS (
+        SELECT DISTINCT concat_ws(' ', lower(element_type), lower(building_type)) AS query_id, lower(element_type) AS geometry_type,
+               lower(building_type) AS building_type FROM {{placed}}
+    ), hits AS (
+        SELECT query_id, rule_id, max(score) AS score FROM (
+            SELECT s.query_id, r.rule_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS i
+            FROM sims s JOIN asked a ON a.query_id = s.query_id JOIN ({_RULE_TEXTS}) r ON r.id = s.id
+            WHERE s.score >= {MIN_SCORE} AND r.geometry_type = a.geometry_type
+              AND (r.building_types IS NULL OR list_contains(r.building_types, a.building_type))) t
+        WHERE i <= 5 GROUP BY query_id, rule_id
+    )
+    SELECT e.element_id, r.rule_id, r.severity,
+           concat(r.rule_type, ' ', r.value_mm, 'mm not met: ', CASE r.rule_type WHEN 'min_width' THEN e.width_mm ELSE e.height_mm END, 'mm') AS message,
+           r.value_mm AS required_value, CASE r.rule_type WHEN 'min_width' THEN e.width_mm ELSE e.height_mm END AS actual_value,
+           r.code_reference, h.score AS confidence_score
+    FROM {{placed}} e JOIN hits h ON h.query_id = concat_ws(' ', lower(e.element_type), lower(e.building_type))
+    JOIN (SELECT * FROM {{rules}} WHERE is_active) r ON r.rule_id = h.rule_id
+    WHERE (r.rule_type = 'min_width' AND e.width_mm < r.value_mm) OR (r.rule_type = 'max_height' AND e.height_mm > r.value_mm)
+""")
 def retrieve_and_check(t: Inputs) -> DataFrame:
     active = rules.active_rules(t.rules, language=None)
     chunks = active.select(

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,16 +271,27 @@ def test_zero_vector_matches_nothing(spark):
     assert [(r.query_id, r.chunk_id) for r in found.collect()] == [(1, 1)]
 
 
+def clustered(seed, n, centres, dim, spread):
+    rnd = np.random.default_rng(seed)
+    middle = rnd.standard_normal((centres, dim))
+    return (middle[rnd.integers(0, centres, n)] + spread * rnd.standard_normal((n, dim))).astype("float32")
+
+
+def found_pairs(df):
+    return {(r.query_id, r.chunk_id): r.score for r in df.collect()}
+
+
 def test_approximate_results_are_exact_ones_with_good_recall(spark):
-    rnd = np.random.default_rng(11)
-    centres = rnd.standard_normal((60, 32))
-    index = (centres[rnd.integers(0, 60, 3000)] + 0.3 * rnd.standard_normal((3000, 32))).astype("float32")
-    queries = (centres + 0.2 * rnd.standard_normal((60, 32))).astype("float32")
+    index, queries = clustered(11, 3000, 60, 32, 0.3), clustered(11, 60, 60, 32, 0.2)
     a, b = frame(spark, index, "chunk_id"), frame(spark, queries, "query_id")
-    exact = {(r.query_id, r.chunk_id): r.score for r in retrieval.vector_search(a, b, 20, 0.7).collect()}
-    near = {(r.query_id, r.chunk_id): r.score for r in retrieval.approx_search(a, b, 20, 0.7).collect()}
+    exact = found_pairs(retrieval.vector_search(a, b, 20, 0.7))
+    probing = retrieval.fit_probing(a, b, 20, 0.7, cell_rows=200)
+    assert probing != retrieval.PROBINGS[-1]
+    near = found_pairs(retrieval.approx_search(a, b, 20, 0.7, probing, cell_rows=200))
     assert all(near[k] == exact[k] for k in set(near) & set(exact))
     assert len(set(near) & set(exact)) >= 0.9 * len(exact)
+    everything = retrieval.PROBINGS[-1]
+    assert found_pairs(retrieval.approx_search(a, b, 20, 0.7, everything, cell_rows=200)) == exact
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
@@ -294,29 +306,41 @@ def test_registered_approximate_search_has_recall_at_every_size(spark, sf):
     near = {(ids[q], ids[c]) for q, c in best if q != c}
     found = {(r.query_id, r.chunk_id) for r in retrieval_queries.approx_search(t).collect()}
     assert len(found & near) >= 0.9 * len(near)
-
-
-def test_more_tables_find_pairs_near_the_threshold(spark, monkeypatch):
-    rnd = np.random.default_rng(5)
-    index = rnd.standard_normal((4000, 32))
-    index /= np.linalg.norm(index, axis=1)[:, None]
-    side = rnd.standard_normal((300, 32))
-    side -= (side * index[:300]).sum(1)[:, None] * index[:300]
-    queries = 0.72 * index[:300] + math.sqrt(1 - 0.72**2) * side / np.linalg.norm(side, axis=1)[:, None]
-    index, queries = index.astype("float32"), queries.astype("float32")
-    made, codes = [], retrieval.lsh_codes
-    monkeypatch.setattr(retrieval, "lsh_codes", lambda df, name, tables, bits: (made.append((tables, bits)), codes(df, name, tables, bits))[1])
-    near = retrieval.approx_search(frame(spark, index, "chunk_id"), frame(spark, queries, "query_id"), 5, 0.7, per_bucket=1)
-    found, best = {(r.query_id, r.chunk_id) for r in near.collect()}, brute_top(index, queries, 5, 0.7)
-    assert len(best) >= 300 and len(found & set(best)) >= 0.9 * len(best)
-    assert made and all(24 < tables <= retrieval.MAX_TABLES and bits == 12 for tables, bits in made)  # hashed, with tables of their own number
-
-
-def test_tables_follow_bits_and_threshold():
-    for score, bits in ((0.7, 8), (0.7, 15), (0.95, 20)):
-        agree = (1 - np.arccos(score) / np.pi) ** bits
-        n = retrieval.tables_for(bits, score)
-        assert 1 - (1 - agree) ** n >= retrieval.RECALL > 1 - (1 - agree) ** (n - 1)
+    assert retrieval_queries.PROBING.scored <= 0.1  # of all pairs
+
+
+def test_measured_probing_on_clusters(spark):
+    """20,000 vectors in cells of 500: a query visits part of the cells, and scores a tenth of what lies there."""
+    index = clustered(7, 20_000, 200, 32, 0.35)
+    a = frame(spark, index, "chunk_id")
+    b = frame(spark, index[::50], "query_id")
+    options = dict(k=5, min_score=0.7, cell_rows=500)
+    probing = retrieval.fit_probing(a, b, **options)
+    assert probing.scored * probing.cells <= 0.1 and probing.cells < 1
+    exact = set(found_pairs(retrieval.vector_search(a, b, 5, 0.7)))
+    found = set(found_pairs(retrieval.approx_search(a, b, 5, 0.7, probing, cell_rows=500)))
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_approximate_search_plans_without_jobs_and_deals_copies(spark):
+    data = vectors(3, 900, copies=300)
+    a, b = frame(spark, data, "chunk_id"), frame(spark, data[:40], "query_id")
+    spark.sparkContext.setJobGroup("planning", "planning")
+    planned = retrieval.approx_search(a, b, 3, 0.5, retrieval.PROBINGS[-1], cell_rows=50, skip_self=True)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    best = {(q, c) for q, c in brute_top(data, data[:40], 901, 0.5) if q != c}
+    got = planned.collect()
+    assert {(r.query_id, r.chunk_id) for r in got} <= best and max(r.rank for r in got) == 3
+
+
+def test_probes_come_in_the_order_of_what_they_cross():
+    rnd = np.random.default_rng(2)
+    for bits in (1, 2, 5, 8):
+        margins = rnd.standard_normal(bits)
+        own = [m >= 0 for m in margins]
+        cost = {c: sum(abs(m) for i, m in enumerate(margins) if bool(c >> i & 1) != own[i]) for c in range(2**bits)}
+        assert retrieval.probe_sequence(margins, 2**bits) == sorted(cost, key=cost.get)
+        assert retrieval.probe_sequence(margins, 3) == sorted(cost, key=cost.get)[:3]
 
 
 @pytest.mark.parametrize("unit", ["character", "token"])
@@ -351,6 +375,47 @@ def test_retrieved_violations_are_rule_violations(spark):
     assert found and found <= every
 
 
+def test_a_model_is_called_once_a_text(spark):
+    """No filter carries the embedding below the aggregate of the elements' texts."""
+    elements = spark.createDataFrame(
+        [(str(i), ["Wall", "Door"][i % 2], "office", 100.0, 100.0) for i in range(400)],
+        "element_id string, element_type string, building_type string, width_mm double, height_mm double")
+    catalogue = spark.createDataFrame(
+        [(1, "R1", "min_width", "wall", None, 900.0, "critical", "s"), (2, "R2", "max_height", "door", ["office"], 50.0, "info", "s")],
+        "id long, rule_id string, rule_type string, geometry_type string, building_types array<string>, value_mm double, severity string, code_reference string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def model(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts.map(lambda t: [1.0, 1.0] if "wall" in t else [1.0, 0.0])
+
+    chunks = catalogue.select(F.col("id").alias("chunk_id"), "rule_id", "geometry_type", "building_types", F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>").alias("embedding"))
+    out = retrieval.retrieve_and_check(elements, chunks, catalogue, model, min_score=0.1)
+    assert {(r.element_id, r.rule_id) for r in out.collect()} == {(str(i), ["R1", "R2"][i % 2]) for i in range(400)}
+    assert seen.value == 2
+    assert "Python" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]
+
+
+def test_weights_equal_plain_python(spark):
+    import hashlib
+    import re
+    from collections import Counter
+
+    texts = ["Wall width, WALL", "", None, "9 doors - door 9 šířka", "  ", "a " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:12], 16) % 64
+    split = {i: Counter(place(w) for w in re.findall(r"[^\W_]+", t.lower())) for i, t in enumerate(texts) if t is not None}
+    idf = {p: math.log((len(split) + 1) / (sum(p in c for c in split.values()) + 1)) for c in split.values() for p in c}
+    model = retrieval.fit_embedder(df, dim=64)
+    for r in model.transform(model.weights(df)).collect():
+        raw = {p: n * idf[p] for p, n in split.get(r.id, {}).items() if idf[p]}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        assert [w.place for w in r.weights] == sorted(raw)
+        assert all(abs(w.weight - raw[w.place] / norm) < 1e-12 for w in r.weights)
+        assert len(r.embedding) == 64 and all(abs(v - raw.get(i, 0) / (norm or 1)) < 1e-6 for i, v in enumerate(r.embedding))
+
+
 def test_pages_and_files(spark, tmp_path):
     (tmp_path / "code.txt").write_text("page one\fpage two", encoding="utf-8")
     rows = documents.read_documents(spark, str(tmp_path)).orderBy("page_number").collect()

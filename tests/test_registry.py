@@ -7,7 +7,7 @@ from check_oracles import compare, duck
 from conftest import SF
 from plumbline.plans.registry import ORACLES, QUERIES
 
-NO_SQL = {"retrieve_and_check"}
+NO_SQL: set[str] = set()
 STREAMS = {"change_feed", "stream_check", "request_rate", "atomic_sink", "stream_result_cache", "stream_history"}
 
 
