@@ -1,13 +1,13 @@
 """Check requests: JSON text -> validated, typed rows; checked rows -> JSON text.
 
-Validation is one narrow pass.  Leaves are read as text and cast one by one, so that a bad
-leaf gets a reason instead of silently becoming null.
+Validation is one narrow pass and one parse a text.  Leaves are read as text and cast one by one, so that a bad
+leaf gets a reason instead of silently becoming null.  Of a key that is given twice the last one counts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +19,12 @@ NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 SPECIAL_TEXT = r"^\s*[+-]?(?i:nan|inf|infinity)\s*$"
 WHOLE_TEXT = r"^\s*[+-]?[0-9]+(\.0+)?\s*$"
 
-# The record with its leaves as text; what a leaf was is looked up only where it matters.
-_LEAVES = (
-    "element_type STRING, "
-    "properties STRUCT<width_mm STRING, height_mm STRING, length_mm STRING, function STRING>, "
-    "context STRUCT<room_type STRING, building_type STRING, occupancy STRING, floor_level STRING>"
-)
-
-_TYPED_LEAVES = _LEAVES.replace("STRING", "VARIANT")
-_TYPED_PARTS = "properties VARIANT, context VARIANT"
+# Numbers of the service's JSON that the standard lacks, where a value can stand.
+SPECIAL_NUMBER = r"([:\[,]\s*)(-?Infinity|NaN)\b"
 
 # Leaf texts whose meaning depends on the JSON type they had.
 _DOUBTFUL = {
-    "text": r"^(-?[0-9]|true$|false$|NaN$|-?Infinity$|[\[{])",
+    "text": r"^(-?[0-9]|true$|false$|[\[{])",
     "number": r"^(true|false)$",
     "whole": r"[^0-9+-]",
 }
@@ -98,29 +91,23 @@ def read_check_requests(df: DataFrame, json: str = "json") -> DataFrame:
     fields += [(f"properties.{n}", f"p_{n}", t, r) for n, t, r in _PROPERTY_FIELDS]
     fields += [(f"context.{n}", f"c_{n}", t, r) for n, t, r in _CONTEXT_FIELDS]
 
-    out = _once(df, {"_r": F.from_json(F.col(json), _LEAVES)})
-    part = {name: F.col(f"_r.{name}") for name in ("element_type", "properties", "context")}
-    text = {name: F.col(f"_r.{path}") for path, name, _, _ in fields}
-    # Only records that lack a part or have a doubtful leaf are parsed a second time, to know
-    # a missing part from a wrong one and a number from quoted digits.
-    lacking = reduce(or_, [value.isNull() for value in part.values()])
-    doubt = lacking
-    for _, name, kind, _ in fields:
-        doubt = doubt | F.coalesce(text[name].rlike(_DOUBTFUL[kind]), F.lit(False))
-    nothing = reduce(and_, [value.isNull() for value in part.values()])
-    out = _once(out, {
-        "_w": F.when(doubt, F.from_json(F.col(json), _TYPED_LEAVES)),
-        "_p": F.when(lacking, F.from_json(F.col(json), _TYPED_PARTS)),
-        "_d": F.when(nothing, F.try_parse_json(F.col(json))),
-    })
+    # One parse a text; a leaf is read as text, and its kind only where the text leaves a doubt.
+    given = F.when(F.col(json).contains("NaN") | F.col(json).contains("Infinity"), F.regexp_replace(json, SPECIAL_NUMBER, '$1"$2"')).otherwise(F.col(json))
+    out = _once(df, {"_v": F.try_parse_json(given)})
+    out = _once(out, {f"_t_{name}": F.try_variant_get("_v", f"$.{path}", "string") for path, name, _, _ in fields})
+    text = {name: F.col(f"_t_{name}") for _, name, _, _ in fields}
+
+    def kind_at(path: str) -> Column:
+        return _kind(F.variant_get("_v", path, "variant"))
 
-    def kind_of(typed: str, present: Column, otherwise: str) -> Column:
-        return F.when(present, otherwise).otherwise(_kind(F.col(typed)))
+    def holds(prefix: str, members: list) -> Column:
+        return reduce(or_, [text[f"{prefix}_{n}"].isNotNull() for n, _, _ in members])
 
-    kinds = {f"_k_{name}": kind_of(f"_w.{path}", F.col("_w").isNull(), _PARSERS[t][1]) for path, name, t, _ in fields}
-    kinds |= {f"_k_{name}": kind_of(f"_p.{name}", part[name].isNotNull(), "object") for name in ("properties", "context")}
-    kinds["_k_root"] = kind_of("_d", ~nothing, "object")
-    out = _once(out, kinds).withColumns({
+    kinds = {f"_k_{name}": F.when(text[name].rlike(_DOUBTFUL[t]), kind_at(f"$.{path}")).otherwise(_PARSERS[t][1]) for path, name, t, _ in fields}
+    filled = {"properties": holds("p", _PROPERTY_FIELDS), "context": holds("c", _CONTEXT_FIELDS)}
+    kinds |= {f"_k_{part}": F.when(some, "object").otherwise(kind_at(f"$.{part}")) for part, some in filled.items()}
+    kinds["_k_root"] = F.when(reduce(or_, [*filled.values(), text["element_type"].isNotNull()]), "object").otherwise(_kind(F.col("_v")))
+    out = _once(_once(out, kinds).drop("_v"), {
         f"_v_{name}": F.when(text[name].isNotNull(), _PARSERS[t][0](F.col(f"_k_{name}"), text[name]))
         for path, name, t, _ in fields
     })

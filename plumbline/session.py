@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",  # JSON of the service may repeat a key
 }
 # Only for sessions of our own.  The JVM never compiles a method beyond 8000 bytes; such a stage
 # runs faster as separately generated operators.

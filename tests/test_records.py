@@ -77,12 +77,25 @@ def test_golden_table(spark):
     ('{"element_type": "Wall", "properties": {"width_mm": 1}, "context": {"occupancy": 12.0}}', []),
     ('{"element_type": "Wall", "properties": {"width_mm": 1}, "context": {"floor_level": "a"}}',
      ["context.floor_level.type"]),
+    ('{"element_type": "Wall", "properties": {"width_mm": NaN, "height_mm": -Infinity}}', []),
+    ('{"element_type": "NaN", "properties": {"width_mm": 1, "width_mm": 2}}', []),
+    ('{"element_type": "Wall", "properties": {"width_mm": 1, "width_mm": "x"}}', ["properties.width_mm.type"]),
+    ('{"element_type": null, "properties": {}, "context": {}}', ["element_type.missing", "properties.width_mm.missing"]),
+    ('{"element_type": "Wall", "properties": {"width_mm": {"a": 1}}}', ["properties.width_mm.type"]),
+    ('"text"', ["json.invalid"]), ("null", ["json.invalid"]), ("", ["json.invalid"]),
+    ('{"element_type": "Wall", "properties": {"width_mm": 1e400}}', []),  # infinite, as the service reads it
 ])
 def test_rejection_reasons(spark, text, reasons):
     row = requests.read_check_requests(spark.createDataFrame([(text,)], "json string")).first()
     assert row.reasons == reasons
 
 
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([(request(*GOLDEN[0][:4]),)], "json string")
+    plan = requests.read_check_requests(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and "from_json" not in plan
+
+
 def test_error_policy_fail_aborts(spark):
     df = spark.createDataFrame([(request(*GOLDEN[0][:4]),), ("{}",)], "json string")
     strict, rest = requests.apply_error_policy(df, "fail")
