@@ -10,8 +10,9 @@ Codebooks are fitted on at most ``SAMPLE`` vectors, every vector is indexed.  Th
 without structure need most cells, clustered ones few.  Tables of the ``CELLS``-bounded number of cells are the only
 thing sent to all tasks.
 
-Entries are grouped into regions of about ``REGION`` rows; a cell with more is dealt over several regions.
-Queries go, in blocks of ``QUERIES``, to the regions of their cells; each region returns at most k rows a query.
+Entries are grouped into regions of about ``REGION_BYTES`` of vectors; a cell with more is dealt over several regions.
+Queries go to the regions of their cells, and a region is sent once for every ``QUERIES`` queries that visit it; a task keeps the k best of a
+query over all its cells there, so at most k rows for each query and region leave it.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no
 part; vectors of another length than the most frequent one take no part; a repeated id is one vector (the least); with fewer
@@ -34,8 +35,9 @@ from plumbline.session import cut_lineage
 SAMPLE = 20_000
 CELLS = 65_536
 PER_CELL = 64
-REGION = 2_048
-QUERIES = 2_048
+REGION_BYTES = 16 << 20
+QUERIES = 16_384
+SLICE = 128  # queries multiplied at once
 AIM = 0.97
 TRIALS = 128
 SEED = 7
@@ -111,12 +113,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> Dat
     rows = vectors.filter(sound() & F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
         F.min("embedding").alias("embedding"))
     rows = rows.withColumn("is_query", F.coalesce(is_query, F.lit(False)))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(
-        F.desc("n"), "dim").first()
+    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     result = "query_id long, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total, queries = sizes
+    dim, total = sizes
     rows = rows.filter(F.size("embedding") == dim)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     index, share = fit_index(unpack(drawn["embedding"]), total, k)
@@ -131,10 +132,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> Dat
     for cell, count in indexed.groupBy("cell").count().collect():  # at most CELLS rows
         index.counts[cell] = count
     # Cells in turn fill regions; a large cell has regions of its own.
-    parts = np.maximum(-(-index.counts // REGION), 1)
+    most = max(REGION_BYTES // (8 * dim), 1)
+    parts = np.maximum(-(-index.counts // most), 1)
     region, filled, number = np.zeros(len(parts), np.int64), 0, 0
     for cell, count in enumerate(index.counts.tolist()):
-        if filled and (filled + count > REGION):
+        if filled and (filled + count > most):
             number, filled = number + 1, 0
         region[cell] = number
         if parts[cell] > 1:
@@ -142,7 +144,6 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> Dat
         else:
             filled += count
     wanted = int(np.ceil(share * total)) + k + 1
-    blocks = max(-(-int(queries or 0) // QUERIES), 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +171,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> Dat
                 [batch["vec_id"].take(picked), batch["embedding"].take(picked), pa.array(lists, pa.list_(pa.int64())), pa.array(regions, pa.int64())],
                 names=["vec_id", "embedding", "cells", "region"])
 
-    entries = indexed.mapInArrow(deal, f"vec_id long, embedding {kind}, cell long, region long").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = indexed.filter("is_query").mapInArrow(ask, f"vec_id long, embedding {kind}, cells array<long>, region long").withColumn(
-        "block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asked = cut_lineage(indexed.filter("is_query").mapInArrow(ask, f"vec_id long, embedding {kind}, cells array<long>, region long"))
+    # As many blocks as the queries that visit a region ask for: one row a region.
+    loads = asked.groupBy("region").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("blocks"))
+    asked = asked.join(loads, "region").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    entries = indexed.mapInArrow(deal, f"vec_id long, embedding {kind}, cell long, region long").join(loads, "region").withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asked, entries = (df.drop("blocks") for df in (asked, entries))
     found = asked.groupBy("region", "block").cogroup(entries.groupBy("region", "block")).applyInArrow(_rerank(k), result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -187,8 +191,8 @@ def _rerank(k: int) -> Callable:
             names, inverse = np.unique(cells, return_inverse=True)
             queries, own = unpack(asked["embedding"]), np.asarray(asked["vec_id"])
             lists = asked["cells"].to_pylist()
-            for start in range(0, len(own), 256):
-                part = slice(start, start + 256)
+            for start in range(0, len(own), SLICE):
+                part = slice(start, start + SLICE)
                 seen = np.zeros((len(own[part]), len(names)), bool)
                 for i, visited in enumerate(lists[part]):
                     at = np.searchsorted(names, visited)

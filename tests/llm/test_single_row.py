@@ -270,8 +270,21 @@ def test_search_recall_on_the_given_vectors(spark):
     assert found / (20 * len(queries)) >= 0.9
 
 
+def test_search_does_not_depend_on_regions_and_blocks(spark, monkeypatch):
+    """A third of the vectors alike, many small regions, several blocks of queries in each."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 8)).astype(np.float32)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = F.col("vec_id") % 5 == 0
+    whole = sorted(map(tuple, multi_index.nearest_neighbours(df, asked, 10).collect()))
+    monkeypatch.setattr(multi_index, "REGION_BYTES", 8 * 8 * 40)
+    monkeypatch.setattr(multi_index, "QUERIES", 16)
+    assert sorted(map(tuple, multi_index.nearest_neighbours(df, asked, 10).collect())) == whole
+
+
 def test_registered_sql(spark):
     from check_oracles import compare, duck
 
-    for name in ("op4_embedding_dedup", "op9_source_mixing"):
+    for name in ("op4_embedding_dedup", "op9_source_mixing", "op12_spelling_variants", "op13_merkle_manifest"):
         assert compare(spark, duck(SF), SF, name) == ""
