@@ -9,6 +9,8 @@ from plumbline.functions.text import element_type, first_param, floor_number, is
 from plumbline.functions.units import feet_to_mm, mm_to_feet, sqft_to_sqm
 from plumbline.operators import corridor, enrich, extract, integrity, reports, requests, rules
 from plumbline.plans.registry import Inputs, query
+from plumbline.session import scratch_path
+from plumbline.streaming import policy
 
 _TYPED = """
     WITH RECURSIVE parsed AS (
@@ -79,7 +81,24 @@ def validate_requests(t: Inputs) -> DataFrame:
 
 @query("error_policy", _VALIDATED)
 def error_policy(t: Inputs) -> DataFrame:
-    return _split(*requests.apply_error_policy(t.request_texts, "isolate"))
+    """Both parts, as one pass has stored them."""
+    path = scratch_path(t.spark, "requests")
+    policy.store_requests(t.request_texts, 0, path, "isolate")
+    return _split(*policy.stored_requests(t.spark, path))
+
+
+@query("error_policy_fail", _VALIDATED + """
+    WHERE split_part(element_id, '-', 2) NOT IN (SELECT split_part(element_id, '-', 2) FROM faults WHERE reasons <> '')
+""")
+def error_policy_fail(t: Inputs) -> DataFrame:
+    """Requests in batches by their line number: a batch with a bad one is not published."""
+    path, number = scratch_path(t.spark, "requests"), F.split("element_id", "-")[1]
+    for line in range(1, 8):
+        try:
+            policy.store_requests(t.request_texts.filter(number == str(line)), line, path, "fail")
+        except policy.RejectedRequests:
+            continue
+    return _split(*policy.stored_requests(t.spark, path))
 
 
 @query("write_check_responses", """
@@ -271,12 +290,12 @@ def violation_alerts(t: Inputs) -> DataFrame:
     SELECT rule_id, severity, confidence_score,
            coalesce(severity IN ('critical', 'warning', 'info') AND confidence_score BETWEEN 0 AND 1, false) AS accepted
     FROM (SELECT rule_id, CASE WHEN value_mm = 40 THEN 'fatal' WHEN value_mm = 80 THEN NULL ELSE severity END AS severity,
-                 value_mm / CAST(1900.0 AS DOUBLE) AS confidence_score FROM {rules}) r
+                 value_mm / CAST(1900.0 AS DOUBLE) AS confidence_score FROM {part_rules}) r
 """)
 def domain_check(t: Inputs) -> DataFrame:
     value = F.col("value_mm")
     severity = F.when(value == 40, "fatal").when(value != 80, F.col("severity"))
-    rows = t.rules.select("rule_id", severity.alias("severity"), (value / 1900.0).alias("confidence_score"))
+    rows = t.part_rules.select("rule_id", severity.alias("severity"), (value / 1900.0).alias("confidence_score"))
     good, bad = integrity.domain_check(rows)
     return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
 
@@ -346,22 +365,22 @@ def join_projects(t: Inputs) -> DataFrame:
 
 @query("list_rules", """
     SELECT count(*) OVER () AS total_rules, rule_id, title, rule_type, severity, CAST(NULL AS VARCHAR) AS message
-    FROM {rules} WHERE is_active
+    FROM {part_rules} WHERE is_active
 """)
 def list_rules(t: Inputs) -> DataFrame:
-    return rules.list_rules(t.rules)
+    return rules.list_rules(t.part_rules)
 
 
-@query("total_rules", "SELECT count(*) AS total_rules FROM {rules} WHERE is_active")
+@query("total_rules", "SELECT count(*) AS total_rules FROM {part_rules} WHERE is_active")
 def total_rules(t: Inputs) -> DataFrame:
-    return rules.total_rules(t.rules)
+    return rules.total_rules(t.part_rules)
 
 
 @query("active_rules", """
-    SELECT rule_id, rule_type, geometry_type, version FROM {rules} WHERE is_active AND language = 'cs'
+    SELECT rule_id, rule_type, geometry_type, version FROM {part_rules} WHERE is_active AND language = 'cs'
 """)
 def active_rules(t: Inputs) -> DataFrame:
-    return rules.active_rules(t.rules).select("rule_id", "rule_type", "geometry_type", "version")
+    return rules.active_rules(t.part_rules).select("rule_id", "rule_type", "geometry_type", "version")
 
 
 @query("evaluate_rules", f"SELECT element_id, {', '.join(_VIOLATION_COLUMNS)} FROM {{table_violations}}")
@@ -369,6 +388,12 @@ def evaluate_rules(t: Inputs) -> DataFrame:
     return rules.evaluate_rules(t.placed(), rules.active_rules(t.rules, language=None))
 
 
+@query("evaluate_part_rules", f"SELECT element_id, {', '.join(_VIOLATION_COLUMNS)} FROM {{part_violations}}")
+def evaluate_part_rules(t: Inputs) -> DataFrame:
+    """The same operator on a catalogue that grows with the elements: ten times the violations."""
+    return rules.evaluate_rules(t.placed(), rules.active_rules(t.part_rules, language=None))
+
+
 @query("unevaluated_rules", """
     SELECT e.element_id, count(m.rule_id) AS unevaluated
     FROM {project_elements} e LEFT JOIN (SELECT * FROM {matched} WHERE rule_type = 'fire_rating') m

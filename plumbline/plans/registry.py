@@ -96,6 +96,10 @@ CHECK_STEPS = {
     """,
 }
 
+# The same with a rule for every part.
+CHECK_STEPS["part_matched"] = CHECK_STEPS["matched"].replace("{rules}", "{part_rules}")
+CHECK_STEPS["part_violations"] = CHECK_STEPS["table_violations"].replace("{matched}", "{part_matched}")
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

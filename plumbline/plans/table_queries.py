@@ -40,7 +40,7 @@ def _five(t: Inputs) -> dict[str, DataFrame]:
 @query("load_tables", """
     SELECT 'users' AS table_name, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM {users}
     UNION ALL SELECT 'projects', count(*), CAST(sum(id) AS BIGINT) FROM {projects}
-    UNION ALL SELECT 'compliance_rules', count(*), CAST(sum(id) AS BIGINT) FROM {rules}
+    UNION ALL SELECT 'compliance_rules', count(*), CAST(sum(id) AS BIGINT) FROM {part_rules}
     UNION ALL SELECT 'compliance_checks', count(*), CAST(sum(project_id) AS BIGINT) FROM {project_elements}
     UNION ALL SELECT 'check_results', count(*), CAST(sum(required_value) AS BIGINT) FROM {corridor_violations}
 """)
@@ -49,7 +49,7 @@ def load_tables(t: Inputs) -> DataFrame:
     checks = persist.check_rows(cut_lineage(persist.numbered(t.checked(), 0)))
     results = persist.numbered(persist.result_rows(checks, _rules_with_builtin(t)).drop("rule_text"), 0)
     stored_tables = (
-        ("users", t.users, "id"), ("projects", t.projects, "id"), ("compliance_rules", t.rules, "id"),
+        ("users", t.users, "id"), ("projects", t.projects, "id"), ("compliance_rules", t.part_rules, "id"),
         ("compliance_checks", checks.drop("violations"), "project_id"), ("check_results", results, "required_value"),
     )
     for name, df, summed in stored_tables:
@@ -70,10 +70,10 @@ def _all_columns(df: DataFrame, name: str) -> DataFrame:
     SELECT id, CASE WHEN building_types IS NULL THEN NULL
                     ELSE concat('["', array_to_string(building_types, '","'), '"]') END AS building_types_json,
            building_types[1] AS first_type, len(building_types) AS types
-    FROM {rules}
+    FROM {part_rules}
 """)
 def json_columns(t: Inputs) -> DataFrame:
-    encoded = tables.encode_json(t.rules, "compliance_rules").withColumn("building_types_json", F.col("building_types"))
+    encoded = tables.encode_json(t.part_rules, "compliance_rules").withColumn("building_types_json", F.col("building_types"))
     decoded = tables.decode_json(encoded.select("id", "building_types", "building_types_json"), "compliance_rules")
     types = F.col("building_types")
     return decoded.select(
@@ -102,12 +102,12 @@ def persist_checks(t: Inputs) -> DataFrame:
 @query("apply_defaults", """
     SELECT rule_id, CASE WHEN severity = 'info' THEN 'warning' ELSE severity END AS severity,
            CASE WHEN language = 'en' THEN 'cs' ELSE language END AS language,
-           true AS is_active, '2024-05-01T00:00:00Z' AS created_at FROM {rules}
+           true AS is_active, '2024-05-01T00:00:00Z' AS created_at FROM {part_rules}
 """)
 def apply_defaults(t: Inputs) -> DataFrame:
     from plumbline.functions.text import iso_stamp
 
-    partial = t.rules.withColumns({
+    partial = t.part_rules.withColumns({
         "severity": F.nullif("severity", F.lit("info")), "language": F.nullif("language", F.lit("en")),
         "is_active": F.nullif("is_active", F.lit(False)),
     })

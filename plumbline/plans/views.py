@@ -43,6 +43,21 @@ _ELEMENT = f"""
     CAST(l_suppkey % 25 AS INT) AS level_id
 """
 
+_RULE = f"""
+        SELECT p_partkey AS id, concat('R', p_partkey) AS rule_id,
+               CASE p_size % 3 WHEN 0 THEN 'min_width' WHEN 1 THEN 'max_height' ELSE 'fire_rating' END AS rule_type,
+               coalesce(lower({_category('p_partkey')}), 'room') AS geometry_type,
+               split(CASE p_type WHEN 'ECONOMY' THEN 'residential' WHEN 'SMALL' THEN 'residential,office'
+                                 WHEN 'MEDIUM' THEN 'office' WHEN 'LARGE' THEN 'hospital,office'
+                                 WHEN 'PROMO' THEN 'hospital' END, ',') AS building_types,
+               p_name AS title, concat(p_type, ' ', p_name) AS description,
+               concat('Section ', p_size) AS code_reference,
+               p_size * CAST(40.0 AS DOUBLE) AS value_mm,
+               CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'info' ELSE 'warning' END AS severity,
+               CASE p_partkey % 3 WHEN 0 THEN 'en' ELSE 'cs' END AS language,
+               p_brand AS version, p_brand = 'Brand#1' AS is_active
+"""
+
 VIEWS = {
     # check records; the second form adds what the order knows
     "elements": f"SELECT {_ELEMENT} FROM {{lineitem}}",
@@ -121,22 +136,12 @@ VIEWS = {
                                  WHEN 'AUTOMOBILE' THEN NULL ELSE 'residential' END AS building_type
         FROM {customer}
     """,
-    "rules": f"""
-        SELECT p_partkey AS id, concat('R', p_partkey) AS rule_id,
-               CASE p_size % 3 WHEN 0 THEN 'min_width' WHEN 1 THEN 'max_height' ELSE 'fire_rating' END AS rule_type,
-               coalesce(lower({_category('p_partkey')}), 'room') AS geometry_type,
-               split(CASE p_type WHEN 'ECONOMY' THEN 'residential' WHEN 'SMALL' THEN 'residential,office'
-                                 WHEN 'MEDIUM' THEN 'office' WHEN 'LARGE' THEN 'hospital,office'
-                                 WHEN 'PROMO' THEN 'hospital' END, ',') AS building_types,
-               p_name AS title, concat(p_type, ' ', p_name) AS description,
-               concat('Section ', p_size) AS code_reference,
-               p_size * CAST(40.0 AS DOUBLE) AS value_mm,
-               CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'info' ELSE 'warning' END AS severity,
-               CASE p_partkey % 3 WHEN 0 THEN 'en' ELSE 'cs' END AS language,
-               p_brand AS version, p_brand = 'Brand#1' AS is_active
+    # a catalogue whose size hardly grows with the elements, and one with a rule for every part
+    "rules": f"""{_RULE}
         FROM (SELECT min(p_partkey) AS p_partkey, p_type, p_size, min_by(p_name, p_partkey) AS p_name, min_by(p_brand, p_partkey) AS p_brand
               FROM {{part}} GROUP BY p_type, p_size, p_partkey % 7) p
     """,
+    "part_rules": f"{_RULE} FROM {{part}}",
     # change feed, check history and request log
     "changes": f"""
         SELECT event_id AS id, user_id AS element_id, ts,

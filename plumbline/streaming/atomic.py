@@ -8,6 +8,7 @@ committed attempts only; leftovers of broken attempts stay unseen.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,12 @@ def is_committed(spark: SparkSession, batch_id: int, path: str) -> bool:
     return _exists(spark, f"{path}/commits/batch-{batch_id}/_SUCCESS")
 
 
-def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by: dict[str, str] | None = None) -> bool:
-    """Writes all tables of a batch and commits them together; False for a batch committed before."""
+def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by: dict[str, str] | None = None,
+            approve: Callable[[], None] | None = None) -> bool:
+    """Writes all tables of a batch and commits them together; False for a batch committed before.
+
+    ``approve`` is called when all is written and may raise, which leaves the batch unpublished.
+    """
     spark = next(iter(tables.values())).sparkSession
     if is_committed(spark, batch_id, path):
         return False
@@ -34,6 +39,8 @@ def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by
         if partition_by and name in partition_by:
             writer = writer.partitionBy(partition_by[name])
         writer.parquet(f"{path}/{name}/attempt={attempt}")
+    if approve:
+        approve()
     done = spark.range(batch_id, batch_id + 1).select(F.col("id").alias("batch_id"), F.lit(attempt).alias("attempt"))
     # an unfinished commit (no _SUCCESS) of an earlier attempt is replaced
     done.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch-{batch_id}")

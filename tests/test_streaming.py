@@ -1,6 +1,5 @@
 """Streams fed by several files must equal their batch twins."""
 
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +117,41 @@ def test_replay_of_a_committed_batch_leaves_it_whole(spark):
     assert atomic.read_committed(spark, path).count() == 2
     atomic.write_batch(good, 6, path)
     assert sorted(r.id for r in atomic.read_committed(spark, path).collect()) == [1, 1, 2, 2]
+
+
+def test_error_policy_in_one_pass(spark, tmp_path):
+    from plumbline.streaming import policy
+
+    good = '{"element_type": "Wall", "properties": {"width_mm": 1}}'
+    rows = [(i, good if i % 4 else "{}") for i in range(40)]
+    df, path = spark.createDataFrame(rows, "id int, json string"), str(tmp_path / "isolated")
+    assert policy.store_requests(df, 0, path) == {"rows": 40, "rejected": 10}
+    assert policy.store_requests(df, 0, path) is None  # a replay changes nothing
+    valid, rejected = policy.stored_requests(spark, path)
+    assert sorted(r.id for r in valid.collect()) == [i for i in range(40) if i % 4]
+    assert sorted((r.id, r.json) for r in rejected.collect()) == [(i, "{}") for i in range(0, 40, 4)]
+    assert {tuple(r.reasons) for r in rejected.collect()} == {("properties.missing", "element_type.missing")}
+
+    strict = str(tmp_path / "strict")
+    with pytest.raises(policy.RejectedRequests, match="10 of 40"):
+        policy.store_requests(df, 0, strict, "fail")
+    assert policy.store_requests(df, 1, strict, "fail", allowed=10)["rejected"] == 10
+    assert policy.store_requests(df.filter("id % 4 > 0"), 2, strict, "fail") == {"rows": 30, "rejected": 0}
+    assert policy.stored_requests(spark, strict)[0].groupBy("batch_id").count().orderBy("batch_id").collect() == [(1, 30), (2, 30)]
+    with pytest.raises(ValueError):
+        policy.store_requests(df, 3, strict, "ignore")
+
+
+def test_error_policy_of_a_stream(spark, tmp_path):
+    from plumbline.streaming import policy
+
+    source = tmp_path / "in"
+    source.mkdir()
+    good = '{"element_type": "Wall", "properties": {"width_mm": 1}}'
+    (source / "a.txt").write_text("\n".join([good, "{}", good]))
+    feed = spark.readStream.text(str(source)).withColumnRenamed("value", "json")
+    policy.start_request_store(feed, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert [df.count() for df in policy.stored_requests(spark, str(tmp_path / "out"))] == [2, 1]
+    broken = policy.start_request_store(feed, str(tmp_path / "out2"), str(tmp_path / "check2"), "fail")
+    with pytest.raises(Exception, match="rejected requests: 1 of 3"):
+        broken.awaitTermination()
