@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import distinct_tokens
 from plumbline.functions.vectors import cosine
-from plumbline.operators import retrieval, rules
+from plumbline.operators import retrieval, rules, vector_store
 from plumbline.plans.registry import Inputs, query
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, scratch_path
 
 # No two of the given vectors reach the default threshold.
 MIN_SCORE = 0.2
@@ -71,21 +71,42 @@ def embed_chunks(t: Inputs) -> DataFrame:
 _SPELT = "array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ' ')"
 
 
-@query("vector_table", f"""
+_UPSERTED = f"""
     SELECT chunk_id, CASE WHEN label <= 4 THEN 'new' ELSE 'old' END AS state, language, {_SPELT.replace('embedding', 'v.embedding')} AS vector
     FROM {{vectors}} v JOIN embeddings ON vec_id = chunk_id
     UNION ALL SELECT chunk_id + 1000000, 'new', language, {_SPELT.replace('embedding', 'v.embedding')}
     FROM {{vectors}} v JOIN embeddings ON vec_id = chunk_id WHERE label <= 4
-""")
-def vector_table(t: Inputs) -> DataFrame:
+"""
+
+
+def _old_and_new(t: Inputs) -> tuple[DataFrame, DataFrame]:
     stored = t.vectors.select("chunk_id", F.lit("old").alias("state"), "language", "embedding")
     low = t.vectors.join(t.embeddings.filter("label <= 4").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
     new = low.select(
         F.explode(F.array(F.col("chunk_id"), F.col("chunk_id") + 1000000)).alias("chunk_id"),
         F.lit("new").alias("state"), "language", "embedding",
     )
+    return stored, new
+
+
+def _spelt(vectors: DataFrame) -> DataFrame:
     spelt = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
-    return retrieval.upsert_vectors(stored, new).select("chunk_id", "state", "language", F.array_join(spelt, " ").alias("vector"))
+    return vectors.select("chunk_id", "state", "language", F.array_join(spelt, " ").alias("vector"))
+
+
+@query("vector_table", _UPSERTED)
+def vector_table(t: Inputs) -> DataFrame:
+    stored, new = _old_and_new(t)
+    return _spelt(retrieval.upsert_vectors(stored, new))
+
+
+@query("vector_store", _UPSERTED)
+def stored_vectors(t: Inputs) -> DataFrame:
+    """The same through the stored table: a load, an upsert and its replay."""
+    path, (stored, new) = scratch_path(t.spark, "vectors"), _old_and_new(t)
+    for batch, rows in ((0, stored), (1, new), (1, new)):
+        vector_store.upsert(rows, batch, path)
+    return _spelt(vector_store.read_vectors(t.spark, path))
 
 
 @query("cosine_similarity", """

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def is_committed(spark: SparkSession, batch_id: int, path: str) -> bool:
-    return _exists(spark, f"{path}/commits/batch-{batch_id}/_SUCCESS")
+    return exists(spark, f"{path}/commits/batch-{batch_id}/_SUCCESS")
 
 
 def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by: dict[str, str] | None = None,

@@ -375,6 +375,31 @@ def test_retrieved_violations_are_rule_violations(spark):
     assert found and found <= every
 
 
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    from plumbline.operators import vector_store
+
+    path = tmp_path / "store"
+    files = lambda: {str(f) for f in path.glob("vectors/*/*/*.parquet")}
+    make = lambda ids, state: spark.createDataFrame([(i, state, [float(i or 0), 1.0]) for i in ids], "chunk_id long, state string, embedding array<float>")
+    with pytest.raises(ValueError, match="no published"):
+        vector_store.read_vectors(spark, str(path))
+    assert vector_store.upsert(make(range(2000), "old"), 0, str(path), 64)
+    first = files()
+    changed = [7, 11, 500, 3000, 3001]
+    assert vector_store.upsert(make(changed, "new").unionByName(make([7, None], "a")), 1, str(path), 64)
+    rows = {r.chunk_id: r for r in vector_store.read_vectors(spark, str(path)).collect()}
+    assert len(rows) == 2002 and {i for i, r in rows.items() if r.state == "new"} == set(changed)
+    touched = {r.bucket for i, r in rows.items() if i in changed}
+    assert first <= files() and {int(f.split("bucket=")[1].split("/")[0]) for f in files() - first} == touched and len(touched) < 10
+    before = files()
+    assert not vector_store.upsert(make(range(2000), "again"), 1, str(path), 64) and files() == before  # a replay
+    with pytest.raises(ValueError, match="64 buckets"):
+        vector_store.upsert(make([1], "x"), 2, str(path), 32)
+    # an attempt that was not published is not seen
+    spark.range(3).selectExpr("id AS chunk_id", "'lost' AS state", "array(0f) AS embedding", "0 AS bucket").write.partitionBy("bucket").parquet(f"{path}/vectors/attempt=lost")
+    assert vector_store.read_vectors(spark, str(path)).filter("state = 'lost'").isEmpty()
+
+
 def test_a_model_is_called_once_a_text(spark):
     """No filter carries the embedding below the aggregate of the elements' texts."""
     elements = spark.createDataFrame(
