@@ -3,17 +3,19 @@
 A shingle is ``WORDS`` consecutive words, labelled with how often it occurred before in the text.  Each of ``SKETCHES``
 hash functions picks the ``TUPLE`` labelled shingles with the least hashes and keeps them in text order, so a
 sketch agrees for texts that hold the same shingles in the same order.  Texts that agree in ``AGREE``
-sketches are candidates.  At the threshold a pair fails that with a chance that follows the number of shingles of both (aligned
-ones counted once): 3.3 % for 5, 0.08 % for 6 or 10, 0.02 % for 20, below 1e-4 from 50 on.
+sketches are candidates; at the threshold a pair of texts beyond ``SHORT`` shingles fails that with a chance below 1e-4.  Few shingles
+would make that chance larger, so texts of up to ``SHORT`` shingles are candidates by an exact rule as well: the threshold says how many
+shingles two texts share at least, so they share one of the few least-hashed ones of each (the prefix), and these are keys too.
 
 The similarity of two texts is that of the best alignment of their shingle sequences: aligned shingles by all
 shingles of both, aligned ones counted once.  Reaching 0.8 bounds how far two aligned shingles can be displaced, hence
 the band; the alignment is exact within it (bit-parallel, one row of the band at a time).
 
-Equal word sequences are one text from the start, however many copies there are.  Texts of one sketch are first
-compared with the smallest of them (linear in their number).  Whatever that leaves in different components of a sketch
-is then compared in blocks, within tasks, so no link between different texts is lost; pairs already connected are skipped.
-Components come from ``_components``.
+Equal word sequences are one text from the start, however many copies there are; a text has a number of its own, so an id with several
+texts is several texts here and ties them together only in the classes.  Texts of one key are first compared with one of
+them (linear in their number).  Whatever that leaves in different components of a key is then compared in blocks, within
+tasks: shared shingles of all pairs of a block are counted at once, and pairs that can reach the threshold are aligned.  So no link between
+different texts is lost; pairs already connected are skipped.  Components come from ``_components``.
 
 Defined cases: null and blank texts link with nothing; a text of fewer than ``WORDS`` words is one shingle; a row with a
 null ``doc_id`` is returned unlinked with a null class; rows that repeat a ``doc_id`` share a class (the least id of all
@@ -40,7 +42,10 @@ MIN_SIMILARITY = 0.8
 SKETCHES = 24
 TUPLE = 4
 AGREE = 2
+SHORT = 50  # shingles up to which candidates are exact
 BLOCK = 1024
+CELL_WORDS = 1 << 20  # words of the texts compared in one group, about; a block is never split
+FREQUENT = 32  # a shingle in more than one text of so many is counted by matrix product
 GROUP = 64  # texts compared with one leader in a task's group
 SEEDS = np.random.default_rng(17).integers(1 << 62, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
 
@@ -95,17 +100,33 @@ def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = _texts(batch["text"])
-        for a, b in chunks(texts):
-            hashes, counts = shingles(texts[a:b])
-            keys = sketches(hashes, counts).view(np.int64)
-            copies = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts[a:b]]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), SKETCHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(a, b - a).cast(pa.int64()), pa.array(copies, pa.binary()), pa.array(counts > 0), lists],
-                names=["doc_id", "copy", "worded", "keys"])
+def prefixes(hashes: np.ndarray, counts: np.ndarray, min_similarity: float) -> list[np.ndarray]:
+    """Keys of which two texts that reach the threshold share one, if either has up to ``SHORT`` shingles; none for longer texts."""
+    out, begin = [], np.cumsum(counts) - counts
+    for a, n in zip(begin.tolist(), counts.tolist(), strict=True):
+        take = n - int(np.ceil(min_similarity * n - 1e-9)) + 1 if 0 < n <= SHORT / min_similarity + 1e-9 else 0
+        out.append(mix(np.sort(hashes[a:a + n])[:take] ^ np.uint64(0x8EBC6AF09C88C6E3)) if take else hashes[:0])
+    return out
+
+
+def _sketch(min_similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch["text"])
+            for a, b in chunks(texts):
+                hashes, counts = shingles(texts[a:b])
+                keys = sketches(hashes, counts).view(np.int64)
+                copies = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts[a:b]]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), SKETCHES).cast(pa.list_(pa.int64()))
+                short = prefixes(hashes, counts, min_similarity)
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int32)
+                flat = np.concatenate([*short, hashes[:0]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(a, b - a), batch["raw"].slice(a, b - a), pa.array(copies, pa.binary()),
+                     pa.array(counts.astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["doc_id", "raw", "copy", "n", "keys", "prefix"])
+
+    return run
 
 
 def aligned(a: np.ndarray, b: np.ndarray, min_similarity: float) -> bool:
@@ -182,11 +203,44 @@ def agreement(left: str, right: str) -> F.Column:
     return F.size(F.filter(F.zip_with(left, right, lambda x, y: x == y), lambda x: x))
 
 
+def overlaps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many labelled shingles each two of the texts share.
+
+    Frequent shingles are columns of a matrix multiplied with itself, a bounded number at a time; the pairs of rare ones are added up.
+    """
+    n = len(counts)
+    total = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), counts)
+    order = np.lexsort((owner, hashes))
+    owner = owner[order]
+    start = group_starts(hashes[order])
+    sizes = np.diff(np.append(start, len(order)))
+    often = sizes * FREQUENT > n
+    for at in range(0, int(often.sum()), 4096):
+        chosen = np.flatnonzero(often)[at:at + 4096]
+        wide = np.zeros((n, len(chosen)), np.float32)
+        wide[owner[spread(start[chosen], sizes[chosen])], np.repeat(np.arange(len(chosen)), sizes[chosen])] = 1
+        total += wide @ wide.T
+    few = (sizes > 1) & ~often
+    left, room = spread(start[few], sizes[few]), spread(np.zeros(int(few.sum()), np.int64), sizes[few])
+    room = np.repeat(sizes[few], sizes[few]) - 1 - room  # texts of the same shingle that follow
+    step = 1
+    while len(left := left[room >= step]):
+        room = room[room >= step]
+        pairs = np.bincount(owner[left] * n + owner[left + step], minlength=0)
+        at = np.flatnonzero(pairs)
+        total[at // n, at % n] += pairs[at]
+        total[at % n, at // n] += pairs[at]
+        step += 1
+    return total
+
+
 def _cross_links(min_similarity: float) -> Callable:
-    """Compares the texts of one sketch and pair of blocks that lie in different components.
+    """Compares the texts of one key and pair of blocks that lie in different components.
 
-    A pair is compared in the first sketch it shares, unless links found in this group connect it already.  Each text
-    that found a link is returned with the least one it reaches here, so rows grow with the texts and not with the pairs.
+    A pair is compared in the first sketch it shares, unless links found in this group connect it already; texts that share
+    a prefix key need no sketch.  Each text that found a link is returned with the least one it reaches here, so rows grow with
+    the texts and not with the pairs.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -195,41 +249,40 @@ def _cross_links(min_similarity: float) -> Callable:
         rep, component = np.asarray(group["rep"], np.int64), np.asarray(group["component"], np.int64)
         keys = group["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
         texts = _texts(group["text"])
-        sketch = (keys == key[:, None]).argmax(axis=1)
         order = np.lexsort((rep, high, low, key))
         bounds = np.column_stack([key, low, high])[order]
         cut = np.flatnonzero(np.concatenate(([True], np.any(np.diff(bounds, axis=0) != 0, axis=1))))
         found: list[tuple[int, int]] = []
         for rows in np.split(order, cut[1:]):
+            rows = rows[np.concatenate(([True], np.diff(rep[rows]) != 0))]  # rows that repeat an id and its text
             if component[rows].min() == component[rows].max():
                 continue
-            known: dict[int, np.ndarray] = {}
-            root = {row: row for row in rows.tolist()}
-
-            def top(row: int) -> int:
-                while root[row] != row:
-                    root[row] = root[root[row]]
-                    row = root[row]
-                return row
-
-            def of(row: int) -> np.ndarray:
-                if row not in known:
-                    known[row] = shingles([texts[row]])[0]
-                return known[row]
-
-            for i, row in enumerate(rows.tolist()):
-                rest = rows[i + 1:]
-                rest = rest[component[rest] != component[row]]
-                if low[row] != high[row]:
-                    rest = rest[own[rest] != own[row]]
-                same = keys[rest] == keys[row]
-                rest = rest[(same.sum(axis=1) >= AGREE) & (same.argmax(axis=1) == sketch[row])] if len(rest) else rest
-                for other in rest.tolist():
-                    x, y = top(row), top(other)
-                    if x != y and aligned(of(row), of(other), min_similarity):
-                        x, y = (x, y) if rep[x] < rep[y] else (y, x)
-                        root[y] = x
-            found += [(int(rep[row]), int(rep[top(row)])) for row in rows.tolist() if top(row) != row]
+            hashes, counts = shingles([texts[row] for row in rows.tolist()])
+            begin = np.cumsum(counts) - counts
+            root = list(range(len(rows)))
+
+            def top(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            shared = overlaps(hashes, counts)
+            near = shared * (1 + min_similarity) >= min_similarity * (counts[:, None] + counts[None, :]) - 1e-3
+            near &= component[rows][:, None] != component[rows][None, :]
+            if low[rows[0]] != high[rows[0]]:
+                near &= own[rows][:, None] != own[rows][None, :]
+            at = keys[rows] == key[rows[0]]
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                rest = i + 1 + np.flatnonzero(near[i, i + 1:])
+                if at[i].any() and len(rest):
+                    same = keys[rows[rest]] == keys[rows[i]]
+                    rest = rest[(same.sum(axis=1) >= AGREE) & (same.argmax(axis=1) == at[i].argmax())]
+                for j in rest.tolist():
+                    x, y = top(i), top(j)
+                    if x != y and aligned(hashes[begin[i]:begin[i] + counts[i]], hashes[begin[j]:begin[j] + counts[j]], min_similarity):
+                        root[max(x, y)] = min(x, y)
+            found += [(int(rep[rows[i]]), int(rep[rows[top(i)]])) for i in range(len(rows)) if top(i) != i]
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -238,41 +291,47 @@ def _cross_links(min_similarity: float) -> Callable:
 def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``doc_id, class_id, kept`` of every row: the class is the least ``doc_id`` that links reach; that one is kept."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = cut_lineage(rows.mapInArrow(_sketch, "doc_id long, copy binary, worded boolean, keys array<long>"))
-    worded = sketched.filter("worded AND doc_id IS NOT NULL")
-    distinct = worded.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
-    # Copies: every document points to the least one of its text; rows sharing an id tie their texts together.
-    copies = worded.select("doc_id", "copy").join(distinct.select("copy", "rep"), "copy")
-    # One row stands for each representative's text; a representative with several texts keeps one sketch for each.
-    reps = cut_lineage(distinct.select("rep", "keys", "copy"))
-    single = reps.groupBy("rep").agg(F.min(F.struct("copy", "keys")).alias("one")).select("rep", F.col("one.keys").alias("keys"), F.col("one.copy").alias("copy"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw"))
+    sketched = cut_lineage(rows.mapInArrow(_sketch(min_similarity), "doc_id long, raw long, copy binary, n long, keys array<long>, prefix array<long>"))
+    worded = sketched.filter("n > 0 AND doc_id IS NOT NULL")
+    # One row for each different text, with a number of its own and the least document (and the text's form there) that has it.
+    reps = cut_lineage(worded.groupBy("copy").agg(F.min(F.struct("doc_id", "raw")).alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"),
+                                                  F.min("prefix").alias("prefix"))
+                       .select(F.monotonically_increasing_id().alias("rep"), "copy", "least.*", "n", "keys", "prefix"))
     # Keys travel alone: a key is a hash of its sketch's number too.
-    dealt = single.select("rep", F.explode("keys").alias("key"))
+    dealt = reps.select("rep", F.explode(F.concat("keys", "prefix")).alias("key"))
     heads = cut_lineage(dealt.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("texts")).filter("texts > 1"))
     shared = cut_lineage(dealt.join(heads, "key"))
     asked = shared.filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    own = single.select("rep", "keys")
-    stars = cut_lineage(asked.join(own.withColumnsRenamed({"rep": "a", "keys": "keys_a"}), "a")
-                        .join(own.withColumnsRenamed({"rep": "b", "keys": "keys_b"}), "b")
-                        .filter(agreement("keys_a", "keys_b") >= AGREE).select("a", "b"))
-    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(single.select("rep", "copy"), "rep")
+    own = reps.select("rep", "n", "keys", "prefix")
+    ends = [own.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "keys", "prefix")]) for s in ("a", "b")]
+    stars = cut_lineage(asked.join(ends[0], "a").join(ends[1], "b")
+                        .filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (min_similarity - 1e-9))
+                        .filter((agreement("keys_a", "keys_b") >= AGREE) | F.arrays_overlap("prefix_a", "prefix_b")).select("a", "b"))
+    texts = rows.join(reps.select("rep", "doc_id", "raw"), ["doc_id", "raw"]).select("rep", "text")
     links = verified(stars, texts, min_similarity)
     first = connected_components(links).withColumnRenamed("id", "rep")
-    placed = shared.select("rep", "key", "texts").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("texts").alias("texts"))
-             .filter("low <> high").select("key", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")))
-    rest = (placed.drop("texts").join(cut_lineage(mixed), "key")
+    placed = (shared.select("rep", "key", "texts").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+              .join(reps.select("rep", "n"), "rep"))
+    mixed = cut_lineage(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("texts").alias("texts"),
+                                                  F.sum("n").alias("words"))
+                        .filter("low <> high").select("key", "words", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks")))
+    rest = (placed.drop("texts", "n").join(mixed.drop("words"), "key")
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
-    cells = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = cut_lineage(rest.join(own, "rep").join(texts, "rep").select(
+    words = mixed.agg(F.sum(F.col("words") * F.col("blocks"))).first()[0] or 0
+    cells = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // CELL_WORDS + 1)
+    more = cut_lineage(rest.join(reps.select("rep", "keys"), "rep").join(texts, "rep").select(
         "key", "low", "high", "own", "rep", "component", "keys", "text", F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)).alias("cell"))
         .groupBy("cell").applyInArrow(_cross_links(min_similarity), "a long, b long"))
-    edges = links.unionByName(more).unionByName(copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-                                                .groupBy("a", "b").count().drop("count"))
-    classes = connected_components(edges).withColumnRenamed("id", "doc_id")
+    # Classes are made of documents: each points to the least one of its text, and linked texts' least ones to each other.
+    least = reps.select(F.col("rep"), F.col("doc_id").alias("least"))
+    pairs = (links.unionByName(more).join(least.withColumnsRenamed({"rep": "a", "least": "x"}), "a")
+             .join(least.withColumnsRenamed({"rep": "b", "least": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    copies = (worded.select("doc_id", "copy").join(reps.select("copy", F.col("doc_id").alias("least")), "copy").filter("doc_id <> least")
+              .select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    classes = connected_components(pairs.unionByName(copies)).withColumnRenamed("id", "doc_id")
     return (rows.select("doc_id").join(classes, "doc_id", "left")
             .select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))

@@ -109,6 +109,36 @@ def test_banded_alignment_equals_the_full_one():
     assert min(seen.values()) > 30
 
 
+def test_short_texts_lose_no_link(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        size = rng.choice([8, 8, 9, 12, 13, 18, 30, 54])
+        words = [f"s{i}x{j}" for j in range(size + 1)]
+        rows += [(2 * i, " ".join(words[:size])), (2 * i + 1, " ".join(words))]  # one word longer
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: n - n % 2 for n, _ in rows}
+
+
+def test_shared_shingles_are_counted_alike_by_product_and_by_pairs(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 60))).encode() for _ in range(40)] + [b"only here and nowhere else"]
+    hashes, counts = shingles(texts)
+    parts = [set(p.tolist()) for p in np.split(hashes, np.cumsum(counts)[:-1])]
+    for frequent in (0, 8, 1 << 20):
+        monkeypatch.setattr(minhash_dedup, "FREQUENT", frequent)
+        got = minhash_dedup.overlaps(hashes, counts)
+        assert all(got[i, j] == len(parts[i] & parts[j]) for i in range(41) for j in range(41) if i != j)
+
+
+def test_different_texts_under_one_id_are_both_compared(spark):
+    one, two = ([f"{k}{i}" for i in range(60)] for k in "ab")
+    rows = [(1, one), (5, two), (5, one[:-1]), (3, two[1:]), (9, ["other"] + two[2:]), (7, [f"c{i}" for i in range(60)])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 5: 1, 3: 1, 9: 1, 7: 7}
+
+
 def test_repeated_ids_null_ids_and_empty(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(1, text), (2, text), (2, "something else that is here alone"), (None, text), (3, "something else that is here alone"), (2, text)]
