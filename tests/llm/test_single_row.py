@@ -219,14 +219,31 @@ def test_mixing_overlapping_sources(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>").withColumn("size", F.lit("clash"))
     mixed = source_mixing.mix_sources(docs, F.col("sources"))
     got = mixed.rows.collect()
-    assert len(got) == len(rows) and mixed.sources == ["a", "b", None]
+    table = {r.name: r.target for r in mixed.sources.collect()}
+    assert len(got) == len(rows) and set(table) == {"a", "b", None}
     assert all(r.taken == r.size * r.repeats and 0 <= r.repeats <= 3 for r in got)
-    assert sum(r.taken for r in got) == pytest.approx(sum(mixed.targets), abs=15)
+    assert sum(r.taken for r in got) == pytest.approx(sum(table.values()), abs=15)
     again = source_mixing.mix_sources(docs.repartition(7), F.col("sources")).rows.collect()
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
     assert source_mixing.mix_sources(docs.limit(0), F.col("sources")).rows.count() == 0
 
 
+def test_mixing_many_sources_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "MAX_PATTERNS", 10)
+    monkeypatch.setattr(source_mixing, "BROADCAST_ROWS", 10)
+    names = ("last", "rest", "rounds", "before", "row", "order", "id", "prefix", "extra", "tokens")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 11 AS INT)) AS text", "concat('s', id % 500) AS source",
+                                        *[f"id AS `{n}`" for n in names if n != "id"]).withColumn("id", F.col("doc_id"))
+    mixed = source_mixing.mix_sources(docs, F.array("source"))
+    got, table = mixed.rows.collect(), mixed.sources.orderBy("name").collect()
+    assert len(got) == 3000 and all(r[n] == r.doc_id for r in got for n in names)
+    assert [r.target for r in table] == pytest.approx(source_mixing.targets([r.source_size for r in table], [(5, 2, 1)[i % 3] for i in range(500)]))
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.name] - r.target) <= 5.5 for r in table)
+
+
 def test_search_recall_and_edges(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 12)).astype(np.float32)
