@@ -10,19 +10,15 @@ from plumbline.session import cut_lineage
 from plumbline.streaming.atomic import publish, read_published
 
 
-# A stored id holds batch, partition and row: 15, 20 and 28 bits.
-ROW_BITS, PARTITION_BITS = 28, 20
+# A stored id is batch times this, plus Spark's 63 bits of partition and row.
+BATCH_IDS = 1 << 64
 
 
 def numbered(df: DataFrame, batch_id: int) -> DataFrame:
-    """Adds ``id``, unique over all batches without asking what is stored; not dense."""
-    if not 0 <= batch_id < 1 << (63 - ROW_BITS - PARTITION_BITS):
-        raise ValueError(f"batch {batch_id} is out of range")
-    raw = F.monotonically_increasing_id()  # the partition's number above 33 bits of row number
-    partition, row = F.shiftright(raw, 33), raw.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (partition < 1 << PARTITION_BITS) & (row < 1 << ROW_BITS)
-    packed = F.lit(batch_id << (PARTITION_BITS + ROW_BITS)) + F.shiftleft(partition, ROW_BITS) + row
-    return df.withColumn("id", F.when(fits, packed).otherwise(F.raise_error(F.lit("too many rows or partitions for the ids of a batch")).cast("long")))
+    """Adds ``id`` (decimal, so that no number of batches, partitions or rows is too large), unique over all batches without
+    asking what is stored; not dense."""
+    base = F.lit(str(batch_id * BATCH_IDS)).cast("decimal(38,0)")
+    return df.withColumn("id", (base + F.monotonically_increasing_id().cast("decimal(20,0)")).cast("decimal(38,0)"))
 
 
 def check_rows(checked: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.retrieval import upsert_vectors
-from plumbline.streaming.atomic import exists, is_committed, publish
+from plumbline.streaming.atomic import commits, exists, is_committed, publish
 
 BUCKETS = 256
 
@@ -25,9 +25,8 @@ def _current(spark: SparkSession, path: str, buckets: int | None = None) -> dict
     """The newest published folder of each bucket that has one."""
     if not exists(spark, f"{path}/commits"):
         return {}
-    commits = spark.read.schema("batch_id BIGINT, attempt STRING").parquet(f"{path}/commits/*")
     touched = spark.read.option("basePath", f"{path}/touched").parquet(f"{path}/touched/*").withColumn("attempt", F.col("attempt").cast("string"))
-    newest = touched.join(commits, "attempt").groupBy("bucket").agg(F.max_by("attempt", "batch_id").alias("attempt"), F.max("buckets").alias("buckets"))
+    newest = touched.join(commits(spark, path), "attempt").groupBy("bucket").agg(F.max_by("attempt", "batch_id").alias("attempt"), F.max("buckets").alias("buckets"))
     found = newest.collect()  # one row a bucket
     if buckets is not None and {r.buckets for r in found} - {buckets}:
         raise ValueError(f"{path} is stored in {found[0].buckets} buckets, not {buckets}")

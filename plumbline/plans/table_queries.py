@@ -46,8 +46,8 @@ def _five(t: Inputs) -> dict[str, DataFrame]:
 """)
 def load_tables(t: Inputs) -> DataFrame:
     path, parts = scratch_path(t.spark, "tables"), []
-    checks = persist.check_rows(cut_lineage(persist.numbered(t.checked(), 0)))
-    results = persist.numbered(persist.result_rows(checks, _rules_with_builtin(t)).drop("rule_text"), 0)
+    checks = persist.check_rows(cut_lineage(t.checked().withColumn("id", F.monotonically_increasing_id())))
+    results = persist.result_rows(checks, _rules_with_builtin(t)).drop("rule_text").withColumn("id", F.monotonically_increasing_id())
     stored_tables = (
         ("users", t.users, "id"), ("projects", t.projects, "id"), ("compliance_rules", t.part_rules, "id"),
         ("compliance_checks", checks.drop("violations"), "project_id"), ("check_results", results, "required_value"),

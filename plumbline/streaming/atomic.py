@@ -3,13 +3,18 @@
 A batch writes its tables to folders of an attempt of its own and then commits one row that names the
 attempt.  A batch that is committed already is skipped, a retry never touches what is committed, and readers take
 committed attempts only; leftovers of broken attempts stay unseen.
+
+A commit is a small file, complete before it gets its name, by a rename that refuses to replace: of several writers of one batch
+exactly one wins, where the file system renames in one step (HDFS does; most object stores need a committer of their own).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,12 +26,35 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def is_committed(spark: SparkSession, batch_id: int, path: str) -> bool:
-    return exists(spark, f"{path}/commits/batch-{batch_id}/_SUCCESS")
+    return exists(spark, f"{path}/commits/batch-{batch_id}.json")
+
+
+def commit(spark: SparkSession, batch_id: int, attempt: str, path: str) -> bool:
+    """Names the attempt that counts for a batch; False if another one does already."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    draft, final = hadoop.Path(f"{path}/commits/_{attempt}"), hadoop.Path(f"{path}/commits/batch-{batch_id}.json")
+    out = draft.getFileSystem(conf).create(draft, False)
+    out.write(bytearray(json.dumps({"batch_id": batch_id, "attempt": attempt}).encode()))
+    out.close()
+    files = hadoop.FileContext.getFileContext(final.toUri(), conf)
+    try:
+        files.rename(draft, final, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError:
+        if is_committed(spark, batch_id, path):
+            return False
+        raise
+    return True
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id, attempt`` of what is published."""
+    return spark.read.schema("batch_id BIGINT, attempt STRING").json(f"{path}/commits")
 
 
 def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by: dict[str, str] | None = None,
             approve: Callable[[], None] | None = None) -> bool:
-    """Writes all tables of a batch and commits them together; False for a batch committed before.
+    """Writes all tables of a batch and commits them together; False for a batch that is committed by another attempt.
 
     ``approve`` is called when all is written and may raise, which leaves the batch unpublished.
     """
@@ -41,17 +69,13 @@ def publish(tables: dict[str, DataFrame], batch_id: int, path: str, partition_by
         writer.parquet(f"{path}/{name}/attempt={attempt}")
     if approve:
         approve()
-    done = spark.range(batch_id, batch_id + 1).select(F.col("id").alias("batch_id"), F.lit(attempt).alias("attempt"))
-    # an unfinished commit (no _SUCCESS) of an earlier attempt is replaced
-    done.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch-{batch_id}")
-    return True
+    return commit(spark, batch_id, attempt, path)
 
 
 def read_published(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of committed attempts, with their ``batch_id``."""
-    commits = spark.read.schema("batch_id BIGINT, attempt STRING").parquet(f"{path}/commits/*")
     data = spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}/*")
-    return data.withColumn("attempt", F.col("attempt").cast("string")).join(commits, "attempt").drop("attempt")
+    return data.withColumn("attempt", F.col("attempt").cast("string")).join(commits(spark, path), "attempt").drop("attempt")
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str) -> None:

@@ -155,3 +155,29 @@ def test_error_policy_of_a_stream(spark, tmp_path):
     broken = policy.start_request_store(feed, str(tmp_path / "out2"), str(tmp_path / "check2"), "fail")
     with pytest.raises(Exception, match="rejected requests: 1 of 3"):
         broken.awaitTermination()
+
+
+def test_of_two_writers_of_a_batch_one_wins(spark):
+    from threading import Barrier, Thread
+
+    path, both, won = scratch_path(spark, "writers"), Barrier(2, timeout=60), {}
+
+    def write(name):  # both have found the batch unpublished before either commits
+        won[name] = atomic.publish({"data": spark.range(5).withColumn("writer", F.lit(name))}, 7, path, approve=both.wait)
+
+    threads = [Thread(target=write, args=(name,)) for name in "ab"]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert sorted(won.values()) == [False, True]
+    rows = atomic.read_committed(spark, path).collect()
+    assert [r.batch_id for r in rows] == [7] * 5 and {r.writer for r in rows} == {name for name in won if won[name]}
+    assert not atomic.publish({"data": spark.range(1)}, 7, path)
+
+
+def test_ids_of_any_batch(spark):
+    from plumbline.operators import persist
+
+    ids = [r.id for batch in (0, 32_768, 40_000, 1 << 60) for r in persist.numbered(spark.range(0, 100, 1, 3).drop("id"), batch).collect()]
+    assert len(set(ids)) == 400 and None not in ids and ids == sorted(ids)
