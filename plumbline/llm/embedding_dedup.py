@@ -9,7 +9,7 @@ return counts and local components, one row a vector, never pairs.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components, and one with a null label
 or id, has no links and is returned (component its own id); vectors of different length have no links; rows that
-repeat a ``vec_id`` are one vector (the least label and vector count); an empty table gives an empty result.
+repeat a ``vec_id`` are one vector (the least label and vector count); an empty table gives an empty result; labels may be of any type and are compared as they are.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plumbline.llm._components import connected_components
 from plumbline.session import cut_lineage, scratch_path
@@ -140,6 +141,9 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
     """``vec_id, n_links, component_id, kept`` of every ``vec_id, embedding, label``."""
     spark = vectors.sparkSession
     rows = vectors.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("row")).select("vec_id", "row.*")
+    if not isinstance(vectors.schema["label"].dataType, IntegralType):  # labels of another type are told apart by a number each
+        labels = cut_lineage(rows.select("label").filter("label IS NOT NULL").distinct().withColumn("number", F.monotonically_increasing_id()))
+        rows = rows.join(labels, "label", "left").drop("label").withColumnRenamed("number", "label")
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
         F.size("embedding").alias("dim"), "embedding")

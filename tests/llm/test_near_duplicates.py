@@ -184,3 +184,11 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     roots = components({r[0] for r in every}, [(a, b) for a in links for b in links[a]])
     assert got == {n: (len(links[n]), c, n == c) for n, c in roots.items()}
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("string", ("a", "b")), ("double", (1.2, 1.7))])
+def test_labels_of_any_type_are_compared_as_they_are(spark, kind, labels):
+    rows = [(1, [1.0, 2.0], labels[0]), (2, [1.0, 2.0], labels[1]), (3, [2.0, 4.0], labels[0]), (4, [1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 0, 4, True)]
