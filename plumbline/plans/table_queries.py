@@ -279,6 +279,34 @@ def latency_profile(t: Inputs) -> DataFrame:
     )
 
 
+# latencies by steps of one percent each way; the middle of the step of each rank
+LATENCY_HOURS = """
+    WITH RECURSIVE s AS (
+        SELECT date_trunc('hour', ts) AS h, CASE WHEN latency > 0 THEN CAST(ceil(ln(latency) / ln(CAST(1.01 AS DOUBLE) / 0.99)) AS BIGINT) END AS step
+        FROM {cache_requests} WHERE latency IS NOT NULL
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY h ORDER BY step NULLS FIRST) AS i, count(*) OVER (PARTITION BY h) AS n FROM s
+    ), v AS (
+        SELECT *, coalesce(CAST(2 AS DOUBLE) / (CAST(1.01 AS DOUBLE) / 0.99 + 1) * pow(CAST(1.01 AS DOUBLE) / 0.99, step), 0) AS middle FROM r
+    )
+    SELECT strftime(h, '%Y-%m-%dT%H:%M') AS window_start, CAST(max(n) AS BIGINT) AS requests,
+           round(min(middle) FILTER (i = ceil(n * CAST(0.5 AS DOUBLE))), 6) AS p50,
+           round(min(middle) FILTER (i = ceil(n * CAST(0.95 AS DOUBLE))), 6) AS p95,
+           round(min(middle) FILTER (i = ceil(n * CAST(0.99 AS DOUBLE))), 6) AS p99
+    FROM v GROUP BY h
+"""
+
+
+@query("latency_hours", LATENCY_HOURS)
+def latency_hours(t: Inputs) -> DataFrame:
+    minutes = reports.latency_sketch(t.cache_requests, F.col("ts").cast("timestamp"))
+    told = reports.sketch_quantiles(reports.merge_sketches(minutes), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return told.select(
+        F.date_format("window_start", "yyyy-MM-dd'T'HH:mm").alias("window_start"), "requests",
+        *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")],
+    )
+
+
 # ---------------------------------------------------------------- history and cache
 
 @query("latest_result", """

@@ -15,11 +15,16 @@ CHANGE = (
 
 def read_change_feed(spark: SparkSession, path: str, schema: str | T.StructType = CHANGE,
                      format: str = "parquet", files_per_trigger: int | None = None,
-                     glob: str | None = None) -> DataFrame:
-    """Streaming rows from new files below ``path``; ``files_per_trigger`` bounds a micro-batch."""
+                     glob: str | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Streaming rows from new files below ``path``; ``files_per_trigger`` or ``bytes_per_trigger`` bounds a
+    micro-batch.  A bounded batch only delays rows if files come in about the order of their times."""
+    if files_per_trigger and bytes_per_trigger:
+        raise ValueError("a micro-batch is bounded by files or by bytes, not by both")
     reader = spark.readStream.format(format).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,61 +73,116 @@ def stream_result_cache(requests: DataFrame, ttl: int = DEFAULT_TTL, delay: str
     )
 
 
+_ROW = np.dtype([("t", "<i8"), ("id", "<i8"), ("ok", "?")])  # a waiting row, packed
+_SLICE = np.dtype([("slice", "<i8"), ("entries", "<i8"), ("first", "<i8")])  # a slice with waiting rows, packed
+
+
 class _HistoryProcessor(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then labels them in time order."""
+    """Holds rows until the watermark has passed them, then labels them in time order.
+
+    Waiting rows lie in the slice of their time, one packed entry for each frame that brought some, so rows are only
+    appended and a slice is only read when the watermark has reached it: memory is a frame or a slice of one key,
+    and an index of three numbers for each slice.
+    """
+
+    def __init__(self, slice_ms: int):
+        self.slice_ms = slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "compliant boolean")
-        self.waiting = handle.getListState("waiting", "t long, id long, compliant boolean")
+        self.index = handle.getValueState("index", "slices binary")
+        self.waiting = handle.getMapState("waiting", "slice long, entry long", "rows binary")
+
+    def _slices(self) -> dict[int, tuple[int, int]]:
+        packed = bytes(self.index.get()[0]) if self.index.exists() else b""
+        return {part: (entries, first) for part, entries, first in np.frombuffer(packed, _SLICE).tolist()}
+
+    def _keep(self, slices: dict[int, tuple[int, int]]) -> None:
+        self.index.update((np.array([(part, *rest) for part, rest in slices.items()], _SLICE).tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         told = timerValues.getCurrentWatermarkInMs()
+        slices = self._slices()
+        due = min((first for _, first in slices.values()), default=None)
         for frame in rows:
-            found = zip(frame["t"].astype(int).tolist(), frame["id"].astype(int).tolist(), frame["is_compliant"].astype(bool).tolist())
-            early = [r for r in found if r[0] // 1000 + 1 > told]
-            if early:
-                self.waiting.appendList(early)
-                self.handle.registerTimer(min(early)[0] // 1000 + 1)
+            found = np.empty(len(frame), _ROW)
+            found["t"], found["id"], found["ok"] = frame["t"], frame["id"], frame["is_compliant"]
+            found = found[found["t"] // 1000 + 1 > told]
+            found.sort(order="t")
+            parts, begins = np.unique(found["t"] // 1000 // self.slice_ms, return_index=True)
+            for part, held in zip(parts.tolist(), np.split(found, begins[1:])):
+                first = int(held["t"][0])
+                entries, before = slices.get(part, (0, first))
+                self.waiting.updateValue((part, entries), (held.tobytes(),))
+                slices[part] = (entries + 1, min(first, before))
+        if slices:
+            self._keep(slices)
+            earliest = min(first for _, first in slices.values())
+            if due is None or earliest < due:
+                self.handle.registerTimer(earliest // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] // 1000 + 1 <= passed]
-        later = rows[len(ready):]
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        elif rows:
-            self.waiting.clear()
-        if not ready:
+        # a timer set before an earlier row came finds its rows told already
+        told = timerValues.getCurrentWatermarkInMs()
+        slices = self._slices()
+        due = sorted(part for part, (_, first) in slices.items() if first // 1000 + 1 <= told)
+        if not due:
             return
-        before = bool(self.last.get()[0]) if self.last.exists() else None
-        out = []
-        for t, number, compliant in ready:
-            if before is None or before != compliant:
-                out.append((key[0], number, t, "first" if before is None else "fixed" if compliant else "regressed"))
-            before = compliant
-        self.last.update((before,))
-        if out:
-            yield pd.DataFrame(out, columns=["element_id", "id", "t", "transition"])
+        last = bool(self.last.get()[0]) if self.last.exists() else None
+        for part in due:
+            entries = [(part, entry) for entry in range(slices.pop(part)[0])]
+            rows = np.concatenate([np.frombuffer(bytes(self.waiting.getValue(entry)[0]), _ROW) for entry in entries])
+            for entry in entries:
+                self.waiting.removeKey(entry)
+            passed = rows["t"] // 1000 + 1 <= told
+            later = rows[~passed]
+            if len(later):
+                self.waiting.updateValue((part, 0), (later.tobytes(),))
+                slices[part] = (1, int(later["t"].min()))
+            ready = np.sort(rows[passed], order=["t", "id"])
+            ok = ready["ok"]
+            before = np.concatenate([[not ok[0] if last is None else last], ok[:-1]])
+            transition = np.where(ok, "fixed", "regressed").astype(object)
+            if last is None:
+                transition[0] = "first"
+            changed = ok != before
+            last = bool(ok[-1])
+            if changed.any():
+                yield pd.DataFrame({
+                    "element_id": pd.array([key[0] if key[1] else None], "Int64").repeat(changed.sum()),
+                    "id": ready["id"][changed], "t": ready["t"][changed], "transition": transition[changed],
+                })
+        self.last.update((last,))
+        if slices:
+            self._keep(slices)
+            self.handle.registerTimer(min(first for _, first in slices.values()) // 1000 + 1)
+        else:
+            self.index.clear()
 
     def close(self) -> None:
         pass
 
 
-def stream_history(checks: DataFrame, delay: str = WATERMARK) -> DataFrame:
+def stream_history(checks: DataFrame, delay: str = WATERMARK, slice_seconds: int = 60) -> DataFrame:
     """State changes per element (first, fixed, regressed); the batch twin is
     ``compliance_history`` without its ``same`` rows.
 
     A change is told once the watermark has passed it, so rows may come in any order within ``delay``; rows later
-    than that are dropped and change nothing that was told.
+    than that are dropped and change nothing that was told.  Waiting rows are kept by time slices of
+    ``slice_seconds``: a task holds one slice of one element, however many rows the element has.  Checks
+    without a time, an id or an outcome are left out.
     """
-    stamped = checks.withColumn("event", F.col("checked_at").cast("timestamp")).withWatermark("event", delay)
-    timed = stamped.select("element_id", "id", "event", F.unix_micros("event").alias("t"), "is_compliant")
-    return timed.groupBy("element_id").transformWithStateInPandas(
-        statefulProcessor=_HistoryProcessor(),
+    whole = checks.dropna(subset=["checked_at", "id", "is_compliant"])
+    stamped = whole.withColumn("event", F.col("checked_at").cast("timestamp")).withWatermark("event", delay)
+    # a null key is not told apart from its neighbours in Python workers, so the key holds no null
+    timed = stamped.select(
+        F.coalesce("element_id", F.lit(0)).alias("element"), F.col("element_id").isNotNull().alias("known"),
+        "id", "event", F.unix_micros("event").alias("t"), "is_compliant",
+    )
+    return timed.groupBy("element", "known").transformWithStateInPandas(
+        statefulProcessor=_HistoryProcessor(slice_seconds * 1000),
         outputStructType="element_id long, id long, t long, transition string",
         outputMode="Append", timeMode="EventTime",
     )

@@ -155,6 +155,34 @@ def test_latency_quantile(spark):
         assert r.latency_quantile == values[math.ceil(len(values) * 0.95) - 1]
 
 
+@pytest.mark.parametrize("accuracy", [0.01, 0.1])
+def test_merged_sketches_keep_their_error_bound(spark, accuracy):
+    """Latencies over nine powers of ten, one hour with a third of them, zeros, nulls and NaN."""
+    rnd = random.Random(3)
+    rows = [(0 if i % 3 == 0 else rnd.randrange(5 * 3600), 10 ** rnd.uniform(-5, 4)) for i in range(4000)]
+    rows += [(4000, 0.0), (4001, None), (4002, float("nan")), (9 * 3600, 0.0), (9 * 3600, -1.0), (9 * 3600, 2.0)]
+    df = spark.createDataFrame(rows, "s long, latency double").withColumn("ts", F.timestamp_seconds("s"))
+    minutes = reports.latency_sketch(df, F.col("ts"), accuracy=accuracy)
+    qs = {f"q{int(q * 1000)}": q for q in (0.001, 0.25, 0.5, 0.95, 0.999, 1.0)}
+    got = reports.sketch_quantiles(reports.merge_sketches(minutes), qs, accuracy).collect()
+    hours = {}
+    for s, v in rows:
+        if v is not None and not math.isnan(v):
+            hours.setdefault(s // 3600, []).append(max(v, 0.0))
+    assert {int(r.window_start.timestamp()) // 3600: r.requests for r in got} == {h: len(v) for h, v in hours.items()}
+    for r in got:
+        values = sorted(hours[int(r.window_start.timestamp()) // 3600])
+        for name, q in qs.items():
+            exact = values[math.ceil(len(values) * q) - 1]
+            assert abs(r[name] - exact) <= accuracy * exact * (1 + 1e-9)
+    # what is shuffled is counts of steps: the latency is gone below the first exchange
+    plan = reports.merge_sketches(minutes)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_") >= 1 and "latency" not in plan.split("HashAggregate")[1]
+    assert reports.sketch_quantiles(reports.merge_sketches(minutes.limit(0)), qs, accuracy).count() == 0
+    with pytest.raises(ValueError, match="accuracy"):
+        reports.latency_sketch(df, F.col("ts"), accuracy=1.5)
+
+
 # ---------------------------------------------------------------- rules, storage and integrity
 
 def test_new_rule_type_can_be_registered(spark):

@@ -1,9 +1,11 @@
 """Streams fed by several files must equal their batch twins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import cache, history
+from plumbline.operators import cache, history, reports
 from plumbline.plans.registry import Inputs
 from plumbline.session import scratch_path
 from plumbline.sources.changes import read_change_feed
@@ -80,6 +82,60 @@ def test_stream_history_of_rows_out_of_order(spark):
     assert {(r.id, r.transition) for r in stream.collect()} == {(r.id, r.transition) for r in batch.collect() if r.id < 40}
 
 
+@pytest.mark.parametrize("slice_seconds", [1, 60, 3600])
+def test_stream_history_of_a_hot_element(spark, slice_seconds):
+    """A third of all rows belongs to one element, rows come shuffled within the delay, nulls are left out."""
+    state.use_rocksdb(spark)
+    rnd = random.Random(5)
+    start = 1_700_000_000
+    rows = [(0 if i % 3 == 0 else rnd.randrange(1, 40), i, start + i + rnd.randrange(240), rnd.random() < 0.5) for i in range(3000)]
+    end = max(s for _, _, s, _ in rows)
+    rows += [(0, None, start + 5, True), (0, 5000, None, True), (0, 5001, start + 6, None), (None, 5002, start + 7, True)]
+    rows.sort(key=lambda r: start if r[1] is None else r[1] + start if r[1] < 5000 else start)
+    path = scratch_path(spark, "hot-history")
+    for i in range(0, len(rows), 800):
+        df = spark.createDataFrame(rows[i:i + 800], "element_id long, id long, s long, is_compliant boolean")
+        df = df.select("element_id", "id", F.timestamp_seconds("s").alias("checked_at"), "is_compliant")
+        df.coalesce(1).write.mode("append").parquet(path)
+    source = read_change_feed(spark, path, df.schema, files_per_trigger=1)
+    got = drained(spark, state.stream_history(source, slice_seconds=slice_seconds)).collect()
+    want, last = set(), {}
+    for element, number, second, ok in sorted((r for r in rows if None not in r[1:]), key=lambda r: (r[2], r[1])):
+        if second < end - 600 and last.get(element) != ok:
+            want.add((element, number, "first" if element not in last else "fixed" if ok else "regressed"))
+        last[element] = ok
+    assert {(r.element_id, r.id, r.transition) for r in got} == want
+    assert len(got) == len(want) and sum(r.element_id == 0 for r in got) > 300
+
+
+def test_bytes_bound_a_micro_batch(spark):
+    rows = Inputs(spark, SF).history
+    path = scratch_path(spark, "bounded")
+    rows.repartition(4).write.parquet(path)
+    source = read_change_feed(spark, path, rows.schema, bytes_per_trigger=1000)
+    out = scratch_path(spark, "out")
+    query = checks.run_available(source, f"{out}/data", f"{out}/checkpoint")
+    assert [p.numInputRows > 0 for p in query.recentProgress].count(True) == 4  # a file at least, no more than the bound
+    assert spark.read.parquet(f"{out}/data").count() == rows.count()
+    with pytest.raises(ValueError, match="not by both"):
+        read_change_feed(spark, SF, rows.schema, files_per_trigger=1, bytes_per_trigger=1000)
+
+
+def test_hours_of_minutes_as_a_stream(spark):
+    """Minutes aggregated to hours and hours to quantiles in one stream: three watermarked aggregations."""
+    requests = Inputs(spark, SF).cache_requests.withColumn("event", F.col("ts").cast("timestamp"))
+    stream = feed(spark, requests, ["ts"], parts=4).withWatermark("event", "10 minutes")
+
+    def told(df):
+        return reports.sketch_quantiles(reports.merge_sketches(reports.latency_sketch(df, F.col("event"))), {"p95": 0.95})
+
+    batch = {r.window_start: (r.requests, r.p95) for r in told(requests).collect()}
+    got = {r.window_start: (r.requests, r.p95) for r in drained(spark, told(stream)).collect()}
+    assert got and got.items() <= batch.items()
+    last = max(r.event for r in requests.select("event").collect())
+    assert set(batch) - set(got) <= {h for h in batch if (last - h).total_seconds() < 3600 + 600 + 1}
+
+
 def test_late_requests_are_dropped(spark):
     rows = [(i, 1_700_000_000 + 60 * i) for i in range(120)]
     late = [(1000, 1_700_000_000)]
