@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators.enrich import cell_size
 from plumbline.session import cut_lineage
@@ -78,6 +79,66 @@ def containment_closure(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def containment_intervals(edges: DataFrame) -> DataFrame:
+    """Nested-set labels of the CONTAINS forest: ``id, parent, level, first, last``.
+
+    ``first`` numbers the nodes from 0, every node before what it holds and siblings by id; ``first`` to ``last`` are a node and all below it,
+    so a subtree is a range of ``first`` (see ``below``).  ``parent`` is null and ``level`` 0 at the top.  Repeated
+    edges count once, edges with a null end are left out; a node below itself or with two parents is an error.
+
+    Way up by doubling: each round joins what a node knows of its way to what the end of that way knows, so
+    there are as many rounds as the depth has binary digits.  Rows hold their way, together as large as the closure.
+    """
+    up = cut_lineage(edges.filter("rel = 'CONTAINS' AND src IS NOT NULL AND dst IS NOT NULL").select(
+        F.col("dst").alias("id"), F.col("src").alias("end")
+    ).distinct())
+    if not up.groupBy("id").count().filter("count > 1").isEmpty():
+        raise ValueError("a node hangs on two parents")
+    tops = up.select(F.col("end").alias("id")).distinct().join(up, "id", "left_anti").withColumn("end", F.lit(None).cast("string"))
+    ways = cut_lineage(up.unionByName(tops).withColumn("way", F.array("id")))
+    while not ways.filter("end IS NOT NULL").isEmpty():
+        if not ways.filter("array_contains(way, end)").isEmpty():
+            raise ValueError("a node contains itself")
+        above = ways.select(F.col("id").alias("end"), F.col("end").alias("_end"), F.col("way").alias("_way"))
+        longer = ways.filter("end IS NOT NULL").join(above, "end").select(
+            "id", F.col("_end").alias("end"), F.concat("_way", "way").alias("way")
+        )
+        ways = cut_lineage(ways.filter("end IS NULL").unionByName(longer))
+
+    # ways in order are nodes in order; row numbers of range partitions are moved by what lies before the partition
+    placed = cut_lineage(ways.select("id", "way").repartitionByRange("way").sortWithinPartitions("way").withColumn(
+        "_at", F.monotonically_increasing_id()
+    )).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    sizes = ways.select(F.explode("way").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_size"))
+    first = F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.join(offsets, "_part").join(sizes, "id").select(
+        "id", F.get("way", F.size("way") - 2).alias("parent"), (F.size("way") - 1).alias("level"),
+        first.alias("first"), (first + F.col("_size") - 1).alias("last"),
+    )
+
+
+def below(labels: DataFrame, holders: DataFrame, piece: int = 4096) -> DataFrame:
+    """``ancestor, descendant, depth`` of all nodes below ``holders(id)``, by their labels.
+
+    Ranges are told as the numbers in them, one row a result, which meet the nodes by number: an equi join without
+    a hot key or a candidate in vain, and one shuffle of nodes whatever their depth.  A range is dealt in
+    pieces, so no task tells a large one alone.
+    """
+    ranges = holders.select("id").distinct().join(labels, "id").filter("last > first")
+    pieces = ranges.select(
+        F.col("id").alias("ancestor"), F.col("level").alias("_level"), "last",
+        F.explode(F.sequence(F.col("first") + 1, F.col("last"), F.lit(piece).cast("long"))).alias("_from"),
+    ).repartition("_from", "ancestor")
+    numbers = pieces.select("ancestor", "_level", F.explode(
+        F.sequence("_from", F.least(F.col("_from") + piece - 1, "last"))
+    ).alias("first"))
+    nodes = labels.select("first", F.col("id").alias("descendant"), "level")
+    return numbers.join(nodes, "first").select("ancestor", "descendant", (F.col("level") - F.col("_level")).alias("depth"))
+
+
 def containment_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, kind, room, floor, building`` of each element; null where it hangs on none, as on a floor."""
     up = edges.filter("rel = 'CONTAINS'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import graph
 from plumbline.plans.registry import Inputs, query
+from plumbline.session import cut_lineage
 
 
 def _graph(t: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +48,32 @@ def containment_closure(t: Inputs) -> DataFrame:
     return graph.containment_closure(_graph(t)[1])
 
 
+@query("containment_intervals", """
+    WITH RECURSIVE w AS (
+        SELECT DISTINCT src AS id, CAST(NULL AS VARCHAR) AS parent, [src] AS way FROM {contains} WHERE src NOT IN (SELECT dst FROM {contains})
+        UNION ALL SELECT e.dst, e.src, list_append(w.way, e.dst) FROM w JOIN {contains} e ON e.src = w.id
+    ), s AS (
+        SELECT id, count(*) AS size FROM (SELECT unnest(way) AS id FROM w) GROUP BY id
+    )
+    SELECT id, parent, CAST(len(way) - 1 AS INT) AS level, row_number() OVER (ORDER BY way) - 1 AS first,
+           row_number() OVER (ORDER BY way) + size - 2 AS last
+    FROM w JOIN s USING (id)
+""")
+def containment_intervals(t: Inputs) -> DataFrame:
+    return graph.containment_intervals(_graph(t)[1])
+
+
+@query("below_by_interval", """
+    WITH RECURSIVE c AS (
+        SELECT src AS ancestor, dst AS descendant, 1 AS depth FROM {contains}
+        UNION ALL SELECT c.ancestor, e.dst, c.depth + 1 FROM c JOIN {contains} e ON e.src = c.descendant
+    ) SELECT ancestor, descendant, depth FROM c
+""")
+def below_by_interval(t: Inputs) -> DataFrame:
+    labels = cut_lineage(graph.containment_intervals(_graph(t)[1]))
+    return graph.below(labels, labels)
+
+
 @query("containment_path", """
     SELECT d.id, d.kind, r.id AS room, f.id AS floor, coalesce(f.parent, b.id) AS building
     FROM {hung} d LEFT JOIN {graph_rooms} r ON r.id = d.parent LEFT JOIN {floors} f ON f.id = coalesce(r.parent, d.parent)

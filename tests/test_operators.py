@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from plumbline.operators import cache, enrich, graph, history, integrity, persist, reports, retrieval, rules
 from plumbline.plans.registry import Inputs
-from plumbline.session import scratch_path
+from plumbline.session import cut_lineage, scratch_path
 from plumbline.sources import documents, tables
 
 
@@ -183,6 +183,63 @@ def test_merged_sketches_keep_their_error_bound(spark, accuracy):
         reports.latency_sketch(df, F.col("ts"), accuracy=1.5)
 
 
+def contains(spark, pairs):
+    return spark.createDataFrame([(a, b, "CONTAINS") for a, b in pairs] + [("x", "y", "CONNECTS_TO")], "src string, dst string, rel string")
+
+
+def test_intervals_and_what_lies_below(spark):
+    """Random forest with one holder of a third of all nodes, a repeated edge and null ends."""
+    rnd = random.Random(8)
+    parent = {f"n{i}": "n0" if i % 3 == 0 else f"n{rnd.randrange(i)}" for i in range(1, 300) if i % 50}
+    pairs = [*parent.items()]
+    edges = contains(spark, [(p, c) for c, p in pairs] + [("n0", "n3"), (None, "n5"), ("n5", None)])
+
+    def ancestors(node):
+        while node in parent:
+            node = parent[node]
+            yield node
+
+    nodes = set(parent) | set(parent.values())
+    labels = graph.containment_intervals(edges).cache()
+    got = {r.id: r for r in labels.collect()}
+    assert set(got) == nodes and sorted(r.first for r in got.values()) == list(range(len(nodes)))
+    ways = sorted((list(ancestors(n))[::-1] + [n], n) for n in nodes)
+    assert [n for _, n in ways] == sorted(nodes, key=lambda n: got[n].first)
+    want = {(a, n, d) for n in nodes for d, a in enumerate(ancestors(n), 1)}
+    for n in nodes:
+        assert (got[n].parent, got[n].level) == (parent.get(n), len(list(ancestors(n))))
+        assert got[n].last - got[n].first == sum(a == n for a, _, _ in want)
+    for piece in (1, 7, 4096):
+        rows = graph.below(labels, labels, piece).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    one = graph.below(labels, spark.createDataFrame([("n0",), ("n0",), ("none",), (None,)], "id string")).collect()
+    assert {tuple(r) for r in one} == {w for w in want if w[0] == "n0"} and len(one) == len(set(one))
+    assert {tuple(r) for r in graph.containment_closure(contains(spark, [(p, c) for c, p in pairs])).collect()} == want
+
+
+def test_intervals_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    labels = graph.containment_intervals(contains(spark, [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)]))
+    got = sorted(labels.collect(), key=lambda r: r.first)
+    assert [(r.id, r.level, r.last) for r in got] == [(f"c{i:03}", i, 200) for i in range(201)]
+    assert len(cuts) == 3 + 8  # edges, first ways and order, and a round for each binary digit of 200
+
+
+@pytest.mark.parametrize("pairs, error", [
+    ([("a", "a")], "contains itself"), ([("r", "s"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "contains itself"),
+    ([("a", "c"), ("b", "c")], "two parents"),
+])
+def test_intervals_refuse_what_is_no_forest(spark, pairs, error):
+    with pytest.raises(ValueError, match=error):
+        graph.containment_intervals(contains(spark, pairs))
+
+
+def test_intervals_of_nothing(spark):
+    labels = graph.containment_intervals(contains(spark, []))
+    assert labels.count() == 0 and graph.below(labels, labels).count() == 0
+
+
 # ---------------------------------------------------------------- rules, storage and integrity
 
 def test_new_rule_type_can_be_registered(spark):
