@@ -131,16 +131,16 @@ class _HistoryProcessor(StatefulProcessor):
         if not due:
             return
         last = bool(self.last.get()[0]) if self.last.exists() else None
+        done = []
         for part in due:
             entries = [(part, entry) for entry in range(slices.pop(part)[0])]
             rows = np.concatenate([np.frombuffer(bytes(self.waiting.getValue(entry)[0]), _ROW) for entry in entries])
-            for entry in entries:
-                self.waiting.removeKey(entry)
             passed = rows["t"] // 1000 + 1 <= told
             later = rows[~passed]
             if len(later):
                 self.waiting.updateValue((part, 0), (later.tobytes(),))
                 slices[part] = (1, int(later["t"].min()))
+            done += entries[1:] if len(later) else entries
             ready = np.sort(rows[passed], order=["t", "id"])
             ok = ready["ok"]
             before = np.concatenate([[not ok[0] if last is None else last], ok[:-1]])
@@ -156,9 +156,12 @@ class _HistoryProcessor(StatefulProcessor):
                 })
         self.last.update((last,))
         if slices:
+            for entry in done:
+                self.waiting.removeKey(entry)
             self._keep(slices)
             self.handle.registerTimer(min(first for _, first in slices.values()) // 1000 + 1)
         else:
+            self.waiting.clear()
             self.index.clear()
 
     def close(self) -> None:
