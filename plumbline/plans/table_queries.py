@@ -198,8 +198,7 @@ def health_rollup(t: Inputs) -> DataFrame:
     LEFT JOIN {rules} r ON r.rule_id = v.rule_id
 """)
 def resolve_rule_keys(t: Inputs) -> DataFrame:
-    placed = t.placed()
-    found = rules.all_violations(placed, t.records(placed), rules.active_rules(t.rules, language=None))
+    found = rules.all_violations(t.placed(), t.records(t.project_elements), rules.active_rules(t.rules, language=None))
     return enrich.with_rule_keys(found.select("element_id", "rule_id"), t.rules).withColumn("resolved", F.col("rule_key").isNotNull())
 
 
