@@ -74,15 +74,20 @@ def stream_result_cache(requests: DataFrame, ttl: int = DEFAULT_TTL, delay: str
 
 
 _ROW = np.dtype([("t", "<i8"), ("id", "<i8"), ("ok", "?")])  # a waiting row, packed
-_SLICE = np.dtype([("slice", "<i8"), ("entries", "<i8"), ("first", "<i8")])  # a slice with waiting rows, packed
+_ENTRY = np.dtype([("entry", "<i8"), ("first", "<i8")])  # an entry of waiting rows and its earliest time, packed
+# Rows from which an entry is full: a frame's rows are cut at the next slice.
+ENTRY_ROWS = 512
+# Rows from which waiting entries are merged while they are told.
+MERGED_ROWS = 65536
 
 
 class _HistoryProcessor(StatefulProcessor):
     """Holds rows until the watermark has passed them, then labels them in time order.
 
-    Waiting rows lie in the slice of their time, one packed entry for each frame that brought some, so rows are only
-    appended and a slice is only read when the watermark has reached it: memory is a frame or a slice of one key,
-    and an index of three numbers for each slice.
+    The rows of a frame wait sorted, in packed entries of as many time slices as fill one, so state calls follow the number of keys and of
+    full entries and not that of slices.  Entries are told in the order of their earliest rows, and what no later entry can
+    precede leaves at once: memory is a frame, or the entries of one key that overlap at one time (one for each frame), and an index
+    of two numbers for each entry.
     """
 
     def __init__(self, slice_ms: int):
@@ -91,57 +96,79 @@ class _HistoryProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "compliant boolean")
-        self.index = handle.getValueState("index", "slices binary")
-        self.waiting = handle.getMapState("waiting", "slice long, entry long", "rows binary")
+        self.index = handle.getValueState("index", "entries binary")
+        self.waiting = handle.getMapState("waiting", "entry long", "rows binary")
 
-    def _slices(self) -> dict[int, tuple[int, int]]:
-        packed = bytes(self.index.get()[0]) if self.index.exists() else b""
-        return {part: (entries, first) for part, entries, first in np.frombuffer(packed, _SLICE).tolist()}
+    def _entries(self) -> dict[int, int]:
+        held = self.index.get()
+        return dict(np.frombuffer(bytes(held[0]), _ENTRY).tolist()) if held else {}
 
-    def _keep(self, slices: dict[int, tuple[int, int]]) -> None:
-        self.index.update((np.array([(part, *rest) for part, rest in slices.items()], _SLICE).tobytes(),))
+    def _keep(self, entries: dict[int, int]) -> None:
+        self.index.update((np.array(list(entries.items()), _ENTRY).tobytes(),))
+
+    def _groups(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Sorted rows, cut where a slice begins and the rows before it fill an entry."""
+        cuts = []
+        for begin in (np.flatnonzero(np.diff(rows["t"] // 1000 // self.slice_ms)) + 1).tolist():
+            if begin - (cuts[-1] if cuts else 0) >= ENTRY_ROWS:
+                cuts.append(begin)
+        return [group for group in np.split(rows, cuts) if len(group)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         told = timerValues.getCurrentWatermarkInMs()
-        slices = self._slices()
-        due = min((first for _, first in slices.values()), default=None)
+        entries = self._entries()
+        due = min(entries.values(), default=None)
+        number = max(entries, default=-1) + 1
         for frame in rows:
             found = np.empty(len(frame), _ROW)
             found["t"], found["id"], found["ok"] = frame["t"], frame["id"], frame["is_compliant"]
             found = found[found["t"] // 1000 + 1 > told]
             found.sort(order="t")
-            parts, begins = np.unique(found["t"] // 1000 // self.slice_ms, return_index=True)
-            for part, held in zip(parts.tolist(), np.split(found, begins[1:])):
-                first = int(held["t"][0])
-                entries, before = slices.get(part, (0, first))
-                self.waiting.updateValue((part, entries), (held.tobytes(),))
-                slices[part] = (entries + 1, min(first, before))
-        if slices:
-            self._keep(slices)
-            earliest = min(first for _, first in slices.values())
+            for held in self._groups(found):
+                self.waiting.updateValue((number,), (held.tobytes(),))
+                entries[number] = int(held["t"][0])
+                number += 1
+        if entries:
+            self._keep(entries)
+            earliest = min(entries.values())
             if due is None or earliest < due:
                 self.handle.registerTimer(earliest // 1000 + 1)
         return iter([])
 
+    def _passed(self, entries: dict[int, int], told: int) -> Iterator[np.ndarray]:
+        """Waiting rows that the watermark has passed, in time order; takes them out of the state and of ``entries``."""
+        due = sorted((first, entry) for entry, first in entries.items() if first // 1000 + 1 <= told)
+        held: list[np.ndarray] = []
+        size, limit = 0, MERGED_ROWS
+        for at, (_, entry) in enumerate(due):
+            rows = np.frombuffer(bytes(self.waiting.getValue((entry,))[0]), _ROW)
+            passed = rows["t"] // 1000 + 1 <= told
+            later = rows[~passed]
+            del entries[entry]
+            if len(later):
+                self.waiting.updateValue((entry,), (later.tobytes(),))
+                entries[entry] = int(later["t"].min())
+            held.append(rows[passed])
+            size += len(held[-1])
+            final = at + 1 == len(due)
+            if final or size >= limit:
+                merged = np.sort(np.concatenate(held), order=["t", "id"])
+                cut = len(merged) if final else int(np.searchsorted(merged["t"], due[at + 1][0]))
+                if cut:
+                    yield merged[:cut]
+                held, size = [merged[cut:]], len(merged) - cut
+                limit = max(MERGED_ROWS, 2 * size)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # a timer set before an earlier row came finds its rows told already
         told = timerValues.getCurrentWatermarkInMs()
-        slices = self._slices()
-        due = sorted(part for part, (_, first) in slices.items() if first // 1000 + 1 <= told)
-        if not due:
+        entries = self._entries()
+        before_told = set(entries)
+        if not any(first // 1000 + 1 <= told for first in entries.values()):
             return
-        last = bool(self.last.get()[0]) if self.last.exists() else None
-        done = []
-        for part in due:
-            entries = [(part, entry) for entry in range(slices.pop(part)[0])]
-            rows = np.concatenate([np.frombuffer(bytes(self.waiting.getValue(entry)[0]), _ROW) for entry in entries])
-            passed = rows["t"] // 1000 + 1 <= told
-            later = rows[~passed]
-            if len(later):
-                self.waiting.updateValue((part, 0), (later.tobytes(),))
-                slices[part] = (1, int(later["t"].min()))
-            done += entries[1:] if len(later) else entries
-            ready = np.sort(rows[passed], order=["t", "id"])
+        known = self.last.get()
+        last = bool(known[0]) if known else None
+        for ready in self._passed(entries, told):
             ok = ready["ok"]
             before = np.concatenate([[not ok[0] if last is None else last], ok[:-1]])
             transition = np.where(ok, "fixed", "regressed").astype(object)
@@ -155,11 +182,11 @@ class _HistoryProcessor(StatefulProcessor):
                     "id": ready["id"][changed], "t": ready["t"][changed], "transition": transition[changed],
                 })
         self.last.update((last,))
-        if slices:
-            for entry in done:
-                self.waiting.removeKey(entry)
-            self._keep(slices)
-            self.handle.registerTimer(min(first for _, first in slices.values()) // 1000 + 1)
+        if entries:
+            for entry in before_told - set(entries):
+                self.waiting.removeKey((entry,))
+            self._keep(entries)
+            self.handle.registerTimer(min(entries.values()) // 1000 + 1)
         else:
             self.waiting.clear()
             self.index.clear()
@@ -173,8 +200,8 @@ def stream_history(checks: DataFrame, delay: str = WATERMARK, slice_seconds: int
     ``compliance_history`` without its ``same`` rows.
 
     A change is told once the watermark has passed it, so rows may come in any order within ``delay``; rows later
-    than that are dropped and change nothing that was told.  Waiting rows are kept by time slices of
-    ``slice_seconds``: a task holds one slice of one element, however many rows the element has.  Checks
+    than that are dropped and change nothing that was told.  Waiting rows lie in entries of some hundred rows, cut where a time slice of
+    ``slice_seconds`` begins: a task holds, for each frame that brought rows of an element, one entry at a time.  Checks
     without a time, an id or an outcome are left out.
     """
     whole = checks.dropna(subset=["checked_at", "id", "is_compliant"])
