@@ -35,6 +35,8 @@ DIMENSION = 1536
 SCORE_DIGITS = 6
 # Rows of one side of a block of ``block_search``.
 BLOCK_ROWS = 16384
+# Pairs of a block whose scores are held at a time.
+TILE_PAIRS = 1 << 20
 # ``fit_probing``: the share of exact results that a sample of queries must find.
 RECALL = 0.92
 SAMPLE_QUERIES = 200
@@ -214,23 +216,29 @@ def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
+def _tiles(queries: int, chunks: int) -> Iterator[slice]:
+    """Parts of a block's queries, so that a part meets at most ``TILE_PAIRS`` chunks, and one query at least."""
+    step = min(256, max(1, TILE_PAIRS // max(chunks, 1)))
+    return (slice(at, at + step) for at in range(0, queries, step))
+
+
 def _best(q_ids: pd.Series, q: np.ndarray, chunks: pa.Table, k: int, min_score: float, skip_self: bool) -> pd.DataFrame:
     """Top k chunks of a block per query, ties by chunk id.  ``q`` has unit rows."""
     c_ids, c = chunks["chunk_id"].to_pandas(), _matrix(chunks["embedding"])
     found = []
-    for at in range(0, len(q), 256):
+    for tile in _tiles(len(q), len(c)):
         with np.errstate(invalid="ignore"):
-            scores = np.round(q[at:at + 256] @ c.T, SCORE_DIGITS)
+            scores = np.round(q[tile] @ c.T, SCORE_DIGITS)
         scores[np.isnan(scores)] = -np.inf
         if skip_self:
-            scores[q_ids.to_numpy()[at:at + 256, None] == c_ids.to_numpy()[None, :]] = -np.inf
+            scores[q_ids.to_numpy()[tile, None] == c_ids.to_numpy()[None, :]] = -np.inf
         least = np.full(len(scores), float(min_score))
         if scores.shape[1] > k:
             # all ties of the k-th score stay until ids decide
             least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
         row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
         found.append(_cut(pd.DataFrame({
-            "query_id": q_ids.iloc[at + row].to_numpy(), "chunk_id": c_ids.iloc[col].to_numpy(),
+            "query_id": q_ids.iloc[tile.start + row].to_numpy(), "chunk_id": c_ids.iloc[col].to_numpy(),
             "score": scores[row, col],
         }), k))
     return pd.concat(found, ignore_index=True)
