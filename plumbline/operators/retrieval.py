@@ -411,8 +411,8 @@ def _cells(df: DataFrame, bits: Column, share: float | None) -> DataFrame:
     @F.pandas_udf("array<long>")
     def codes(vectors: pd.Series, widths: pd.Series) -> pd.Series:
         width = int(widths.iloc[0]) if len(widths) else 0
-        if not width:
-            return pd.Series([[0]] * len(vectors))
+        if not width or share is not None and math.ceil(share * 2**width) == 2**width:  # all cells, in no order
+            return pd.Series([list(range(2**width))] * len(vectors))
         rows = np.stack(vectors.to_numpy()).astype("float64")
         margins = rows @ _planes(width, rows.shape[1])
         if share is None:
@@ -422,31 +422,60 @@ def _cells(df: DataFrame, bits: Column, share: float | None) -> DataFrame:
     return df.withColumn("_bits", bits).select(*df.columns, F.explode(codes("embedding", "_bits")).alias("_cell"))
 
 
+def _nearest(margins: np.ndarray, sides: np.ndarray, out: np.ndarray, take: int) -> np.ndarray:
+    """Mask of the ``take`` codes nearest to each query, ties at the cut included; ``out`` tells pairs that take no part.
+
+    The sum of a query's margins, each with the sign of the chunk's side, is the higher, the less lies between the query and the code.  It is made in single precision;
+    what lies so near to the cut that this could decide is summed again in double precision.
+    """
+    near = margins.astype("float32") @ sides.T
+    near[out] = -np.inf
+    n = near.shape[1]
+    if take >= n:
+        return near > -np.inf
+    cut = np.partition(near, n - take, axis=1)[:, n - take, None]
+    # bound of the rounding errors of a sum in single precision, and of the rounded digits
+    doubt = 2 * ((margins.shape[1] + 2) * 2.0**-24 * np.abs(margins).sum(axis=1) + 10.0**-SCORE_DIGITS)[:, None].astype("float32")
+    mask = near > cut + doubt
+    row, col = np.divmod(np.flatnonzero((near >= cut - doubt) & ~mask & (near > -np.inf)), n)
+    exact = np.round(np.einsum("ij,ij->i", margins[row], sides[col].astype("float64")), SCORE_DIGITS)
+    missing = take - mask.sum(axis=1)  # of the doubtful ones, with ties
+    order = np.lexsort((-exact, row))
+    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    least = np.full(len(margins), -np.inf)
+    at_cut = place == missing[row[order]] - 1
+    least[row[order][at_cut]] = exact[order][at_cut]
+    mask[row, col] = exact >= least[row]
+    return mask
+
+
 def _probed(q_ids: pd.Series, q: np.ndarray, chunks: pa.Table, k: int, min_score: float, skip_self: bool, probing: Probing) -> pd.DataFrame:
     """``_best`` among the chunks of a block whose codes lie nearest to the query; ties at the cut stay."""
     c_ids, c = chunks["chunk_id"].to_pandas(), _matrix(chunks["embedding"])
     dim, n = c.shape[1], len(c)
     planes = _planes(probing.planes, dim)
-    sides = np.where(c @ planes >= 0, 1.0, -1.0)
+    sides = np.where(c @ planes >= 0, np.float32(1.0), np.float32(-1.0))
     take = min(n, math.ceil(probing.scored * n))
+    broken, nothing = np.isnan(c).any(axis=1), np.isnan(q).any(axis=1)
+    c, q = np.where(broken[:, None], 0.0, c), np.where(nothing[:, None], 0.0, q)
     found = []
-    for at in range(0, len(q), 256):
-        part = q[at:at + 256]
-        # The higher, the less lies between the query and the code.
-        near = np.round((part @ planes) @ sides.T, SCORE_DIGITS)
-        near[np.isnan(near)] = -np.inf
-        near[:, np.isnan(c).any(axis=1)] = -np.inf
+    for tile in _tiles(len(q), n):
+        part = q[tile]
+        out = nothing[tile, None] | broken[None, :]
         if skip_self:
-            near[q_ids.to_numpy()[at:at + 256, None] == c_ids.to_numpy()[None, :]] = -np.inf
-        least = np.partition(near, n - take, axis=1)[:, n - take] if take < n else np.full(len(part), -np.inf)
-        row, col = np.nonzero((near >= least[:, None]) & (near > -np.inf))
-        scores = np.empty(len(row))
-        for i in range(0, len(row), 1 << 16):  # bounded copies of vectors
-            scores[i:i + (1 << 16)] = np.einsum("ij,ij->i", part[row[i:i + (1 << 16)]], c[col[i:i + (1 << 16)]])
-        scores = np.round(scores, SCORE_DIGITS)
-        good = scores >= min_score
+            out = out | (q_ids.to_numpy()[tile, None] == c_ids.to_numpy()[None, :])
+        scores = part @ c.T
+        mask = _nearest(part @ planes, sides, out, take)
+        row, col = np.divmod(np.flatnonzero(mask & (scores >= min_score - 10.0**-SCORE_DIGITS)), n)
+        scores = np.round(scores[row, col], SCORE_DIGITS)
+        # k for each query, with the ties that ids decide
+        order = np.lexsort((-scores, row))
+        begin = np.searchsorted(row[order], np.arange(len(part) + 1))
+        last = np.minimum(begin[:-1] + k, begin[1:]) - 1
+        least = np.where(last >= begin[:-1], scores[order][np.maximum(last, 0)] if len(order) else np.inf, np.inf)
+        good = (scores >= min_score) & (scores >= least[row])
         found.append(_cut(pd.DataFrame({
-            "query_id": q_ids.iloc[at + row[good]].to_numpy(), "chunk_id": c_ids.iloc[col[good]].to_numpy(), "score": scores[good],
+            "query_id": q_ids.iloc[tile.start + row[good]].to_numpy(), "chunk_id": c_ids.iloc[col[good]].to_numpy(), "score": scores[good],
         }), k))
     return pd.concat(found, ignore_index=True)
 
