@@ -8,8 +8,8 @@ left of the set is split by the first place where it differs, each part getting
 first value not taken is the threshold of the inclusion scores ``1 - exp(-exp(log p - threshold))``.
 
 Pieces never cross the start of a word (a run of spaces and what follows), so a text's lattice is a chain of word lattices;
-each different word's lattice is built once a batch, all at once, and its states are normalised from the end, so a draw walks
-forward without a dead end.  The weights of pieces follow their rank in the vocabulary (``-POWER * log(rank + RANK_SHIFT)``).  Draws
+what is left of a word from some character on is one state however many words of a batch end so, a worker keeps the words it has
+met from batch to batch (up to ``MOST_STATES`` states), and states are normalised from the end, so a draw walks forward without a dead end.  The weights of pieces follow their rank in the vocabulary (``-POWER * log(rank + RANK_SHIFT)``).  Draws
 are hashes of the row's key, so they do not depend on partitions or retries.
 
 Whole texts, one narrow pass.  Defined cases: a null or empty text has no pieces, one segmentation (the empty one) and decodes to the
@@ -21,7 +21,9 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 POWER, RANK_SHIFT = 1.0, 2.7
 SPACE = "▁"
-CHUNK_CHARS = 1 << 19
+MARK = SPACE.encode()
+CHUNK_CHARS = 1 << 20
+USUAL = 64  # characters with a table of steps
+MOST_STATES = 1_000_000  # lattice states a worker keeps from batch to batch
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -75,6 +80,14 @@ class Vocabulary:
             self.of_byte[b[0]] = i
         self.weight = -POWER * np.log(np.arange(size) + RANK_SHIFT)
         self.characters, self.steps, self.nodes, self.ends = trie_of(pieces)
+        # Steps by the characters that most steps have are in a table, a row a node; the others are searched for.
+        by, of = self.steps % len(self.characters), self.steps // len(self.characters)
+        usual = np.argsort(-np.bincount(by, minlength=len(self.characters)), kind="stable")[:USUAL]
+        self.column = np.full(len(self.characters) + 1, -1, np.int32)  # the last is for characters in no piece
+        self.column[usual] = np.arange(len(usual))
+        self.table = np.full(len(self.ends) * USUAL, -1, np.int32)
+        on = self.column[by] >= 0
+        self.table[of[on] * USUAL + self.column[by[on]]] = self.nodes[on]
         spelling = [b""] * size
         for i, b in bytewise.items():
             spelling[i] = b
@@ -84,89 +97,143 @@ class Vocabulary:
         self.length = np.array([len(b) for b in spelling], np.int64)
         self.begin = np.cumsum(self.length) - self.length
 
+    def step(self, node: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Nodes reached from nodes by characters, -1 for none."""
+        column = self.column[number]
+        reached = self.table[node * USUAL + column]  # a row of the table ends before the next: -1 reads some other node's, set right below
+        rare = np.flatnonzero(column < 0)
+        key = node[rare] * len(self.characters) + number[rare]
+        at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+        reached[rare] = np.where((self.steps[at] == key) & (number[rare] >= 0), self.nodes[at], -1)
+        return reached
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """UTF-8 bytes of the pieces in turn, marks in place of spaces."""
         return self.letters[spread(self.begin[ids], self.length[ids])]
 
+    def spells(self, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether the pieces of each text (``counts`` of ``ids``, one at least) spell it."""
+        made = self.decode_bytes(ids).tobytes()
+        ends = np.cumsum(np.add.reduceat(self.length[ids], np.cumsum(counts) - counts))
+        cuts = itertools.pairwise([0, *ends.tolist()])
+        return np.array([made[a:b] == text for (a, b), text in zip(cuts, texts, strict=True)], bool)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids."""
         return self.decode_bytes(ids).tobytes().decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
 class Lattices:
-    """The lattices of different words, in flat arrays.
+    """The lattices of different words, in flat arrays that grow as words are added.
 
-    A state is a character position of a word.  State s has the edges ``first[s] : first[s + 1]``; ``running`` is the
-    running chance of a state's edges; ``others`` is the chance of the state's other edges.  A character without a piece has an edge that spells it in bytes (``spelt`` of the edge, else -1).
+    A state is what is left of a word from some character on; words that end alike share the states of what they share.  State s
+    has the character ``number[s]``, is followed by the state ``rest[s]`` (-1 at the word's end) and has the edges ``first[s] : first[s + 1]``;
+    ``running`` is the running chance of a state's edges, ``log`` the logarithm of an edge's chance, ``others`` the chance of the state's other edges.
+    A character without a piece has an edge that spells it in bytes (``spelt`` of the edge, else -1).
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+    def __init__(self, vocabulary: Vocabulary, words: list[str] | None = None):
         self.vocabulary = vocabulary
+        self.spellings: list[np.ndarray] = []
+        self.held: dict[str, np.ndarray] = {}
+        none, real = np.zeros(0, np.int32), np.zeros(0)
+        self.grow(start=np.zeros(0, np.int64), first=np.zeros(1, np.int64), number=np.zeros(0, np.int64), rest=none, mass=real,
+                  piece=none, next_state=none, chance=real, log=real, running=real, others=real)
+        self.add(words or [])
+
+    def grow(self, **columns: np.ndarray) -> None:
+        """Appends to arrays, which have room for more."""
+        for name, values in columns.items():
+            have = len(getattr(self, name, ()))
+            room = self.held.get(name)
+            if room is None or have + len(values) > len(room):
+                room = np.empty(max(2 * have, have + len(values), 1024), values.dtype)
+                room[:have] = getattr(self, name, ())
+                self.held[name] = room
+            room[have:have + len(values)] = values
+            setattr(self, name, room[:have + len(values)])
+
+    def add(self, words: list[str]) -> None:
+        """Appends words, which get the next numbers.  States are shared among the words of a call."""
+        if not words:
+            return
+        old = len(self.rest)
         sizes = np.array([len(w) for w in words], np.int64)
-        self.start = np.cumsum(sizes) - sizes
-        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        n = len(text)
-        end = np.repeat(self.start + sizes, sizes)
-        place = np.minimum(np.searchsorted(vocabulary.characters, text), len(vocabulary.characters) - 1)
-        number = np.where(vocabulary.characters[place] == text, place, -1)
-        # All pieces that start at each position, by walking the prefix tree from all positions at once.
-        at, node, depth = np.arange(n, dtype=np.int32), np.zeros(n, np.int64), 0
-        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
+        turn = np.argsort(left.astype(np.uint16) if int(sizes.max()) < 1 << 16 else left, kind="stable")
+        levels = np.split(turn, np.flatnonzero(np.diff(left[turn])) + 1)
+        # Ends of one character, then of two, and so on: a state is a character and the state that follows.
+        state, made, ends = np.full(len(text) + 1, -1, np.int64), [], [0]
+        for level in levels:
+            ahead = state[level + 1] if len(made) else np.full(len(level), -1, np.int64)
+            coded = pa.array(((ahead + 1) << 21) | text[level]).dictionary_encode()
+            made.append(coded.dictionary.to_numpy())
+            state[level] = coded.indices.to_numpy() + ends[-1]
+            ends.append(ends[-1] + len(made[-1]))
+        key = np.concatenate(made)
+        rest = (key >> 21) - 1
+        self.grow(start=old + state[np.cumsum(sizes) - sizes])
+        self.link(old, key & ((1 << 21) - 1), np.where(rest >= 0, rest + old, -1).astype(np.int32), ends)
+
+    def link(self, old: int, letters: np.ndarray, rest: np.ndarray, ends: list[int]) -> None:
+        """Edges and chances of the states from ``old`` on, given their characters, next states and where each length ends."""
+        vocabulary = self.vocabulary
+        n = len(letters)
+        place = np.minimum(np.searchsorted(vocabulary.characters, letters), len(vocabulary.characters) - 1)
+        self.grow(number=np.where(vocabulary.characters[place] == letters, place, -1), rest=rest, mass=np.zeros(n))
+        # All pieces that start at each state, by walking the prefix tree from all of them at once.
+        at, node = np.arange(n, dtype=np.int32), np.zeros(n, np.int64)
+        ahead = at + np.int32(old)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         counts = np.zeros(n, np.int32)
         while len(at):
-            key = node * len(vocabulary.characters) + number[at + depth]
-            step = np.minimum(np.searchsorted(vocabulary.steps, key), len(vocabulary.steps) - 1)
-            on = (vocabulary.steps[step] == key) & (number[at + depth] >= 0)
-            at, node = at[on], vocabulary.nodes[step[on]]
-            depth += 1
+            node = vocabulary.step(node, self.number[ahead])
+            on = np.flatnonzero(node >= 0)
+            at, ahead, node = at[on], self.rest[ahead[on]], node[on]
             piece = vocabulary.ends[node]
-            whole = piece >= 0
-            found.append((at[whole], piece[whole], depth))
+            whole = np.flatnonzero(piece >= 0)
+            found.append((at[whole], piece[whole], ahead[whole]))
             counts[found[-1][0]] += 1
-            going = at + depth < end[at]
-            at, node = at[going], node[going]
+            going = np.flatnonzero(ahead >= 0)
+            at, ahead, node = at[going], ahead[going], node[going].astype(np.int64)
         bare = np.ones(n, bool)
-        if found:
-            bare[found[0][0]] = False
+        bare[found[0][0]] = False
         bare = np.flatnonzero(bare).astype(np.int32)
-        self.spellings = [vocabulary.of_byte[np.frombuffer(chr(c).encode(errors="replace"), np.uint8)] for c in text[bare].tolist()]
+        odd_pieces = -1 - len(self.spellings) - np.arange(len(bare))
+        self.spellings += [vocabulary.of_byte[np.frombuffer(chr(c).encode(errors="replace"), np.uint8)] for c in letters[bare].tolist()]
         counts[bare] += 1
-        found.insert(0, (bare, -1 - np.arange(len(bare)), 1))
-        # A position has one piece of a length at most: each length fills the next free place of its positions.
-        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-        free, total = self.first[:-1].copy(), int(self.first[-1])
-        self.piece, target = np.empty(total, np.int32), np.empty(total, np.int32)
-        for at, piece, depth in found:
+        found.insert(0, (bare, odd_pieces, rest[bare]))
+        # A state has one piece of a length at most: each length fills the next free place of its states.
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        free, total = first[:-1].copy(), int(first[-1])
+        pieces, target = np.empty(total, np.int32), np.empty(total, np.int32)
+        for at, piece, ahead in found:
             slot = free[at]
-            self.piece[slot], target[slot] = piece, at + depth
+            pieces[slot], target[slot] = piece, ahead
             free[at] += 1
-        source = np.repeat(np.arange(n, dtype=np.int32), counts)
-        weight = vocabulary.weight[np.maximum(self.piece, 0)]
-        odd = np.flatnonzero(self.piece < 0)
-        weight[odd] = [float(vocabulary.weight[self.spellings[-1 - p]].sum()) for p in self.piece[odd].tolist()]
-        self.next_state = np.where(target < end[source], target, -1).astype(np.int32)
-        # Log mass from each position to its word's end: positions one character from the end first, then two, and so on.
-        mass = np.zeros(n + 1)
-        left = (end - np.arange(n)).astype(np.int32)
-        turn = np.argsort(left, kind="stable")
-        for group in np.split(turn, np.flatnonzero(np.diff(left[turn])) + 1) if n else []:
-            many = counts[group]
-            edges = spread(self.first[group], many)
-            values = weight[edges] + mass[self.next_state[edges]]  # the end of a word is -1: the last mass, zero
-            begin = np.cumsum(many) - many
+        weight = vocabulary.weight[np.maximum(pieces, 0)]
+        odd = np.flatnonzero(pieces < 0)
+        weight[odd] = [float(vocabulary.weight[self.spellings[-1 - p]].sum()) for p in pieces[odd].tolist()]
+        # Log mass from each state to its word's end: states one character from the end first, then two, and so on.
+        mass = self.mass
+        for a, b in itertools.pairwise(ends):
+            edges, begin = slice(first[a], first[b]), first[a:b] - first[a]
+            values = weight[edges] + np.where(target[edges] >= 0, mass[target[edges]], 0.0)
             top = np.maximum.reduceat(values, begin)
-            mass[group] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, many)), begin))
-        chance = np.exp(weight + mass[self.next_state] - mass[source])
-        begin = self.first[:-1]
-        total = np.add.reduceat(chance, begin) if n else chance
-        self.chance = chance / np.repeat(total, counts)
-        inside = np.cumsum(self.chance)
-        self.running = inside - np.repeat((inside - self.chance)[begin], counts) if n else inside
-        self.running[self.first[1:] - 1] = 1.0
+            mass[old + a:old + b] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, counts[a:b])), begin))
+        chance = np.exp(weight + np.where(target >= 0, mass[target], 0.0) - np.repeat(mass[old:], counts))
+        begin = first[:-1]
+        chance = chance / np.repeat(np.add.reduceat(chance, begin), counts)
+        inside = np.cumsum(chance)
+        running = inside - np.repeat((inside - chance)[begin], counts)
+        running[first[1:] - 1] = 1.0
         # What a state has beside an edge of more than half is summed without that edge, so that little is not lost.
-        large = self.chance > 0.5
-        beside = np.add.reduceat(np.where(large, 0.0, self.chance), begin) if n else chance
-        self.others = np.where(large, np.repeat(beside, counts), 1.0 - self.chance)
+        large = chance > 0.5
+        beside = np.add.reduceat(np.where(large, 0.0, chance), begin)
+        others = np.where(large, np.repeat(beside, counts), 1.0 - chance)
+        self.grow(first=first[1:] + len(self.piece))
+        self.grow(piece=pieces, next_state=target, chance=chance, log=np.log(chance), running=running, others=others)
 
     def walk(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a drawn path from each state to its word's end, in order, and how many each has."""
@@ -183,9 +250,11 @@ class Lattices:
             place, states, keys, turn = place[going], ahead[going], keys[going], turn + 1
         if not steps:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        places = np.concatenate([p for p, _ in steps])
-        order = np.argsort(places, kind="stable")
-        return np.concatenate([e for _, e in steps])[order], np.bincount(places, minlength=n)
+        counts = np.bincount(np.concatenate([p for p, _ in steps]), minlength=n)
+        begin, edges = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int64)
+        for turn, (place, edge) in enumerate(steps):
+            edges[begin[place] + turn] = edge
+        return edges, counts
 
     def spell(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of paths, and how many each edge has."""
@@ -217,8 +286,8 @@ class Lattices:
                 at = int(self.next_state[edge])
         return total
 
-    def other_path(self, state: int, taken: list[tuple[int, ...]], key: int) -> list[int]:
-        """A drawn path from ``state`` that is none of those taken."""
+    def turn_off(self, state: int, taken: list[tuple[int, ...]], key: int) -> tuple[list[int], int]:
+        """Where a drawn path from ``state`` that is none of those taken has left them all: its edges so far and the state reached."""
         path: list[int] = []
         turn = 0
         while state >= 0 and taken:
@@ -227,7 +296,7 @@ class Lattices:
             for edge in options:
                 rest = [t[1:] for t in taken if t[0] == edge]
                 masses.append(float(self.chance[edge]) * (self.left_over(int(self.next_state[edge]), rest) if rest else 1.0))
-            at = float(uniform(np.array([key], np.uint64), turn)[0]) * sum(masses)
+            at = uniform_of(key, turn) * sum(masses)
             turn += 1
             for edge, mass in zip(options, masses, strict=True):
                 if mass > 0:
@@ -237,9 +306,7 @@ class Lattices:
             path.append(chosen)
             taken = [t[1:] for t in taken if t[0] == chosen]
             state = int(self.next_state[chosen])
-        if state >= 0:
-            path += self.walk(np.array([state]), hashed(np.array([key], np.uint64), 99))[0].tolist()
-        return path
+        return path, state
 
 
 def hashed(keys: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
@@ -251,6 +318,15 @@ def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
     return ((hashed(keys, turn) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def uniform_of(key: int, turn: int) -> float:
+    """As ``uniform``, of one key."""
+    def mixed(x: int) -> int:
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & (2**64 - 1)
+        return x ^ (x >> 29)
+
+    return ((mixed(mixed((key + 0x9E3779B97F4A7C15 * (turn + 1)) & (2**64 - 1)) ^ key) >> 11) + 0.5) / 2.0**53
+
+
 def truncated(mass: np.ndarray, below: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     """Gumbels of the given log masses, given that they lie below a value."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
@@ -271,7 +347,7 @@ class Round:
         self.path_begin = np.cumsum(path) - path  # first edge of each word
         self.row = np.full(int(texts.max()) + 1, -1)
         self.row[texts] = np.arange(len(texts))
-        logs = np.log(of.chance[edges])
+        logs = of.log[edges]
         before = np.cumsum(logs) - logs
         reach = np.exp(before - np.repeat(before[self.path_begin], path))
         miss = np.add.reduceat(reach * of.others[edges], self.path_begin)
@@ -318,8 +394,9 @@ def sample(of: Lattices, words: np.ndarray, counts: np.ndarray, keys: np.ndarray
         source = best[:, texts].argmax(axis=0)
         value = best[source, texts]
         place, left, parts, lengths, taken_of = [], [], [], [], {}
-        late_states, late_keys, late_counts = [], [], []
-        for text, number in zip(texts.tolist(), source.tolist(), strict=True):
+        turned, late_states, late_counts = [], [], []
+        own_keys = hashed(keys[texts], 7_000 + r)
+        for text, number, key in zip(texts.tolist(), source.tolist(), own_keys.tolist(), strict=True):
             old = rounds[number]
             row = old.row[text]
             a, b = int(old.begin[row]), int(old.begin[row] + old.counts[row])
@@ -329,22 +406,29 @@ def sample(of: Lattices, words: np.ndarray, counts: np.ndarray, keys: np.ndarray
             # The word where the old set itself began has more paths taken than the old segmentation's.
             taken = list(old.taken[text]) if at == old.place[row] else [old.word_path(text, at)]
             state = int(states[begin[text] + at])
-            key = int(hashed(keys[text:text + 1], 7_000 + r)[0])
-            new = of.other_path(state, taken, key)
-            taken.append(tuple(new))
+            turned.append((state, taken, *of.turn_off(state, taken, key)))
             place.append(at)
-            taken_of[text] = taken
-            left.append(of.left_over(state, taken))
             first = old.path_begin[a]
-            parts.append((old.edges[first:old.path_begin[a + at]], new))
+            parts.append(old.edges[first:old.path_begin[a + at]])
             lengths.append(old.path[a:a + at])
             late_counts.append(b - a - at - 1)
             late_states.append(states[begin[text] + at + 1:begin[text] + counts[text]])
-            late_keys.append(hashed(np.repeat(np.uint64(key), b - a - at - 1), np.arange(at + 1, b - a)))
-        late_edges, late_path = of.walk(np.concatenate(late_states), np.concatenate(late_keys))
+        # The ends of the words where the new paths turn off, then all words behind them.
+        reached = np.array([t[3] for t in turned], np.int64)
+        ended, steps = of.walk(reached[reached >= 0], hashed(own_keys[reached >= 0], 99))
+        many = np.zeros(len(texts), np.int64)
+        many[reached >= 0] = steps
+        news = []
+        for text, (state, taken, path, _), a, n_edges in zip(texts.tolist(), turned, (np.cumsum(many) - many).tolist(), many.tolist(), strict=True):
+            news.append(path + ended[a:a + n_edges].tolist())
+            taken_of[text] = [*taken, tuple(news[-1])]
+            left.append(of.left_over(state, taken_of[text]))
+        behind = np.array(late_counts, np.int64)
+        late_keys = hashed(np.repeat(own_keys, behind), spread(np.array(place, np.int64) + 1, behind))
+        late_edges, late_path = of.walk(np.concatenate(late_states), late_keys)
         word_at, edge_at, edges, path = 0, 0, [], []
         late_ends = np.concatenate(([0], np.cumsum(late_path)))
-        for (prefix, new), length, count in zip(parts, lengths, late_counts, strict=True):
+        for prefix, new, length, count in zip(parts, news, lengths, late_counts, strict=True):
             stop = int(late_ends[word_at + count])
             edges += [prefix, np.array(new, np.int64), late_edges[edge_at:stop]]
             path += [length, [len(new)], late_path[word_at:word_at + count]]
@@ -362,6 +446,60 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+class Lexicon:
+    """The words that a worker has met, numbered, with the tokenizer's own pieces and their lattices."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.lattices = vocabulary, Lattices(vocabulary)
+        self.number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.pieces, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words, which have spaces for marks; new ones are added."""
+        old, coded = len(self.number), words.dictionary_encode()
+        found = np.fromiter(map(self.number.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
+        if len(self.number) > old:
+            fresh = [w.replace(" ", SPACE) for w in itertools.islice(self.number, old, None)]
+            pieces, sizes = encode_words(self.vocabulary, fresh)
+            self.pieces, self.sizes = np.concatenate([self.pieces, pieces]), np.concatenate([self.sizes, sizes])
+            self.lattices.add(fresh)
+        return found[coded.indices.to_numpy()]
+
+    def encoded(self, words: np.ndarray) -> np.ndarray:
+        """The tokenizer's pieces of words in turn."""
+        first = np.cumsum(self.sizes) - self.sizes
+        return self.pieces[spread(first[words], self.sizes[words])]
+
+
+_lexicons: dict[bytes, Lexicon] = {}
+
+
+def lexicon_of(vocabulary: Vocabulary, key: bytes) -> Lexicon:
+    """One per worker process; begun anew when it holds ``MOST_STATES``."""
+    held = _lexicons.get(key)
+    if held is None or held.vocabulary is not vocabulary or len(held.lattices.rest) > MOST_STATES:
+        _lexicons.clear()
+        held = _lexicons[key] = Lexicon(vocabulary)
+    return held
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """What ``words_of`` cuts the marked texts into, with spaces for marks, and how many words each text has."""
+    plain = [t.replace(MARK, b" ") for t in texts]
+    sizes = np.array([len(t) for t in plain], np.int64)
+    joined = b"".join(plain)
+    space = np.frombuffer(joined, np.uint8) == 32
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    starts[begin] = True  # each text that is not empty has a mark in front
+    at = np.flatnonzero(starts)
+    cuts = np.append(at, len(joined)).astype(np.int32)
+    counts = np.zeros(len(texts), np.int64)
+    counts[sizes > 0] = np.diff(np.append(np.searchsorted(at, begin), len(at)))
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(joined)), counts
+
+
 _vocabularies: dict[bytes, Vocabulary] = {}
 
 
@@ -374,16 +512,20 @@ def vocabulary_of(model: bytes) -> Vocabulary:
     return _vocabularies[key]
 
 
+def offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+
+
 def row_keys(ids: list[int | None]) -> np.ndarray:
     return mix(np.array([(i or 0) & (2**64 - 1) for i in ids], np.uint64) + np.uint64(0x5851F42D4C957F2D))
 
 
 def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The tokenizer's own pieces of each word, and how many."""
-    lists = vocabulary.tool.encode([w[1:].replace(SPACE, " ") for w in words])
+    lists = vocabulary.tool.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
     lists = [[vocabulary.mark] if w == SPACE else p for w, p in zip(words, lists, strict=True)]
-    counts = np.array([len(p) for p in lists], np.int64)
-    return np.array([i for p in lists for i in p], np.int64), counts
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(counts.sum())), counts
 
 
 SCHEMA = {
@@ -400,46 +542,54 @@ def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES
     along = carry or []
     with open(model_path, "rb") as file:  # on the driver; tasks get the bytes
         model = file.read()
+    digest = hashlib.sha256(model).digest()
     names = SCHEMA | (DIGESTS if digests else {})
 
-    def rows(ids: list, texts: list[str], own: Vocabulary) -> list[dict]:
-        split = [words_of(text) for text in texts]
-        every = [w for s in split for w in s]
-        number = {w: i for i, w in enumerate(dict.fromkeys(every))}
-        words = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        made = [{"doc_id": doc, "decodes": True, "found": []} for doc in ids]
-        some = np.array([i for i, s in enumerate(split) if s], np.int64)
-        best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
-        threshold = np.full(len(ids), -np.inf)
+    def rows(ids: list, texts: list[str], own: Vocabulary) -> list[pa.Array]:
+        n, lexicon = len(ids), lexicon_of(own, digest)
+        spaced = [MARK + text.encode().replace(b" ", MARK) if text else b"" for text in texts]
+        split, counts = split_words(spaced)
+        words = lexicon.numbers(split)
+        some = np.flatnonzero(counts)
+        marked = [spaced[i] for i in some.tolist()]
+        decodes = np.array([SPACE not in text for text in texts], bool)
+        sizes, threshold = np.zeros(n, np.int64), np.full(n, -np.inf)
+        encoded = lexicon.encoded(words).astype(np.int32)
+        # Samples of texts without words: one, of no pieces.
+        blank = np.flatnonzero(counts == 0)
+        parts = [(blank, np.zeros(0, np.int64), np.zeros(len(blank), np.int64), np.zeros(len(blank)))]
         if len(some):
-            counts = np.array([len(split[i]) for i in some.tolist()], np.int64)
-            pieces, sizes = encode_words(own, list(number))
-            first = np.cumsum(sizes) - sizes
-            ends = np.cumsum(np.add.reduceat(sizes[words], np.cumsum(counts) - counts))
-            for i, part in zip(some.tolist(), np.split(pieces[spread(first[words], sizes[words])], ends[:-1]), strict=True):
-                best[i] = part
-            lattices = Lattices(own, list(number))
-            rounds, left = sample(lattices, words, counts, row_keys([ids[i] for i in some.tolist()]), k)
-            threshold[some] = left
+            begin = np.cumsum(counts[some]) - counts[some]
+            sizes[some] = np.add.reduceat(lexicon.sizes[words], begin)
+            decodes[some] &= own.spells(encoded, sizes[some], marked)
+            rounds, threshold[some] = sample(lexicon.lattices, words, counts[some], row_keys([ids[i] for i in some.tolist()]), k)
             for r in rounds:
-                spelt, many = lattices.spell(r.edges)
+                spelt, many = lexicon.lattices.spell(r.edges)
                 per_text = np.add.reduceat(np.add.reduceat(many, r.path_begin), r.begin)
-                for text, part, log in zip(r.texts.tolist(), np.split(spelt, np.cumsum(per_text)[:-1]), r.log.tolist(), strict=True):
-                    made[some[text]]["found"].append((part, log))
-        for i, (row, text) in enumerate(zip(made, texts, strict=True)):
-            found = row.pop("found") or [(np.zeros(0, np.int64), 0.0)]
-            if text:
-                marked = np.frombuffer((SPACE + text.replace(" ", SPACE)).encode(), np.uint8)
-                row["decodes"] = SPACE not in text and all(np.array_equal(own.decode_bytes(p), marked) for p in [best[i], *[f[0] for f in found]])
-            row["log_chances"] = [f[1] for f in found]
-            row["inclusions"] = [float(-np.expm1(-np.exp(min(f[1] - threshold[i], 700.0)))) for f in found]
-            encoded, samples = best[i].astype(np.int32), [f[0].astype(np.int32) for f in found]
-            row |= {"ids": encoded, "samples": samples}
-            if digests:
-                joined = b"".join(p.tobytes() + b"|" for p in samples)
-                row |= {"n_ids": len(encoded), "ids_sha256": hashlib.sha256(encoded.tobytes()).hexdigest(), "n_sampled": len(samples),
-                        "sample_sizes": [len(p) for p in samples], "samples_sha256": hashlib.sha256(joined).hexdigest()}
-        return made
+                parts.append((some[r.texts], spelt, per_text, r.log))
+                decodes[some[r.texts]] &= own.spells(spelt, per_text, [marked[t] for t in r.texts.tolist()])
+        # Samples by text, best first.
+        of = np.concatenate([p[0] for p in parts])
+        order = np.argsort(of, kind="stable")
+        lengths, logs = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])[order]
+        flat = np.concatenate([p[1] for p in parts])[spread((np.cumsum(lengths) - lengths)[order], lengths[order])].astype(np.int32)
+        of, lengths = of[order], lengths[order]
+        sampled = np.bincount(of, minlength=n)
+        with np.errstate(over="ignore"):
+            inclusions = -np.expm1(-np.exp(np.minimum(logs - threshold[of], 700.0)))
+
+        def lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), values)
+
+        columns = [pa.array(ids, pa.int64()), lists(sizes, pa.array(encoded)), pa.array(decodes), lists(sampled, lists(lengths, pa.array(flat))),
+                   lists(sampled, pa.array(logs)), lists(sampled, pa.array(inclusions))]
+        if digests:
+            cuts = itertools.pairwise(offsets(sizes).tolist())
+            whole = [hashlib.sha256(encoded[a:b].tobytes()).hexdigest() for a, b in cuts]
+            each = [flat[a:b].tobytes() + b"|" for a, b in itertools.pairwise(offsets(lengths).tolist())]
+            joined = [hashlib.sha256(b"".join(each[a:b])).hexdigest() for a, b in itertools.pairwise(offsets(sampled).tolist())]
+            columns += [pa.array(sizes, pa.int32()), pa.array(whole), pa.array(sampled, pa.int32()), lists(sampled, pa.array(lengths, pa.int32())), pa.array(joined)]
+        return columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary_of(model)
@@ -448,8 +598,7 @@ def encode_and_sample(docs: DataFrame, model_path: str = MODEL, k: int = SAMPLES
             start = held = 0
             for i, text in enumerate([*texts, None]):
                 if i > start and (text is None or held + len(text) > CHUNK_CHARS):
-                    made = rows(ids[start:i], texts[start:i], own)
-                    columns = [pa.array([r[n] for r in made], t) for n, t in names.items()] + [batch[c].slice(start, i - start) for c in along]
+                    columns = rows(ids[start:i], texts[start:i], own) + [batch[c].slice(start, i - start) for c in along]
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, *along])
                     start, held = i, 0
                 held += len(text or "")

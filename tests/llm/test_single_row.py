@@ -305,3 +305,25 @@ def test_registered_sql(spark):
 
     for name in ("op4_embedding_dedup", "op9_source_mixing", "op12_spelling_variants", "op13_merkle_manifest"):
         assert compare(spark, duck(SF), SF, name) == ""
+
+
+def test_lattices_share_ends_and_words_are_built_once():
+    own = sentencepiece_sampling.vocabulary_of(open(sentencepiece_sampling.MODEL, "rb").read())
+    words = sentencepiece_sampling.words_of("spelling smelling telling spilling")
+    together = sentencepiece_sampling.Lattices(own, words)
+    assert len(together.rest) < 0.7 * sum(map(len, words))  # a state each character before
+    for number, word in enumerate(words):
+        alone = sentencepiece_sampling.Lattices(own, [word])
+        state, same = int(together.start[number]), int(alone.start[0])
+        while state >= 0:
+            edges, others = (slice(x.first[at], x.first[at + 1]) for x, at in ((together, state), (alone, same)))
+            assert together.piece[edges].tolist() == alone.piece[others].tolist()
+            assert together.chance[edges] == pytest.approx(alone.chance[others], abs=1e-12)
+            state, same = int(together.rest[state]), int(alone.rest[same])
+        assert same < 0
+    lexicon = sentencepiece_sampling.Lexicon(own)
+    split, counts = sentencepiece_sampling.split_words([(sentencepiece_sampling.SPACE + t).encode() for t in ("a▁b", "a", "▁")] + [b""])
+    assert split.to_pylist() == [" a", " b", " a", "  "] and counts.tolist() == [2, 1, 1, 0]
+    first = lexicon.numbers(split)
+    made = len(lexicon.lattices.rest)
+    assert lexicon.numbers(split).tolist() == first.tolist() == [0, 1, 0, 2] and len(lexicon.lattices.rest) == made
