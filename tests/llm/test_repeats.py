@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -98,3 +99,27 @@ def test_readable_text_stays_whole(spark):
     docs = spark.createDataFrame([(1, text), (2, "a" + text[:40])], "doc_id long, text string")
     kept = {r.doc_id: r.kept for r in suffix_dedup.remove_repeated_bytes(docs, kind=suffix_dedup.Readable).collect()}
     assert kept == {1: text, 2: "a"}
+
+
+def test_steps_over_texts_hold_little_at_once():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 2_000).astype(np.uint8).tobytes() for _ in range(2_000)]
+    unit, seen = suffix_dedup.Digests(), 0
+    tracemalloc.start()
+    for a, b in _repeats.chunks(texts):
+        seen += int(unit.runs(texts[a:b])[2].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts) * 1_951
+    assert peak < 40 << 20  # arrays of 2 MB of text at a time take several times as much
+
+
+@pytest.mark.parametrize("many", [1, 3, 200])
+def test_same_windows_have_the_same_class(many):
+    rng = random.Random(many)
+    parts = [bytes(rng.choice((0, 97, 98, 255)) for _ in range(rng.randint(8, 30))) for _ in range(8)] + [b"\0" * 12, b"\xff" * 9]
+    strings = list(dict.fromkeys(b"".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(many)))
+    windows, classes = suffix_dedup.Bytes(8).same_windows(strings)
+    every = [s[i:i + 8] for s in strings for i in range(len(s) - 7)]
+    assert windows.tolist() == [len(s) - 7 for s in strings] and len(classes) == len(every)
+    assert len(set(zip(every, classes.tolist(), strict=True))) == len(set(every)) == len(set(classes.tolist()))
