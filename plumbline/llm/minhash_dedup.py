@@ -182,7 +182,18 @@ def _verify(min_similarity: float) -> Callable:
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
+def with_texts(asked: DataFrame, reps: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """``asked`` with the text of each ``rep``, and ``more`` columns of ``reps``.
+
+    The narrow rows go to the documents, so texts are dealt out once, by document, and not a second time by ``rep``.
+    """
+    placed = asked.join(reps.select("rep", "doc_id", "raw"), "rep")
+    if more:
+        placed = placed.join(reps.select("doc_id", "raw", *more), ["doc_id", "raw"])
+    return placed.join(rows, ["doc_id", "raw"]).drop("doc_id", "raw")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, min_similarity: float) -> DataFrame:
     """Those of the distinct pairs ``a > b`` that reach the threshold.
 
     The pairs of one ``b`` are split into groups of about ``GROUP``; each text travels once a pair, ``b`` once a group.
@@ -192,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataF
     asked = cut_lineage(pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("a", "b", "part"))
     wanted = asked.select(F.col("a").alias("rep"), F.col("b").alias("other"), F.col("b").alias("lead"), "part")
     leads = asked.select(F.col("b").alias("rep"), F.lit(None).cast("long").alias("other"), F.col("b").alias("lead"), "part").distinct()
-    rows = wanted.unionByName(leads).join(texts, "rep")
+    rows = with_texts(wanted.unionByName(leads), reps, rows)
     cells = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = max(cells, (asked.count() // 512) + 1)
     return cut_lineage(rows.withColumn("cell", F.pmod(F.xxhash64("lead", "part"), F.lit(cells))).groupBy("cell")
@@ -308,8 +319,7 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     stars = cut_lineage(asked.join(ends[0], "a").join(ends[1], "b")
                         .filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (min_similarity - 1e-9))
                         .filter((agreement("keys_a", "keys_b") >= AGREE) | F.arrays_overlap("prefix_a", "prefix_b")).select("a", "b"))
-    texts = rows.join(reps.select("rep", "doc_id", "raw"), ["doc_id", "raw"]).select("rep", "text")
-    links = verified(stars, texts, min_similarity)
+    links = verified(stars, reps, rows, min_similarity)
     first = connected_components(links).withColumnRenamed("id", "rep")
     placed = (shared.select("rep", "key", "texts").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
               .join(reps.select("rep", "n"), "rep"))
@@ -322,7 +332,7 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
     words = mixed.agg(F.sum(F.col("words") * F.col("blocks"))).first()[0] or 0
     cells = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // CELL_WORDS + 1)
-    more = cut_lineage(rest.join(reps.select("rep", "keys"), "rep").join(texts, "rep").select(
+    more = cut_lineage(with_texts(rest, reps, rows, "keys").select(
         "key", "low", "high", "own", "rep", "component", "keys", "text", F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)).alias("cell"))
         .groupBy("cell").applyInArrow(_cross_links(min_similarity), "a long, b long"))
     # Classes are made of documents: each points to the least one of its text, and linked texts' least ones to each other.
