@@ -64,7 +64,7 @@ class Words:
         self.schema = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable]:
-        """Document, first window, windows and minimiser of each run, and a cutter of packed strings."""
+        """Document, first window, windows and minimiser of each run, and a cutter of packed strings (runs, first windows in them, numbers of windows)."""
         length, seed = self.length, self.seed
         text = b" ".join(texts) + b" "
         data = np.frombuffer(text, np.uint8)
@@ -72,7 +72,7 @@ class Words:
         begin, end = word_spans(data)
         none = np.zeros(0, np.int64)
         if len(begin) < length:
-            return none, none, none, none.astype(np.uint64), lambda i, j, n: b""
+            return none, none, none, none.astype(np.uint64), lambda i, j, n: []
         base = np.searchsorted(begin, np.cumsum(sizes) - sizes)  # first word of each document
         words = np.diff(np.append(base, len(begin)))
         hashes = word_hashes(data, begin, end)
@@ -84,16 +84,16 @@ class Words:
         windows = np.maximum(words - length + 1, 0)
         start = spread(base, windows)
         if not len(start):
-            return none, none, none, none.astype(np.uint64), lambda i, j, n: b""
+            return none, none, none, none.astype(np.uint64), lambda i, j, n: []
         doc = np.repeat(np.arange(len(texts)), windows)
         keys = least[start]
         cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))))
         count = np.diff(np.append(cut, len(start)))
         first = start[cut]
 
-        def packed(i: int, j: int, n: int) -> bytes:
-            a = int(first[i]) + j
-            return b" ".join(text[begin[a]:end[a + n + length - 2]].split())
+        def packed(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[bytes]:
+            a = first[i] + j
+            return [b" ".join(text[x:y].split()) for x, y in zip(begin[a].tolist(), end[a + n + length - 2].tolist(), strict=True)]
 
         return doc[cut], first - base[doc[cut]], count, keys[cut], packed
 
