@@ -42,6 +42,7 @@ MIN_SIMILARITY = 0.8
 SKETCHES = 24
 TUPLE = 4
 AGREE = 2
+EXPECTED = 16  # values of a text that are sorted for its least ones, about
 SHORT = 50  # shingles up to which candidates are exact
 BLOCK = 1024
 CELL_WORDS = 1 << 20  # words of the texts compared in one group, about; a block is never split
@@ -70,32 +71,59 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = mix(total)
     owner = np.repeat(np.arange(len(texts)), counts)
     keyed = total ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(keyed, kind="stable")
-    at = group_starts(keyed[order])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
+    # Few shingles repeat within a text; only those are put in text order.
+    order = np.argsort(keyed)
+    ranked = keyed[order]
+    same = ranked[1:] == ranked[:-1]
+    again = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    number = np.zeros(len(order), np.int64)
+    if len(again):
+        rows = order[again]
+        rows = rows[np.lexsort((rows, ranked[again]))]
+        at = group_starts(keyed[rows])
+        number[rows] = np.arange(len(rows)) - np.repeat(at, np.diff(np.append(at, len(rows))))
     return mix(total + number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), counts
 
 
+def least_drawn(drawn: np.ndarray, begin: np.ndarray, counts: np.ndarray, owner: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places of the ``TUPLE`` least values of each text, ascending; each text has more than ``TUPLE`` distinct ones.
+
+    Only values up to the text's bound ``low`` (one a place, met by ``EXPECTED`` of them on average) are sorted; texts with too few such values are read whole.
+    """
+    some = np.flatnonzero(drawn <= low)
+    some = some[np.argsort(drawn[some])]
+    some = some[np.argsort(owner[some], kind="stable")]
+    held = np.bincount(owner[some], minlength=len(counts))
+    first = np.cumsum(held) - held
+    enough = held >= TUPLE
+    picked = np.empty((len(counts), TUPLE), np.int64)
+    picked[enough] = some[first[enough][:, None] + np.arange(TUPLE)]
+    for d in np.flatnonzero(~enough).tolist():
+        picked[d] = begin[d] + np.argpartition(drawn[begin[d]:begin[d] + counts[d]], TUPLE - 1)[:TUPLE]
+    picked.sort(axis=1)
+    return picked
+
+
 def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """``SKETCHES`` keys of each text; texts without shingles get zeros."""
     out = np.zeros((len(counts), SKETCHES), np.uint64)
     begin = np.cumsum(counts) - counts
-    picked = np.zeros((len(counts), TUPLE), np.int64)
     filled = np.flatnonzero(counts)
+    picked = begin[filled, None] + np.minimum(np.arange(TUPLE), counts[filled, None] - 1)
+    drawing = counts[filled] > TUPLE
+    # Places, texts and bounds of those that draw, without the others in between.
+    many = counts[filled][drawing]
+    place = spread(begin[filled][drawing], many)
+    owner = np.repeat(np.arange(len(many), dtype=np.uint16 if len(many) <= 1 << 16 else np.int64), many)  # numbers of 16 bits sort fastest
+    share = np.minimum(EXPECTED / np.maximum(many, 1), 1.0)
+    low = np.repeat(np.where(share < 1, share * 2.0**63, 2.0**63).astype(np.uint64) * np.uint64(2) - np.uint64(1), many)
+    hashed, start = hashes[place], np.cumsum(many) - many
     for s, seed in enumerate(SEEDS):
-        drawn = mix(hashes * seed)
-        for d in filled.tolist():
-            a, n = begin[d], counts[d]
-            if n > TUPLE:
-                low = np.argpartition(drawn[a:a + n], TUPLE - 1)[:TUPLE]
-                low.sort()
-                picked[d] = a + low
-            else:
-                picked[d] = a + np.minimum(np.arange(TUPLE), n - 1)
+        if len(many):
+            picked[drawing] = place[least_drawn(mix(hashed * seed), start, many, owner, low)]
         value = np.full(len(filled), np.uint64(s + 1))
         for i in range(TUPLE):
-            value = mix(value * np.uint64(0x9FB21C651E98DF25) + hashes[picked[filled, i]])
+            value = mix(value * np.uint64(0x9FB21C651E98DF25) + hashes[picked[:, i]])
         out[filled, s] = value
     return out
 
